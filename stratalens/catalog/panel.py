@@ -193,8 +193,15 @@ def clean(spark, sf):
     return P.quality_filter(P.clean_returns(P.add_sectors(rated(spark, sf), t.sectors, t.financials)))
 
 
+_STORED: dict = {}
+
+
 def stored_clean(spark, sf):
-    return materialize(clean(spark, sf))
+    """The filtered panel as a table, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _STORED[key] = materialize(clean(spark, sf))
+    return _STORED[key]
 
 
 def panel(spark, sf, macro=True):
