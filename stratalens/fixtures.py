@@ -170,3 +170,93 @@ def sig(c):
 
 def sig_sql(expr: str) -> str:
     return f"(CAST(CAST(({expr}) * CAST({NUDGE} AS DOUBLE) AS FLOAT) AS DOUBLE) + CAST(0 AS DOUBLE))"
+
+
+# --- ledgers --------------------------------------------------------------------------------------------------
+
+def _fee_sql(qty: str, price: str) -> str:
+    return (f"CASE WHEN {qty} > 0 AND {price} > 0 THEN greatest(least(greatest({qty} * 0.0035, 0.35), {qty} * {price} * 0.01)"
+            f" + {qty} * 0.003, 0) ELSE 0 END")
+
+
+SQL["trades_raw"] = f"""SELECT 'A' || (l_orderkey % 5) AS account, 'S' || l_suppkey AS symbol, CAST(l_shipdate AS TIMESTAMP) AS ts,
+  printf('%010d-%02d-%010d-%012d-%03d', l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT), CAST(l_quantity AS BIGINT)) AS trade_id,
+  CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS quantity, l_extendedprice / l_quantity AS price,
+  {_fee_sql('l_quantity', '(l_extendedprice / l_quantity)')} AS fee FROM lineitem"""
+SQL["trades"] = f"""SELECT * FROM trades_raw UNION ALL SELECT DISTINCT account, symbol, TIMESTAMP '1994-12-31', '0', 'BUY', 1000.0::DOUBLE, 1000.0::DOUBLE,
+  {_fee_sql('1000.0::DOUBLE', '1000.0::DOUBLE')} FROM trades_raw"""
+SQL["payments"] = """SELECT 'A' || (o_orderkey % 7) AS account, 'C' || o_custkey AS symbol, CAST(o_orderdate AS DATE) AS payment_date,
+  1 + o_orderkey % 100 AS shares, o_totalprice / 1e6 AS per_share, CASE WHEN o_orderstatus = 'P' THEN o_totalprice / 1000 END AS gross,
+  CASE WHEN o_orderstatus = 'P' THEN o_totalprice / 1000 * (CASE WHEN o_orderkey % 2 = 0 THEN 0.7 ELSE 0.85 END) END AS net FROM orders"""
+SQL["holdings"] = """SELECT o_custkey AS account, 'P' || l_partkey AS symbol, sum(l_quantity) AS shares FROM orders JOIN lineitem
+  ON o_orderkey = l_orderkey WHERE o_orderdate < TIMESTAMP '1998-07-01' GROUP BY 1, 2"""
+SQL["targets"] = """SELECT o_custkey AS account, 'P' || l_partkey AS symbol, max(l_discount) * 10 AS predicted_rank, p_type AS sector
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
+  WHERE o_orderdate >= TIMESTAMP '1997-07-01' GROUP BY 1, 2, 4"""
+SQL["part_prices"] = "SELECT 'P' || p_partkey AS symbol, p_retailprice AS price, p_type AS sector FROM part WHERE p_partkey % 50 <> 7"
+SQL["accounts"] = "SELECT c_custkey AS account, 30000.0::DOUBLE + c_custkey * 10 AS account_value FROM customer"
+SQL["fills"] = """SELECT o_custkey AS account, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'P' THEN 'rejected' ELSE 'submitted' END AS status,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS action, (1 + o_orderkey % 50)::DOUBLE AS quantity,
+  o_totalprice / 1000 AS fill_price, 1.0::DOUBLE AS fee FROM orders"""
+
+
+def trades(spark: SparkSession, sf: str, opening: bool = True) -> DataFrame:
+    from .functions.columns import commission
+    c = F.col
+    raw = read(spark, sf, "lineitem").select(
+        F.concat(F.lit("A"), c("l_orderkey") % 5).alias("account"), F.concat(F.lit("S"), "l_suppkey").alias("symbol"), c("l_shipdate").alias("ts"),
+        F.format_string("%010d-%02d-%010d-%012d-%03d", "l_orderkey", "l_linenumber", "l_partkey",
+                        F.round(c("l_extendedprice") * 100).cast("long"), c("l_quantity").cast("long")).alias("trade_id"),
+        F.when(c("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), c("l_quantity").alias("quantity"),
+        (c("l_extendedprice") / c("l_quantity")).alias("price"))
+    if opening:
+        first = raw.select("account", "symbol").distinct().select(
+            "account", "symbol", F.lit("1994-12-31").cast("timestamp_ntz").alias("ts"), F.lit("0").alias("trade_id"), F.lit("BUY").alias("side"),
+            F.lit(1000.0).alias("quantity"), F.lit(1000.0).alias("price"))
+        raw = raw.unionByName(first)
+    return raw.withColumn("fee", commission(c("quantity"), c("price")))
+
+
+def payments(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    broker = c("o_orderstatus") == "P"
+    gross = F.when(broker, c("o_totalprice") / 1000)
+    return read(spark, sf, "orders").select(
+        F.concat(F.lit("A"), c("o_orderkey") % 7).alias("account"), F.concat(F.lit("C"), "o_custkey").alias("symbol"),
+        c("o_orderdate").cast("date").alias("payment_date"), (1 + c("o_orderkey") % 100).alias("shares"), (c("o_totalprice") / 1e6).alias("per_share"),
+        gross.alias("gross"), (gross * F.when(c("o_orderkey") % 2 == 0, 0.7).otherwise(0.85)).alias("net"))
+
+
+def _order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").join(read(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).withColumn(
+        "symbol", F.concat(F.lit("P"), "l_partkey")).withColumnRenamed("o_custkey", "account")
+
+
+def holdings(spark: SparkSession, sf: str) -> DataFrame:
+    return _order_lines(spark, sf).where(F.col("o_orderdate") < F.lit("1998-07-01").cast("timestamp_ntz")).groupBy("account", "symbol").agg(
+        F.sum("l_quantity").alias("shares"))
+
+
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _order_lines(spark, sf).where(F.col("o_orderdate") >= F.lit("1997-07-01").cast("timestamp_ntz"))
+    parts = read(spark, sf, "part").select("p_partkey", F.col("p_type").alias("sector"))
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("account", "symbol", "sector").agg(
+        (F.max("l_discount") * 10).alias("predicted_rank"))
+
+
+def part_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "part").where(F.col("p_partkey") % 50 != 7).select(
+        F.concat(F.lit("P"), "p_partkey").alias("symbol"), F.col("p_retailprice").alias("price"), F.col("p_type").alias("sector"))
+
+
+def accounts(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("account"), (30000.0 + F.col("c_custkey") * 10).alias("account_value"))
+
+
+def fills(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    return read(spark, sf, "orders").select(
+        c("o_custkey").alias("account"),
+        F.when(c("o_orderstatus") == "F", "filled").when(c("o_orderstatus") == "P", "rejected").otherwise("submitted").alias("status"),
+        F.when(c("o_orderkey") % 2 == 0, "BUY").otherwise("SELL").alias("action"), (1 + c("o_orderkey") % 50).cast("double").alias("quantity"),
+        (c("o_totalprice") / 1000).alias("fill_price"), F.lit(1.0).alias("fee"))

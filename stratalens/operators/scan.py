@@ -9,31 +9,33 @@ from pyspark.sql import functions as F
 
 
 def running_sums(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str],
-                 sums: dict[str, Column]) -> DataFrame:
+                 sums: dict[str, Column], kind: str = "double") -> DataFrame:
     """``df`` plus, for every entry of ``sums``, the running total up to and including the row.
 
     ``bucket`` is a coarse, order-preserving function of the first order column (for example its month). Rows are
-    summed inside (key, bucket); what the earlier buckets add comes from one row per (key, bucket).
+    summed inside (key, bucket); what the earlier buckets add comes from one row per (key, bucket). With a decimal
+    ``kind`` the totals are exact, whatever the split.
     """
+    zero = F.lit(0).cast(kind)
     by = list(by)
     work = df.withColumn("__bucket", bucket)
     for name, value in sums.items():
-        work = work.withColumn(f"__x_{name}", value.cast("double"))
+        work = work.withColumn(f"__x_{name}", value.cast(kind))
     part = [*by, "__bucket"]
     totals = work.groupBy(*part).agg(*[F.sum(f"__x_{n}").alias(f"__t_{n}") for n in sums])
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*part, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0.0)).alias(f"__b_{n}")
+    bases = totals.select(*part, *[F.coalesce(F.sum(f"__t_{n}").over(before), zero).alias(f"__b_{n}")
                                    for n in sums])
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         work.select("*", *[F.sum(f"__x_{n}").over(inside).alias(f"__i_{n}") for n in sums])
         .join(bases, part)
-        .select(*df.columns, *[(F.col(f"__b_{n}") + F.coalesce(F.col(f"__i_{n}"), F.lit(0.0))).alias(n) for n in sums])
+        .select(*df.columns, *[(F.col(f"__b_{n}") + F.coalesce(F.col(f"__i_{n}"), zero)).alias(n) for n in sums])
     )
 
 
 def reflected_position(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], change: Column,
-                       out: str) -> DataFrame:
+                       out: str, kind: str = "double") -> DataFrame:
     """Running holding that never falls below zero: h = max(h_before + change, 0).
 
     With X the plain running sum this is X minus the lowest value X has reached so far (or zero), so the recurrence
@@ -41,18 +43,19 @@ def reflected_position(df: DataFrame, by: Sequence[str], bucket: Column, order:
     """
     by = list(by)
     part = [*by, "__bucket"]
-    work = df.withColumn("__bucket", bucket).withColumn("__x", change.cast("double"))
+    zero = F.lit(0).cast(kind)
+    work = df.withColumn("__bucket", bucket).withColumn("__x", change.cast(kind))
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     work = work.withColumn("__i", F.sum("__x").over(inside)).withColumn("__low", F.min("__i").over(inside))
     buckets = work.groupBy(*part).agg(F.sum("__x").alias("__t"), F.min("__i").alias("__bmin"))
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
-        buckets.withColumn("__base", F.coalesce(F.sum("__t").over(before), F.lit(0.0)))
-        .withColumn("__reached", F.coalesce(F.min(F.col("__base") + F.col("__bmin")).over(before), F.lit(0.0)))
+        buckets.withColumn("__base", F.coalesce(F.sum("__t").over(before), zero))
+        .withColumn("__reached", F.coalesce(F.min(F.col("__base") + F.col("__bmin")).over(before), zero))
         .select(*part, "__base", "__reached")
     )
     x = F.col("__base") + F.col("__i")
-    lowest = F.least(F.lit(0.0), F.col("__reached"), F.col("__base") + F.col("__low"))
+    lowest = F.least(zero, F.col("__reached"), F.col("__base") + F.col("__low"))
     return work.join(bases, part).select(*df.columns, (x - lowest).alias(out))
 
 
