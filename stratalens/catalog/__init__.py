@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["panel", "selection", "metrics", "ledger"]
+MODULES = ["panel", "selection", "metrics", "ledger", "quality"]
 
 
 def load() -> dict:
