@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["panel", "selection", "metrics", "ledger", "quality", "sources"]
+MODULES = ["panel", "selection", "metrics", "ledger", "quality", "sources", "models"]
 
 
 def load() -> dict:

@@ -14,7 +14,9 @@ from ..session import shared_folder
 from ..sources import mapping as M
 from ..sources import readers as R
 from ..sources import writers as W
+from .ledger import DISPOSAL_NAMES, FIFO
 from .panel import CLEAN_NAMES, FUND_NAMES, all_ctes, q, rounded, rounded_sql, stored_clean
+from .selection import full_run, run_sql
 
 A_HEADERS = {v: k for k, v in {**S.KEY_HEADERS, **S.INCOME_HEADERS, **S.BALANCE_HEADERS, **S.CASHFLOW_HEADERS}.items()}
 
@@ -29,7 +31,7 @@ def vendor_a_folder(spark, sf):
     p = X.prices(spark, sf)
     odd = F.col("l_linenumber")
     text = p.select(
-        F.when(odd != 7, F.col("ticker")).alias("Ticker"), F.col("id").alias("SimFinId"), F.col("date").cast("string").alias("Date"),
+        F.when(odd != 7, F.col("ticker")).alias("Ticker"), F.col("id").alias("CompanyId"), F.col("date").cast("string").alias("Date"),
         F.when(odd == 6, F.lit("n/a")).otherwise(F.col("adj_close").cast("string")).alias("Adj. Close"),
         F.when(odd == 5, F.lit(None)).otherwise(F.col("dividend").cast("string")).alias("Dividend"), F.col("shares").cast("string").alias("Shares Outstanding"),
         F.lit("x").alias("Volume"))
@@ -162,7 +164,6 @@ def panel_files(spark, sf):
 
 
 def report_files(spark, sf):
-    from .selection import full_run
     p, s = full_run(spark, sf)
     paths = W.write_tables({"periods": p, "selections": s.select("strategy", "public_date", "TICKER", "position")}, fresh(spark, "report"))
     d = spark.read.csv(paths["periods"], header=True)
@@ -296,8 +297,9 @@ QUERIES = {
     "s10_macro_file": (macro_file, with_sql(["benchmark_daily"], f"SELECT date AS public_date, {sig_sql('CASE WHEN month(date) <> 4 THEN level END')} AS SERIES FROM benchmark_daily")),
     "s11_index_file": (index_file, with_sql(["benchmark_daily"], f"SELECT date, {sig_sql('level')} AS level FROM benchmark_daily WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'")),
     "s12_s13_o5_panel_files": (panel_files, sql(CLEAN_NAMES, f"SELECT k AS kind, {rounded_sql(PANEL, PANEL_X)} FROM clean, (VALUES ('parquet'), ('csv')) v(k)")),
-    "s14_report_files": (report_files, None),
-    "s15_tax_files": (tax_files, None),
+    "s14_report_files": (report_files, run_sql(f"SELECT d.public_date, n_stocks AS n_rows, {sig_sql('portfolio_return')} AS portfolio_return FROM done d")),
+    "s15_tax_files": (tax_files, with_sql([*DISPOSAL_NAMES, "payments"], """SELECT CASE WHEN is_loss THEN 'cgt_losses' ELSE 'cgt_gains' END AS "table", year(ts)::INT AS year, count(*) AS n
+  FROM disposal GROUP BY 1, 2 UNION ALL SELECT 'dividends', year(payment_date)::INT, count(*) FROM payments GROUP BY 1, 2""", FIFO)),
     "s16_f7_u5_nested_statements": (nested, sql(FUND_NAMES[:4], f"""SELECT m.ticker AS code, {Q_END} AS date, c.sector, CASE WHEN revenue IS NOT NULL THEN publish_date END AS filing_date,
   {sig_sql('revenue')} AS "totalRevenue", {sig_sql('net_income')} AS "netIncome", {sig_sql('total_assets')} AS "totalAssets",
   {sig_sql('CASE WHEN total_assets IS NOT NULL THEN inventories WHEN revenue IS NOT NULL THEN -1 END')} AS inventory, {sig_sql('fixed_asset_change')} AS "capitalExpenditures"

@@ -6,9 +6,10 @@ from pyspark.sql import types as T
 
 KEYS = ["ticker", "fiscal_year", "fiscal_period", "publish_date"]
 
-# Delimited-file headers of vendor A, mapped to column names.
+# Delimited-file headers of vendor A, mapped to column names. The vendor's own company id is the price
+# header that ends in "Id".
 PRICE_HEADERS = {
-    "Ticker": "ticker", "SimFinId": "id", "Date": "date", "Adj. Close": "adj_close", "Dividend": "dividend",
+    "Ticker": "ticker", "Date": "date", "Adj. Close": "adj_close", "Dividend": "dividend",
     "Shares Outstanding": "shares",
 }
 KEY_HEADERS = {

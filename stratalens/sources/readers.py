@@ -43,7 +43,10 @@ class VendorA:
         return read_delimited(self.spark, f"{self.folder}/{name}.csv", columns)
 
     def prices(self) -> DataFrame:
-        d = fit_schema(self._file("us-shareprices-daily", S.PRICE_HEADERS), S.PRICES)
+        raw = read_delimited(self.spark, f"{self.folder}/us-shareprices-daily.csv")
+        ids = {c: "id" for c in raw.columns if c.endswith("Id")}
+        names = {**S.PRICE_HEADERS, **ids}
+        d = fit_schema(raw.select(*[quoted(c).alias(names[c]) for c in raw.columns if c in names]), S.PRICES)
         return d.dropna(subset=["ticker", "id", "date"]).withColumn("dividend", F.coalesce("dividend", F.lit(0.0)))
 
     def _statement(self, name: str, headers: Mapping[str, str], schema: T.StructType) -> DataFrame:
@@ -89,7 +92,7 @@ class VendorB:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def prices(self) -> DataFrame:
-        d = map_columns(self._file("prices"), {**S.B_PRICES, "id": "id", "Dividend": "dividend", "Shares Outstanding": "shares"})
+        d = map_columns(self._file("prices"), {**S.B_PRICES, "Dividend": "dividend", "Shares Outstanding": "shares"})
         if "adj_close" not in d.columns and "close" in d.columns:
             d = d.withColumn("adj_close", F.col("close"))
         if "id" not in d.columns:
