@@ -11,8 +11,9 @@ from ..fixtures import with_sql
 from ..plans import panel as P
 from ..plans import walkforward as K
 from ..plans.model import SelectionModel
-from ..session import shared_folder
+from ..session import materialize, shared_folder
 from ..streaming import ingest as G
+from .ledger import POSITION, REPLAY_BASE, money, money_sql, recursive
 from .panel import PIT_NAMES, all_ctes, bars, rounded, rounded_sql, stored_clean
 
 FEATS = ["bm", "ptb", "ps", "pcf", "npm", "roa", "roe", "de_ratio", "curr_ratio", "at_turn", "inv_turn", "divyield", "evm", "MthCap"]
@@ -87,47 +88,47 @@ def daily_unique(spark, sf):
         *G.DAILY.fieldNames())
 
 
-def arrive(df, folder, column, parts=3):
-    """Files in order of ``column``, as a vendor would deliver them."""
-    df.repartitionByRange(parts, column).sortWithinPartitions(column).write.parquet(folder)
-    return folder
+PARTS = [("1900-01-01", "1997-06-30"), ("1997-07-01", "1999-06-30"), ("1999-07-01", "2100-01-01")]
+
+
+def deliver(df, folder, column, start, overlap_days=0):
+    """Three deliveries in time order; after each the stream is started again, takes what is new, and stops."""
+    for i, (low, high) in enumerate(PARTS):
+        since = F.date_sub(F.lit(low).cast("date"), overlap_days if i else 0)
+        df.where(F.col(column).cast("date").between(since, F.lit(high).cast("date"))).write.mode("append").parquet(folder)
+        start().awaitTermination()
 
 
 def stream_prices(spark, sf):
-    landing = fresh(spark, "landing")
-    twice = daily_unique(spark, sf)
-    arrive(twice.unionByName(twice), landing, "date")
-    table = fresh(spark, "prices")
+    """Deliveries overlap by 200 days, and the first rows come twice in a delivery too."""
+    landing, table, cp = (fresh(spark, n) for n in ("landing", "prices", "cp"))
+    d = daily_unique(spark, sf)
     known = X.companies(spark, sf).where(F.col("sector") != "ASIA").select("ticker")
-    G.append_prices(G.deduplicated(G.price_stream(spark, landing, files_per_batch=1), known), table, fresh(spark, "cp")).awaitTermination()
+    deliver(d.unionByName(d.where(F.month("date") == 1)), landing, "date",
+            lambda: G.append_prices(G.deduplicated(G.price_stream(spark, landing), known), table, cp), 200)
     return rounded(spark.read.parquet(table), ["ticker", "date", "id"], ["adj_close", "dividend", "shares"])
 
 
 def stream_bars(spark, sf):
-    landing, table = fresh(spark, "landing"), fresh(spark, "bars")
-    arrive(daily_unique(spark, sf), landing, "date")
-    G.maintain_month_bars(G.price_stream(spark, landing, files_per_batch=1), fresh(spark, "daily"), table, fresh(spark, "cp")).awaitTermination()
+    landing, daily, table, cp = (fresh(spark, n) for n in ("landing", "daily", "bars", "cp"))
+    deliver(daily_unique(spark, sf), landing, "date", lambda: G.maintain_month_bars(G.price_stream(spark, landing), daily, table, cp), 40)
     return rounded(spark.read.parquet(table), ["TICKER", "public_date", "gvkey", "last_date"], ["MthPrc", "shares", "Div_m"])
 
 
 def stream_panel(spark, sf):
-    landing, table = fresh(spark, "landing"), fresh(spark, "panel")
-    fund = P.quarterly_fundamentals(X.fundamentals(spark, sf)).select("ticker", "fiscal_year", "fiscal_period", "publish_date", "revenue", "total_equity", "net_income_ttm")
-    arrive(fund, landing, "publish_date")
-    stream = spark.readStream.schema(fund.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    b = bars(spark, sf).select("TICKER", "public_date", "MthPrc")
-    G.maintain_point_in_time(stream, fresh(spark, "statements"), b, table, fresh(spark, "cp")).awaitTermination()
+    landing, seen, table, cp = (fresh(spark, n) for n in ("landing", "statements", "panel", "cp"))
+    fund = materialize(P.quarterly_fundamentals(X.fundamentals(spark, sf)).select(
+        "ticker", "fiscal_year", "fiscal_period", "publish_date", "revenue", "total_equity", "net_income_ttm"))
+    b = materialize(bars(spark, sf).select("TICKER", "public_date", "MthPrc"))
+    deliver(fund, landing, "publish_date", lambda: G.maintain_point_in_time(spark.readStream.schema(fund.schema).parquet(landing), seen, b, table, cp))
     return rounded(spark.read.parquet(table).where(F.col("fiscal_year").isNotNull()), ["TICKER", "public_date", "fiscal_year", "fiscal_period"], ["MthPrc", "revenue", "total_equity", "net_income_ttm"])
 
 
 def stream_positions(spark, sf):
-    landing, table = fresh(spark, "landing"), fresh(spark, "positions")
+    landing, table, cp = (fresh(spark, n) for n in ("landing", "positions", "cp"))
     t = X.trades(spark, sf, False).withColumn("ts", F.col("ts").cast("timestamp"))
-    arrive(t, landing, "ts")
-    # Files are named by their range, and one batch takes one file, so a key's trades come in time order.
-    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    G.running_positions(stream).writeStream.format("parquet").option("path", table).option("checkpointLocation", fresh(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
-    from .ledger import money
+    deliver(t, landing, "ts", lambda: G.running_positions(spark.readStream.schema(t.schema).parquet(landing)).writeStream.format("parquet").option("path", table).option(
+        "checkpointLocation", cp).trigger(availableNow=True).start())
     return money(spark.read.parquet(table), ["account", "symbol", "trade_id"], ["shares", "avg_cost", "total_cost"], 4)
 
 
@@ -136,7 +137,6 @@ PIT_SELECT = "SELECT " + rounded_sql(["TICKER", "public_date", "fiscal_year", "f
 
 
 def positions_sql():
-    from .ledger import POSITION, REPLAY_BASE, money_sql, recursive
     return recursive(["trades_raw", "seq", "position"], "SELECT " + money_sql(["account", "symbol", "trade_id"], ["shares", "avg_cost", "total_cost"], 4)
                      + " FROM (SELECT *, CASE WHEN shares > 0 THEN total_cost / shares END AS avg_cost FROM position)", {**REPLAY_BASE, "position": POSITION})
 

@@ -53,9 +53,11 @@ class SelectionModel:
             self.medians = T.median_map(rows, self.features)
         keys = [c for c in ("sector", "public_date", "TICKER", target) if c in rows.columns]
         filled = T.impute(rows.select(*keys, *self.features), self.features, self.medians)
-        # Stored once: clipping and ranking the target and the fit each read it.
+        # The ranking reads only the target's few columns several times; the fit then reads one finished table.
         ready = materialize(T.neutralize(filled, self.features))
-        return T.rank_target(T.winsorize_target(ready, target), target)
+        narrow = ready.select("TICKER", "public_date", target)
+        ranks = T.rank_target(T.winsorize_target(narrow, target), target).select("TICKER", "public_date", "target_rank")
+        return materialize(ready.join(ranks, ["TICKER", "public_date"]).select("target_rank", *self.features))
 
     def fit(self, df: DataFrame, target: str) -> SelectionModel:
         rows = self.training_rows(df, target)
