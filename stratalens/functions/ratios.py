@@ -9,95 +9,65 @@ from .. import schemas as S
 from .columns import ratio
 
 
+def _over(top: str, bottom: str) -> str:
+    return f"try_divide({top}, {bottom} + 1e-12D)"
+
+
 def ratio_columns() -> dict[str, Column]:
     """Name to expression; inputs are statement items, their ``_ttm`` sums and ``_prev`` balance items."""
-    c = F.col
-    ttm = {item: c(f"{item}_ttm") for item in S.FLOW_ITEMS}
-    mean = {item: (c(item) + c(f"{item}_prev")) / 2 for item in S.AVERAGED_ITEMS}
-    cap, debt, cash = c("MthCap"), c("total_debt"), c("cash_items")
-    assets, equity = c("total_assets"), c("total_equity")
-    tca, tcl, inv = c("current_assets"), c("current_liabilities"), c("inventories")
-    ltd, std = c("long_term_debt"), c("short_term_debt")
-    rev, profit, op = ttm["revenue"], ttm["net_income"], ttm["operating_income"]
-    ocf, cor = ttm["operating_cash"], ttm["cost_of_revenue"]
-    interest = F.abs(ttm["interest_expense"])
-    ebitda = op + ttm["depreciation"]
-    net_assets = assets - tcl
-    net_assets_prev = c("total_assets_prev") - c("current_liabilities_prev")
-    ev = cap + debt - F.coalesce(cash, F.lit(0.0))
-    invested = equity + debt - F.coalesce(cash, F.lit(0.0))
-    spend = -ttm["fixed_asset_change"]
-    capex = F.when(spend.isNotNull(), F.greatest(spend, F.lit(0.0)))
-    free = ocf - capex
-    eps = F.lit(1e-12)
-    return {
-        "bm": ratio(equity, cap),
-        "ptb": ratio(cap + eps, equity),
-        "ps": ratio(cap + eps, rev),
-        "pcf": ratio(cap + eps, ocf),
-        "npm": ratio(profit, rev),
-        "gpm": ratio(ttm["gross_profit"], rev),
-        "roa": ratio(profit, assets),
-        "roe": ratio(profit, equity),
-        "aftret_eq": ratio(profit, mean["total_equity"]),
-        "aftret_equity": ratio(profit, mean["total_equity"]),
-        "EBIT_ttm": op,
-        "EBITDA_ttm": ebitda,
-        "roce": ratio(op, net_assets),
-        "pretret_noa": ratio(op, (net_assets + net_assets_prev) / 2),
-        "cash": cash,
-        "EV": ev,
-        "evm": ratio(ev, ebitda),
-        "debt_ebitda": ratio(debt, ebitda),
-        "pe_inc": ratio(cap, profit),
-        "pe_exi": ratio(cap, ttm["net_income_common"]),
-        "pe_op_basic": ratio(cap, op),
-        "pe_op_dil": ratio(cap, op),
-        "opmbd": ratio(op, rev),
-        "opmad": ratio(ebitda, rev),
-        "ptpm": ratio(ttm["pretax_income"], rev),
-        "cfm": ratio(ocf, rev),
-        "dpr": ratio(-F.coalesce(ttm["dividends_paid"], F.lit(0.0)), profit),
-        "de_ratio": ratio(debt, equity),
-        "capital_ratio": ratio(equity, assets),
-        "debt_at": ratio(debt, assets),
-        "debt_assets": ratio(debt, assets),
-        "debt_capital": ratio(debt, debt + equity),
-        "dltt_be": ratio(ltd, equity),
-        "intcov": ratio(op, interest),
-        "intcov_ratio": ratio(op, interest),
-        "int_debt": ratio(interest, debt),
-        "int_totdebt": ratio(interest, debt),
-        "curr_ratio": ratio(tca, tcl),
-        "quick_ratio": ratio(tca - inv, tcl),
-        "cash_ratio": ratio(cash, tcl),
-        "cash_conversion": ratio(ocf, profit),
-        "cash_lt": ratio(cash, assets),
-        "invt_act": ratio(inv, tca),
-        "rect_act": ratio(c("receivables"), tca),
-        "short_debt": ratio(std, debt),
-        "curr_debt": ratio(std, debt),
-        "lt_debt": ratio(ltd, debt),
-        "profit_lct": ratio(profit, tcl),
-        "ocf_lct": ratio(ocf, tcl),
-        "cash_debt": ratio(cash, debt),
-        "capex_ttm": capex,
-        "fcf_ttm": free,
-        "fcf_ocf": ratio(free, ocf),
-        "at_turn": ratio(rev, mean["total_assets"]),
-        "inv_turn": ratio(cor, mean["inventories"]),
-        "rect_turn": ratio(rev, mean["receivables"]),
-        "pay_turn": ratio(cor, mean["payables"]),
-        "invcap": invested,
-        "sale_invcap": ratio(rev, invested),
-        "sale_equity": ratio(rev, equity),
-        "sale_nwc": ratio(rev, tca - tcl),
-        "accrual": ratio(profit - ocf, assets),
-        "GProf": ratio(ttm["gross_profit"], assets),
-        "rd_sale": ratio(ttm["research"], rev),
-        "lt_ppent": ratio(c("ppe"), assets),
-        "efftax": ratio(ttm["income_tax"], ttm["pretax_income"]),
+    return {name: F.expr(text) for name, text in ratio_texts().items()}
+
+
+def ratio_texts() -> dict[str, str]:
+    """The ratios as SQL expressions; a zero divisor gives NULL."""
+    debt, cash, assets, equity, cap = "total_debt", "cash_items", "total_assets", "total_equity", "MthCap"
+    tca, tcl, inv, ltd, std = "current_assets", "current_liabilities", "inventories", "long_term_debt", "short_term_debt"
+    rev, profit, op, ocf, cor = "revenue_ttm", "net_income_ttm", "operating_income_ttm", "operating_cash_ttm", "cost_of_revenue_ttm"
+    interest = "abs(interest_expense_ttm)"
+    ebitda = f"({op} + depreciation_ttm)"
+    ev = f"({cap} + {debt} - coalesce({cash}, 0D))"
+    invested = f"({equity} + {debt} - coalesce({cash}, 0D))"
+    # A missing change stays missing: greatest alone would turn it into 0.
+    capex = "(CASE WHEN fixed_asset_change_ttm IS NOT NULL THEN greatest(-fixed_asset_change_ttm, 0D) END)"
+    free = f"({ocf} - {capex})"
+
+    def mean(item: str) -> str:
+        return f"({item} + {item}_prev) / 2"
+
+    value = {
+        "bm": _over(equity, cap), "ptb": _over(f"{cap} + 1e-12D", equity), "ps": _over(f"{cap} + 1e-12D", rev),
+        "pcf": _over(f"{cap} + 1e-12D", ocf), "npm": _over(profit, rev), "gpm": _over("gross_profit_ttm", rev),
+        "roa": _over(profit, assets), "roe": _over(profit, equity), "aftret_eq": _over(profit, mean(equity)),
+        "aftret_equity": _over(profit, mean(equity)), "EBIT_ttm": op, "EBITDA_ttm": ebitda,
+        "roce": _over(op, f"{assets} - {tcl}"),
+        "pretret_noa": _over(op, f"({assets} - {tcl} + ({assets}_prev - {tcl}_prev)) / 2"),
+        "cash": cash, "EV": ev, "evm": _over(ev, ebitda), "debt_ebitda": _over(debt, ebitda),
+        "pe_inc": _over(cap, profit), "pe_exi": _over(cap, "net_income_common_ttm"), "pe_op_basic": _over(cap, op),
+        "pe_op_dil": _over(cap, op),
+    }
+    margins = {
+        "opmbd": _over(op, rev), "opmad": _over(ebitda, rev), "ptpm": _over("pretax_income_ttm", rev), "cfm": _over(ocf, rev),
+        "dpr": _over("-coalesce(dividends_paid_ttm, 0D)", profit),
+    }
+    strength = {
+        "de_ratio": _over(debt, equity), "capital_ratio": _over(equity, assets), "debt_at": _over(debt, assets),
+        "debt_assets": _over(debt, assets), "debt_capital": _over(debt, f"{debt} + {equity}"), "dltt_be": _over(ltd, equity),
+        "intcov": _over(op, interest), "intcov_ratio": _over(op, interest), "int_debt": _over(interest, debt),
+        "int_totdebt": _over(interest, debt), "curr_ratio": _over(tca, tcl), "quick_ratio": _over(f"({tca} - {inv})", tcl),
+        "cash_ratio": _over(cash, tcl), "cash_conversion": _over(ocf, profit), "cash_lt": _over(cash, assets),
+        "invt_act": _over(inv, tca), "rect_act": _over("receivables", tca), "short_debt": _over(std, debt),
+        "curr_debt": _over(std, debt), "lt_debt": _over(ltd, debt), "profit_lct": _over(profit, tcl),
+        "ocf_lct": _over(ocf, tcl), "cash_debt": _over(cash, debt), "capex_ttm": capex, "fcf_ttm": free,
+        "fcf_ocf": _over(free, ocf),
+    }
+    use = {
+        "at_turn": _over(rev, mean(assets)), "inv_turn": _over(cor, mean(inv)), "rect_turn": _over(rev, mean("receivables")),
+        "pay_turn": _over(cor, mean("payables")), "invcap": invested, "sale_invcap": _over(rev, invested),
+        "sale_equity": _over(rev, equity), "sale_nwc": _over(rev, f"{tca} - {tcl}"),
+        "accrual": _over(f"({profit} - {ocf})", assets), "GProf": _over("gross_profit_ttm", assets),
+        "rd_sale": _over("research_ttm", rev), "lt_ppent": _over("ppe", assets), "efftax": _over("income_tax_ttm", "pretax_income_ttm"),
     }
+    return {**value, **margins, **strength, **use}
 
 
 # Intermediate amounts among the outputs; the others are ratios and are winsorized.
@@ -119,7 +89,7 @@ BASIC_RATIOS = {
 
 def ratio_names() -> list[str]:
     """Names of the winsorized ratios in formula order."""
-    return [n for n in ratio_columns() if n not in AMOUNTS]
+    return [n for n in ratio_texts() if n not in AMOUNTS]
 
 
 def with_previous(df: DataFrame, by: str = "TICKER", order: str = "public_date") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sized
+
 _ACCURACY = 10000
 _MARGIN = 4.0 / _ACCURACY
 
@@ -14,7 +16,7 @@ _MARGIN = 4.0 / _ACCURACY
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """One row per (``by``, prob) with the linearly interpolated quantile ``q`` and the number of values ``n``.
 
-    Two passes over ``df``. The first takes a bounded, mergeable sketch per group and reads from it a narrow bracket
+    Two passes over ``df``, neither of which moves its rows. The first takes a bounded, mergeable sketch per group and reads from it a narrow bracket
     around every wanted rank. The second counts what lies below and above the bracket and groups what lies inside by
     value; both combine on the map side, so a group of any size leaves a task as a few thousandths of its values. The
     wanted ranks are then read off the counts. The answer is exact; a bracket that missed its rank would raise.
@@ -25,7 +27,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     sketch = F.struct(F.count("__v").alias("n"),
                       F.percentile_approx("__v", F.array(*[F.lit(m) for m in marks]), _ACCURACY).alias("m"))
     brackets = data.groupBy(*by).agg(sketch.alias("__s"))
-    placed = data.join(brackets, by) if by else data.withColumn("__s", brackets.scalar())
+    placed = data.join(sized(brackets), by) if by else data.withColumn("__s", brackets.scalar())
     spans = F.array(*[
         F.struct(F.lit(float(p)).alias("prob"), F.col("__s.m")[2 * i].alias("lo"), F.col("__s.m")[2 * i + 1].alias("hi"))
         for i, p in enumerate(probs)])

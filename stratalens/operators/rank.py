@@ -8,18 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pct_rank(df: DataFrame, by: Sequence[str], value: str, out: str, slices: int = 32) -> DataFrame:
+def pct_rank(df: DataFrame, by: Sequence[str], value: str, out: str, slices: int = 64) -> DataFrame:
     """``df`` with the percentile rank of ``value`` in its group, ties averaged, NULL for NULL.
 
     Ranks are worked out on one row per distinct value (counted on the map side, so a value shared by many rows is
-    one row) and each group is cut into value slices taken from a sketch: counts per slice give the rank at which a
-    slice starts, the window only runs inside a slice. The ranks return by an equi-join on (group, value).
+    one row) and the value range is cut into slices of about equal share, taken from one sketch over all rows: counts
+    per slice give the rank at which a slice starts, the window only runs inside (group, slice). No slice holds more
+    than its share of all values, however uneven the groups. The ranks return by an equi-join on (group, value).
     """
     by = list(by)
     values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
     marks = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = values.groupBy(*by).agg(F.percentile_approx(value, marks, 1000).alias("__cuts"))
-    sliced = values.join(cuts, by).withColumn(
+    cuts = df.agg(F.percentile_approx(value, marks, 1000))
+    sliced = values.withColumn("__cuts", cuts.scalar()).withColumn(
         "__slice", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     sizes = sliced.groupBy(*by, "__slice").agg(F.sum("__n").alias("__m"))
     before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.columns import clip
+from ..session import sized
 from .quantile import exact_quantiles
 
 
@@ -24,6 +25,7 @@ def mad_bounds(df: DataFrame, columns: Sequence[str], n_mad: float = C.WINSOR_MA
     keys = [*by, "feature"]
     values = long_form(df, columns, by)
     mid = exact_quantiles(values, keys, "value", [0.5]).select(*keys, F.col("q").alias("median"))
+    mid = sized(mid)
     gaps = values.join(mid, keys).withColumn("gap", F.abs(F.col("value") - F.col("median")))
     mad = exact_quantiles(gaps, keys, "gap", [0.5]).select(*keys, F.col("q").alias("mad"))
     width = F.when(F.col("mad") > 0, F.lit(float(n_mad)) * F.col("mad"))
@@ -41,7 +43,7 @@ def winsorize(df: DataFrame, columns: Sequence[str], n_mad: float = C.WINSOR_MAD
     bounds = mad_bounds(df, columns, n_mad, by)
     maps = bounds.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
         "feature", F.struct("low", "high")))).alias("__bounds"))
-    work = df.join(maps, list(by), "left") if by else df.withColumn("__bounds", maps.scalar())
+    work = df.join(sized(maps), list(by), "left") if by else df.withColumn("__bounds", maps.scalar())
     chosen = set(columns)
 
     def clipped(name: str):

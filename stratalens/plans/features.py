@@ -12,6 +12,7 @@ from ..functions import columns as X
 from ..operators.quantile import exact_quantiles
 from ..operators.rank import pct_rank
 from ..operators.winsor import long_form, winsorize_percentiles
+from ..session import sized
 
 
 def forward_returns(df: DataFrame, periods: int = 3, validate_gap: bool = True, price: str = "MthPrc") -> DataFrame:
@@ -48,14 +49,14 @@ def neutralize(df: DataFrame, features: Sequence[str], by: Sequence[str] = ("sec
     """z-score within (sector, date); macro and size features stay, NULL and infinite become 0.
 
     Means and deviations are partial aggregates joined back by group, so a large group costs no more than its share
-    of the scan; Spark broadcasts the group table when it is small.
+    of the scan.
     """
     scored = [f for f in features if f not in C.NOT_NEUTRALIZED]
     if not scored or not set(by) <= set(df.columns):
         return df
     stats = df.groupBy(*by).agg(*[F.struct(F.avg(f).alias("m"), F.stddev(f).alias("s")).alias(f"__z_{f}")
                                   for f in scored])
-    joined = df.join(stats, list(by), "left")
+    joined = df.join(sized(stats), list(by), "left")
 
     def z(f: str) -> Column:
         raw = X.finite((F.col(f) - F.col(f"__z_{f}.m")) / (F.col(f"__z_{f}.s") + F.lit(C.EPS)))
@@ -130,7 +131,7 @@ def outlier_shares(df: DataFrame, features: Sequence[str], z: float = C.OUTLIER_
     for f in features:
         score = F.try_divide(F.abs(F.col(f) - F.col(f"__z_{f}.m")), F.col(f"__z_{f}.s"))
         hits = hits + F.coalesce((score > z).cast("int"), F.lit(0))
-    return df.join(stats, list(by), "left").select(*df.columns, (hits / F.lit(float(len(features)))).alias("outlier_share"))
+    return df.join(sized(stats), list(by), "left").select(*df.columns, (hits / F.lit(float(len(features)))).alias("outlier_share"))
 
 
 def drop_outliers(df: DataFrame, max_share: float = C.OUTLIER_SHARE, floor: int = C.OUTLIER_FLOOR) -> DataFrame:
@@ -141,7 +142,7 @@ def drop_outliers(df: DataFrame, max_share: float = C.OUTLIER_SHARE, floor: int
     """
     flagged = F.col("outlier_share") > max_share
     sizes = df.groupBy("public_date").agg(F.count("*").alias("__n"), F.count_if(flagged).alias("__out"))
-    work = df.join(sizes, "public_date")
+    work = df.join(sized(sizes), "public_date")
     short = F.col("__n") - F.col("__out") < floor
     regular = work.where(~short & ~flagged)
     small = work.where(short & (F.col("__n") <= floor))

@@ -15,7 +15,7 @@ from ..functions.ratios import ratio_names, total_debt, with_ratios
 from ..operators.asof import asof_join
 from ..operators.quantile import exact_quantiles
 from ..operators.winsor import winsorize
-from ..session import materialize
+from ..session import materialize, sized
 
 
 @dataclass
@@ -232,12 +232,12 @@ def add_macro(panel: DataFrame, macro: DataFrame, lag_rows: int = C.MACRO_LAG_RO
     """Macro columns of the same date, or with ``as_of`` of the latest date not after it."""
     lagged = lag_macro(macro, lag_rows)
     if not as_of:
-        return panel.join(lagged, "public_date", "left")
+        return panel.join(sized(lagged), "public_date", "left")
     cols = [c for c in lagged.columns if c != "public_date"]
     months = asof_join(panel.select("public_date").distinct().withColumn("__one", F.lit(1)),
                        lagged.withColumn("__one", F.lit(1)).withColumnRenamed("public_date", "__from"),
                        ["__one"], "public_date", "__from", cols)
-    return panel.join(months.drop("__one"), "public_date", "left")
+    return panel.join(sized(months.drop("__one")), "public_date", "left")
 
 
 # --- whole panel ----------------------------------------------------------------------------------------------

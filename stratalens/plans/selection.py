@@ -12,6 +12,7 @@ from ..functions import columns as X
 from ..operators.asof import asof_join
 from ..operators.quantile import exact_quantiles
 from ..operators.rank import pct_rank, top_k
+from ..session import sized
 
 
 def target_months(target: str) -> int:
@@ -94,7 +95,7 @@ def universe_returns(panel: DataFrame, target: str, weighting: str = "cap_weight
         "public_date", F.col(target).alias("r"), F.coalesce("MthCap", F.lit(0.0)).alias("w"))
     if weighting == "cap_weighted":
         cut = exact_quantiles(valid, ["public_date"], "w", [0.995]).select("public_date", F.col("q").alias("cut"))
-        valid = valid.join(cut, "public_date").withColumn(
+        valid = valid.join(sized(cut), "public_date").withColumn(
             "w", F.when(F.col("cut") > 0, F.least("w", "cut")).otherwise(F.col("w")))
         a = valid.groupBy("public_date").agg(F.sum(F.col("r") * F.col("w")).alias("rw"), F.sum("w").alias("w"),
                                              F.avg("r").alias("mean"))
@@ -114,7 +115,7 @@ def final_scores(df: DataFrame, score: str = "model_score", roe: str = "roe", we
     if weight <= 0 or roe not in df.columns:
         return df.withColumn("predicted_rank", F.col(score))
     edges = df.groupBy("public_date").agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    ranked = pct_rank(df, ["public_date"], roe, "roe_rank").join(edges, "public_date")
+    ranked = pct_rank(df, ["public_date"], roe, "roe_rank").join(sized(edges), "public_date")
     spread = F.col("__hi") - F.col("__lo")
     model_rank = F.when(spread > 0, (F.col(score) - F.col("__lo")) / spread).otherwise(F.lit(0.5))
     out = ranked.withColumn("roe_rank", F.coalesce("roe_rank", F.lit(0.5))).withColumn("model_rank", model_rank)
@@ -154,7 +155,7 @@ def turnover(selected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def factor_run(panel: DataFrame, dates: DataFrame, target: str, factor: str = "roe", n: int = C.N_STOCKS) -> tuple[DataFrame, DataFrame]:
     """Selection by one factor's percentile rank over all dates: (periods, selections)."""
     counts = split_counts(panel, dates, target, n).where("is_run").select("public_date")
-    test = panel.join(counts, "public_date", "left_semi").select(
+    test = panel.join(sized(counts), "public_date", "left_semi").select(
         "public_date", "TICKER", "sector", "MthCap", target, factor)
     ranked = pct_rank(test, ["public_date"], factor, "predicted_rank").withColumn(
         "predicted_rank", F.coalesce("predicted_rank", F.lit(0.5)))

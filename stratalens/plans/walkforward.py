@@ -16,6 +16,7 @@ from . import metrics as M
 from . import report as R
 from . import selection as L
 from .model import SelectionModel
+from .selection import final_scores, select_top
 
 
 @dataclass
@@ -77,8 +78,11 @@ def run(panel: DataFrame, index: DataFrame, start: str, end: str, *, freq: str =
         model.fit(known, target)
         test = model.fill(data.where(F.col("public_date") == F.lit(day)))
         if screen:
-            test = T.drop_outliers(T.outlier_shares(test, model.features))
-        picked = materialize(model.select(test, n).select("public_date", "TICKER", "sector", target, "position", "model_score", "predicted_rank"))
+            test = T.drop_outliers(materialize(T.outlier_shares(test, model.features)))
+        # One date's cross-section is stored before it is ranked, which reads it several times.
+        scored = materialize(model.predict(test))
+        picked = materialize(select_top(final_scores(scored, weight=model.roe_weight), n).select(
+            "public_date", "TICKER", "sector", target, "position", "model_score", "predicted_rank"))
         chosen = picked if chosen is None else chosen.unionByName(picked)
     if chosen is None:
         chosen = data.sparkSession.createDataFrame([], f"public_date date, TICKER string, sector string, `{target}` double, position int, model_score double, predicted_rank double")

@@ -55,3 +55,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A small aggregate, stored so that Spark knows how large it is before it plans a join with it.
+
+    Under the session's broadcast threshold the join leaves the large side where it is; above it Spark shuffles. An
+    unstored aggregate has no known size, and adaptive execution only finds it out after moving the large side.
+    """
+    return materialize(df)
