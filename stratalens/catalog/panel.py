@@ -190,7 +190,7 @@ def rated(spark, sf):
 
 def clean(spark, sf):
     t = X.tables(spark, sf, macro=False)
-    return P.quality_filter(P.clean_returns(P.add_sectors(rated(spark, sf), t.sectors, t.financials)))
+    return P.quality_filter(P.clean_returns(P.add_sectors(P.merge_and_rate(t, X.TIES), t.sectors, t.financials)))
 
 
 _STORED: dict = {}
@@ -274,7 +274,7 @@ def finite_returns(spark, sf):
 
 def quality_report(spark, sf):
     t = X.tables(spark, sf, macro=False)
-    return P.quality_report(P.add_sectors(rated(spark, sf), t.sectors, t.financials))
+    return P.quality_report(P.add_sectors(P.merge_and_rate(t, X.TIES), t.sectors, t.financials))
 
 
 def filtered(spark, sf):

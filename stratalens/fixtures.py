@@ -55,8 +55,15 @@ def with_sql(names: list[str], select: str, extra: dict[str, str] | None = None)
     return "WITH " + ",\n".join(f"{n} AS ({pool[n]})" for n in names) + "\n" + select
 
 
+_SCHEMAS: dict = {}
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """The driver's table; its schema is read from the file once."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def prices(spark: SparkSession, sf: str, sparse: bool = False) -> DataFrame:
