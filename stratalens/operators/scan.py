@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 
 def running_sums(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str],
-                 sums: dict[str, Column], kind: str = "double") -> DataFrame:
+                 sums: dict[str, Column]) -> DataFrame:
     """``df`` plus, for every entry of ``sums``, the running total up to and including the row.
 
     ``bucket`` is a coarse, order-preserving function of the first order column (for example its month). Rows are
-    summed inside (key, bucket); what the earlier buckets add comes from one row per (key, bucket). With a decimal
-    ``kind`` the totals are exact, whatever the split.
+    summed inside (key, bucket); what the earlier buckets add comes from one row per (key, bucket). Totals of decimal
+    columns are exact, whatever the split.
     """
-    zero = F.lit(0).cast(kind)
+    zero = F.lit(0)
     by = list(by)
     work = df.withColumn("__bucket", bucket)
     for name, value in sums.items():
-        work = work.withColumn(f"__x_{name}", value.cast(kind))
+        work = work.withColumn(f"__x_{name}", value)
     part = [*by, "__bucket"]
     totals = work.groupBy(*part).agg(*[F.sum(f"__x_{n}").alias(f"__t_{n}") for n in sums])
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import asof_join
 from ..operators.scan import linear_scan, reflected_position, running_sums
+from ..session import materialize
 
 KEY = ["account", "symbol"]
 ORDER = ["ts", "trade_id"]
@@ -33,8 +34,7 @@ def _line_bucket(c: Column) -> Column:
 def lots(trades: DataFrame) -> DataFrame:
     """Purchases with cost per share including fees, place on the bought line and cumulative cost."""
     buys = trades.where(F.col("side") == "BUY").withColumn("cost", F.col("quantity") * F.col("price") + F.col("fee"))
-    placed = running_sums(buys, KEY, _month(), ORDER, {"hi": F.col("quantity")}, _QTY)
-    placed = running_sums(placed, KEY, _month(), ORDER, {"cost_hi": F.col("cost"), "lot_no": F.lit(1)})
+    placed = running_sums(buys, KEY, _month(), ORDER, {"hi": F.col("quantity").cast(_QTY), "cost_hi": F.col("cost"), "lot_no": F.lit(1)})
     return placed.select(
         *KEY, "ts", "trade_id", "quantity", "price", "fee", "cost", F.try_divide("cost", "quantity").alias("unit_cost"),
         (F.col("hi") - F.col("quantity").cast(_QTY)).cast(_QTY).alias("lo"), F.col("hi").cast(_QTY).alias("hi"),
@@ -44,13 +44,17 @@ def lots(trades: DataFrame) -> DataFrame:
 def sales(trades: DataFrame) -> DataFrame:
     """Sales with their place on the sold line."""
     sells = trades.where(F.col("side") == "SELL")
-    placed = running_sums(sells, KEY, _month(), ORDER, {"hi": F.col("quantity")}, _QTY)
+    placed = running_sums(sells, KEY, _month(), ORDER, {"hi": F.col("quantity").cast(_QTY)})
     return placed.select(*KEY, "ts", "trade_id", "quantity", "price", "fee",
                          (F.col("hi") - F.col("quantity").cast(_QTY)).cast(_QTY).alias("lo"), F.col("hi").cast(_QTY).alias("hi"))
 
 
 def interval_cost(intervals: DataFrame, lot_table: DataFrame) -> DataFrame:
-    """``intervals`` (KEY, lo, hi) with cost, lots_used and oldest_lot of the bought line under them."""
+    """``intervals`` (KEY, lo, hi) with cost, lots_used and oldest_lot of the bought line under them.
+
+    The lots are looked up twice, so they are stored first.
+    """
+    lot_table = materialize(lot_table)
     names = ["lo", "hi", "ts", "unit_cost", "cost_lo", "cost_hi", "lot_no"]
 
     def side(mark: str) -> DataFrame:
@@ -71,7 +75,7 @@ def interval_cost(intervals: DataFrame, lot_table: DataFrame) -> DataFrame:
 def running_holding(trades: DataFrame) -> DataFrame:
     """Trades with the plain running holding; below zero where more was sold than bought so far."""
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    return running_sums(trades, KEY, _month(), ORDER, {"holding": signed}, _QTY)
+    return running_sums(trades, KEY, _month(), ORDER, {"holding": signed.cast(_QTY)})
 
 
 def oversold_keys(trades: DataFrame) -> DataFrame:
@@ -130,7 +134,7 @@ def lot_matches(trades: DataFrame) -> DataFrame:
 
     Pieces begin where a lot or a sale begins; each start finds its lot and its sale by an as-of look-up.
     """
-    lot_table, sale_table = lots(trades), sales(trades)
+    lot_table, sale_table = materialize(lots(trades)), materialize(sales(trades))
     starts = lot_table.select(*KEY, F.col("lo").alias("p")).unionByName(sale_table.select(*KEY, F.col("lo").alias("p"))).distinct()
     lot_side = lot_table.select(*KEY, "lo", F.col("trade_id").alias("lot_id"), F.col("ts").alias("lot_ts"),
                                 F.col("hi").alias("lot_hi"), "unit_cost", "lot_no")
