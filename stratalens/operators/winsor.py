@@ -37,17 +37,18 @@ def winsorize(df: DataFrame, columns: Sequence[str], n_mad: float = C.WINSOR_MAD
               by: Sequence[str] = ()) -> DataFrame:
     """Clip ``columns`` to median ± n·MAD over all rows, or per ``by`` group.
 
-    The input is read several times, so pass a stored table. Bounds are a handful of values: without ``by`` they
-    enter as one map from a scalar subquery, with ``by`` as one map per group through an equi-join.
+    The input is read several times, so pass a stored table. Bounds are a handful of values in one struct with a field
+    per column: without ``by`` it enters from a scalar subquery, with ``by`` one per group through an equi-join.
     """
     bounds = mad_bounds(df, columns, n_mad, by)
-    maps = bounds.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
-        "feature", F.struct("low", "high")))).alias("__bounds"))
-    work = df.join(sized(maps), list(by), "left") if by else df.withColumn("__bounds", maps.scalar())
+    pair = F.struct("low", "high")
+    rows = bounds.groupBy(*by).agg(F.struct(*[
+        F.first(F.when(F.col("feature") == c, pair), ignorenulls=True).alias(c) for c in columns]).alias("__bounds"))
+    work = df.join(sized(rows), list(by), "left") if by else df.withColumn("__bounds", rows.scalar())
     chosen = set(columns)
 
     def clipped(name: str):
-        b = F.try_element_at(F.col("__bounds"), F.lit(name))
+        b = F.col("__bounds").getField(name)
         return clip(F.col(name), b["low"], b["high"]).alias(name)
 
     return work.select(*[clipped(c) if c in chosen else F.col(c) for c in df.columns])

@@ -203,7 +203,8 @@ def running_positions(trades: DataFrame) -> DataFrame:
     held = reflected_position(trades, KEY, _month(), ORDER, signed, "shares", _QTY).withColumn("shares", F.col("shares").cast("double"))
     w = F.when(buy & (F.col("shares") > 0), F.col("quantity") / F.col("shares")).otherwise(F.lit(0.0))
     steps = held.withColumn("__keep", 1 - w).withColumn("__add", w * F.col("price"))
-    run = linear_scan(steps, KEY, _month(), ORDER, "__keep", "__add", "avg_cost")
+    # Days, not months: what is folded per bucket is one entry per 256 rows.
+    run = linear_scan(steps, KEY, F.col("ts").cast("date"), ORDER, "__keep", "__add", "avg_cost")
     open_ = F.col("shares") > 0
     return run.select(*trades.columns, "shares", F.when(open_, F.col("avg_cost")).alias("avg_cost"),
                       F.when(open_, F.col("avg_cost") * F.col("shares")).otherwise(F.lit(0.0)).alias("total_cost"))

@@ -11,13 +11,13 @@ from .mapping import statement_columns
 def write_panel(panel: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
     """Parquet by year of the month end, sorted by ticker inside the files, or CSV with a header.
 
-    Rows of a year are first spread over tasks by year and ticker, so a year does not end in one task and the number
-    of files per year follows its size.
+    Rows are first laid out in ranges of (year, ticker): a large year is shared by several tasks, and the number of
+    files is about the number of tasks plus the number of years.
     """
     if format == "csv":
         panel.write.mode(mode).csv(path, header=True)
         return
-    (panel.withColumn("year", F.year("public_date")).repartition("year", "TICKER").sortWithinPartitions("year", "TICKER", "public_date")
+    (panel.withColumn("year", F.year("public_date")).repartitionByRange("year", "TICKER").sortWithinPartitions("year", "TICKER", "public_date")
      .write.mode(mode).partitionBy("year").parquet(path))
 
 

@@ -60,7 +60,7 @@ def maintain_month_bars(stream: DataFrame, daily: str, bars: str, checkpoint: st
         stored = spark.read.option("basePath", daily).parquet(daily).where(F.col("month").isin(months))
         unique = stored.dropDuplicates(["ticker", "date"]) if not ties else stored
         rebuilt = last_rows_of_month(unique, ties)
-        (rebuilt.repartition("public_date", "TICKER").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (rebuilt.repartitionByRange("public_date", "TICKER").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("public_date").parquet(bars))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -77,7 +77,7 @@ def maintain_point_in_time(stream: DataFrame, statements: str, bars: DataFrame,
             return
         known = spark.read.option("basePath", statements).parquet(statements).drop("batch")
         merged = merge_point_in_time(bars.where(F.col("public_date") > F.lit(first)), known, lag_months)
-        (merged.repartition("public_date", "TICKER").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (merged.repartitionByRange("public_date", "TICKER").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("public_date").parquet(panel))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
