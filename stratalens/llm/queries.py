@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import licences, linkgraph, packing, pulearn, quality, tokenfile
+from stratalens.llm import decontaminate, licences, linkgraph, packing, partenum, pulearn, quality, sentences, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,22 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.repeated(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), host="source").drop("common_lines")
 
@@ -39,5 +51,5 @@ def op10_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_file, op3_licence_scan, op7_quality_rules, op8_packed_windows, op9_link_verdicts, op10_positive_unlabelled)}
+    f.__name__: f for f in (op1_token_file, op2_benchmark_leaks, op3_licence_scan, op4_similar_documents, op5_repeated_sentences, op7_quality_rules, op8_packed_windows, op9_link_verdicts, op10_positive_unlabelled)}
 ORACLE_SQL: dict[str, str] = {"op9_link_verdicts": linkgraph.oracle()}
