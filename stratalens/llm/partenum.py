@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm.components import connected
@@ -19,9 +19,11 @@ from stratalens.session import materialize
 _LARGEST = 1 << 40
 _SEEDS = 24
 _SPLIT = 256  # documents compared with one other in one piece of work
+_WORDS = 8  # of 64 bits in a parity sketch
+_SKETCH = [f"s{k}" for k in range(_WORDS)]
 _HASHES = WordHashes()
 
-_STAGE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+_STAGE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), *((c, pa.int64()) for c in _SKETCH), ("signatures", pa.list_(pa.int64()))])
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -43,6 +45,21 @@ def linked(a: np.ndarray, b: np.ndarray, part: int, whole: int) -> bool:
     return whole * common >= part * (len(a) + len(b) - common)
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements in 512 buckets, as 64-bit words.
+
+    Two sketches differ in no more bits than their sets have elements that only one has.
+    """
+    bucket = (mixed(elements ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(64 * _WORDS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=64 * _WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _may_link(x: str, y: str, part: int, whole: int) -> Column:
+    """Whether the sketches of rows ``x`` and ``y`` allow the similarity: no similar pair fails."""
+    bits = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in _SKETCH), F.lit(0))
+    return bits * (whole + part) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (whole - part)
+
+
 class PartEnum:
     """Signatures such that any two sets with ``part / whole`` of their union in common share one.
 
@@ -99,19 +116,21 @@ def _signed(df: DataFrame, size: int, part: int, whole: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                keys, signatures, lengths = [], [], [0]
+                keys, sketches, signatures, lengths = [], [], [], [0]
                 for text in some.column(3):
                     found = shingles(text.as_py(), size)
                     scattered = mixed(found)
                     signed = scheme.signatures(found)
                     keys.append((len(found), int(scattered.sum(dtype=np.uint64).view(np.int64)), int(mixed(scattered).sum(dtype=np.uint64).view(np.int64))))
+                    sketches.append(sketch(found))
                     signatures.append(signed)
                     lengths.append(lengths[-1] + len(signed))
                 values = pa.array(np.concatenate(signatures).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], *(pa.array(c, pa.int64()) for c in zip(*keys, strict=True)),
+                bits = np.stack(sketches)
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], *(pa.array(c, pa.int64()) for c in zip(*keys, strict=True)), *(pa.array(bits[:, k]) for k in range(_WORDS)),
                                                   pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)], schema=_STAGE)
 
-    schema = "row long, doc_id long, text_key long, n long, k1 long, k2 long, signatures array<long>"
+    schema = f"row long, doc_id long, text_key long, n long, k1 long, k2 long, {', '.join(f'{c} long' for c in _SKETCH)}, signatures array<long>"
     return df.mapInArrow(run, schema)
 
 
@@ -120,12 +139,16 @@ def _given(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, size: int, part: int, whole: int) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     """The ``pairs`` (a, b) of rows whose sets are similar enough, by the sets of their ``texts`` (row, text).
 
+    First, pairs go that the sketches in ``sets`` rule out.
     All partners of a ``b`` follow it in one stream, at most some hundreds to a piece, so its set is made once a piece
     and a task holds two sets.
     """
+    x, y = sets.alias("x"), sets.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.row")).join(y, F.col("b") == F.col("y.row"))
+    pairs = materialize(both.where(_may_link("x", "y", part, whole)).select("a", "b"))
     pieces = pairs.groupBy("b").agg(F.ceil(F.count("*") / _SPLIT).cast("int").alias("pieces"))
     heads = pieces.join(texts, F.col("b") == F.col("row")).select("b", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("kind"), "row", "text")
     rest = pairs.join(pieces, "b").join(texts, F.col("a") == F.col("row")).select("b", F.pmod(F.hash("a"), F.col("pieces")).alias("piece"), F.lit(1).alias("kind"), "row", "text")
@@ -156,7 +179,8 @@ def groups(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100) -> Da
     and only its first member goes on. Candidates share a PartEnum signature. Each is compared first with the smallest
     member of its signatures; then, where members of a signature are still in different components, with the smallest
     member of each such signature; and then those still apart, with one another. Every comparison is exact, and a pair
-    is left out only when its members are already linked.
+    is left out only when its members are already linked or their parity sketches differ in more bits than similar sets
+    can differ in elements.
 
     The hashes of shingles have 64 bits, sets are told apart by their size and two such sums. A null or empty text has
     no shingles and is linked with nothing; equal texts, also of one doc_id, are one class; an empty table gives no
@@ -164,8 +188,8 @@ def groups(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100) -> Da
     """
     given = _given(df)
     stage = materialize(_signed(given.select(F.monotonically_increasing_id().alias("row"), "*"), size, part, whole))
-    sets = stage.where(F.col("n") > 0).groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "row", "text_key")).alias("first"))
-    classes = materialize(sets.select("n", "k1", "k2", "first.*"))
+    equal = stage.where(F.col("n") > 0).groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "row", "text_key", *_SKETCH)).alias("first"))
+    classes = materialize(equal.select("n", "k1", "k2", "first.*"))
     single = stage.select("row", "signatures").join(classes.select("row"), "row", "left_semi")
     signed = single.select("row", F.explode("signatures").alias("signature"))
     # Sorted by signature and row, the first row of a signature is known when the others pass: nothing is gathered.
@@ -174,9 +198,10 @@ def groups(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100) -> Da
 
     nearest = shared.groupBy(F.col("row").alias("a")).agg(F.min("first").alias("b"))
     ends = shared.select("row").union(shared.select("first")).distinct()
-    wanted = materialize(classes.join(ends, "row").select("row", "doc_id", "text_key"))
+    wanted = materialize(classes.join(ends, "row").select("row", "doc_id", "text_key", "n", *_SKETCH))
+    sets = wanted.select("row", "n", *_SKETCH)
     texts = materialize(given.where(probably_in(wanted, "text_key")(F.col("text_key"))).join(wanted, ["doc_id", "text_key"]).select("row", "text").dropDuplicates(["row"]))
-    compare = lambda pairs: materialize(_compared(pairs, texts, size, part, whole))
+    compare = lambda pairs: materialize(_compared(pairs, sets, texts, size, part, whole))
 
     edges = compare(nearest)
     labels = connected(edges)
@@ -191,9 +216,10 @@ def groups(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100) -> Da
     members = still.select("signature", "row").union(still.select("signature", F.col("first").alias("row"))).distinct()
     members = materialize(_labelled(members, labels))
     mixed_ones = members.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("signature")
-    members = materialize(members.join(mixed_ones, "signature", "left_semi"))
+    members = members.join(mixed_ones, "signature", "left_semi").join(sets, "row")
     left, right = members.alias("x"), members.alias("y")
-    crossed = left.join(right, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.row") > F.col("y.row")) & (F.col("x.root") != F.col("y.root")))
+    other = (F.col("x.row") > F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", part, whole)
+    crossed = left.join(right, (F.col("x.signature") == F.col("y.signature")) & other)
     tested = nearest.unionByName(further)
     rest = compare(crossed.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
@@ -202,7 +228,7 @@ def groups(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100) -> Da
     rooted = _labelled(classes, labels)
     lowest = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("lowest"))
     known = rooted.join(lowest, "root").select("n", "k1", "k2", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row").alias("first_row"))
-    out = stage.drop("signatures").join(known, ["n", "k1", "k2"], "left")
+    out = stage.drop("signatures", *_SKETCH).join(known, ["n", "k1", "k2"], "left")
     return out.select("row", "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                       F.when(F.col("n") > 0, F.col("first_row")).otherwise(F.col("row")).alias("first_row"))
 
