@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import decontaminate, licences, linkgraph, packing, partenum, pulearn, quality, sentences, tokenfile
+from stratalens.llm import decontaminate, licences, linkgraph, packing, partenum, pii, pulearn, quality, sentences, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.repeated(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), host="source").drop("common_lines")
 
@@ -51,5 +55,5 @@ def op10_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_file, op2_benchmark_leaks, op3_licence_scan, op4_similar_documents, op5_repeated_sentences, op7_quality_rules, op8_packed_windows, op9_link_verdicts, op10_positive_unlabelled)}
+    f.__name__: f for f in (op1_token_file, op2_benchmark_leaks, op3_licence_scan, op4_similar_documents, op5_repeated_sentences, op6_personal_data, op7_quality_rules, op8_packed_windows, op9_link_verdicts, op10_positive_unlabelled)}
 ORACLE_SQL: dict[str, str] = {"op9_link_verdicts": linkgraph.oracle()}
