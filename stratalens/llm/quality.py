@@ -15,8 +15,8 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _normal(line: Column) -> Column:
-    """A line without differences of case, outer blanks and digits."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.btrim(line, F.lit(_BLANKS))), _SPACE, " "), "[0-9]+", "0")
+    """A line without differences of case and blanks."""
+    return F.regexp_replace(F.lower(F.btrim(line, F.lit(_BLANKS))), _SPACE, " ")
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
