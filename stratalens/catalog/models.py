@@ -91,27 +91,34 @@ def daily_unique(spark, sf):
 PARTS = [("1900-01-01", "1997-06-30"), ("1997-07-01", "1999-06-30"), ("1999-07-01", "2100-01-01")]
 
 
-def deliver(df, folder, column, start, overlap_days=0):
+def deliver(df, folder, column, start, overlap_days=0, change=lambda part, d: d):
     """Three deliveries in time order; after each the stream is started again, takes what is new, and stops."""
     for i, (low, high) in enumerate(PARTS):
         since = F.date_sub(F.lit(low).cast("date"), overlap_days if i else 0)
-        df.where(F.col(column).cast("date").between(since, F.lit(high).cast("date"))).write.mode("append").parquet(folder)
+        part = df.where(F.col(column).cast("date").between(since, F.lit(high).cast("date")))
+        change(i, part).write.mode("append").parquet(folder)
         start().awaitTermination()
 
 
 def stream_prices(spark, sf):
-    """Deliveries overlap by 200 days, and the first rows come twice in a delivery too."""
+    """Deliveries overlap by 200 days, and the first rows come twice in a delivery too; every fifth ticker's whole history comes last."""
     landing, table, cp = (fresh(spark, n) for n in ("landing", "prices", "cp"))
     d = daily_unique(spark, sf)
     known = X.companies(spark, sf).where(F.col("sector") != "ASIA").select("ticker")
-    deliver(d.unionByName(d.where(F.month("date") == 1)), landing, "date",
-            lambda: G.append_prices(G.deduplicated(G.price_stream(spark, landing), known), table, cp), 200)
+    d = d.unionByName(d.where(F.month("date") == 1)).withColumn("arrival", F.when(F.pmod(F.crc32("ticker"), F.lit(5)) == 0, F.lit("2099-01-01").cast("date")).otherwise(F.col("date")))
+    deliver(d, landing, "arrival", lambda: G.append_prices(G.price_stream(spark, landing), table, cp, known), 200, lambda i, part: part.drop("arrival"))
     return rounded(spark.read.parquet(table), ["ticker", "date", "id"], ["adj_close", "dividend", "shares"])
 
 
 def stream_bars(spark, sf):
+    """The last 40 days of a delivery have prices that the next delivery, which has these days again, corrects."""
     landing, daily, table, cp = (fresh(spark, n) for n in ("landing", "daily", "bars", "cp"))
-    deliver(daily_unique(spark, sf), landing, "date", lambda: G.maintain_month_bars(G.price_stream(spark, landing), daily, table, cp), 40)
+
+    def wrong(i, part):
+        last = i == len(PARTS) - 1
+        return part if last else part.withColumn("adj_close", F.when(F.col("date") > F.date_sub(F.lit(PARTS[i][1]).cast("date"), 38), F.col("adj_close") * 1.5).otherwise(F.col("adj_close")))
+
+    deliver(daily_unique(spark, sf), landing, "date", lambda: G.maintain_month_bars(G.price_stream(spark, landing), daily, table, cp), 40, wrong)
     return rounded(spark.read.parquet(table), ["TICKER", "public_date", "gvkey", "last_date"], ["MthPrc", "shares", "Div_m"])
 
 
@@ -121,7 +128,7 @@ def stream_panel(spark, sf):
         "ticker", "fiscal_year", "fiscal_period", "publish_date", "revenue", "total_equity", "net_income_ttm"))
     b = materialize(bars(spark, sf).select("TICKER", "public_date", "MthPrc"))
     deliver(fund, landing, "publish_date", lambda: G.maintain_point_in_time(spark.readStream.schema(fund.schema).parquet(landing), seen, b, table, cp))
-    return rounded(spark.read.parquet(table).where(F.col("fiscal_year").isNotNull()), ["TICKER", "public_date", "fiscal_year", "fiscal_period"], ["MthPrc", "revenue", "total_equity", "net_income_ttm"])
+    return rounded(spark.read.parquet(table), ["TICKER", "public_date", "fiscal_year", "fiscal_period"], ["MthPrc", "revenue", "total_equity", "net_income_ttm"])
 
 
 def stream_positions(spark, sf):
@@ -133,7 +140,7 @@ def stream_positions(spark, sf):
 
 
 DAILY_SQL = {"daily": "SELECT ticker, date, max(id) AS id, avg(adj_close) AS adj_close, sum(dividend) AS dividend, max(shares) AS shares FROM prices GROUP BY 1, 2"}
-PIT_SELECT = "SELECT " + rounded_sql(["TICKER", "public_date", "fiscal_year", "fiscal_period"], ["MthPrc", "revenue", "total_equity", "net_income_ttm"]) + " FROM pit WHERE fiscal_year IS NOT NULL"
+PIT_SELECT = "SELECT " + rounded_sql(["TICKER", "public_date", "fiscal_year", "fiscal_period"], ["MthPrc", "revenue", "total_equity", "net_income_ttm"]) + " FROM pit"
 
 
 def positions_sql():

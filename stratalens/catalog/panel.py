@@ -316,6 +316,13 @@ def macro_lagged(spark, sf):
     return rounded(P.lag_macro(P.pivot_macro(X.macro_long(spark, sf), ["F", "O", "P"])), ["public_date"], ["F", "O", "P"])
 
 
+MONTHS = {
+    "seen": "SELECT last_day(date) AS public_date, arg_max(level, date) AS level FROM benchmark_daily WHERE month(date) <> 4 GROUP BY 1",
+    "every": """SELECT last_day(m::DATE) AS public_date FROM (SELECT unnest(generate_series(date_trunc('month', min(public_date))::TIMESTAMP, max(public_date)::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM seen)""",
+    "filled": "SELECT e.public_date, s.level, year(e.public_date) * 12 + month(e.public_date) AS n FROM every e ASOF LEFT JOIN seen s ON e.public_date >= s.public_date",
+}
+
+
 def macro_changes(spark, sf):
     daily = X.benchmark_daily(spark, sf).where(F.month("date") != 4)
     m = P.month_end_macro(daily, ["level"])
@@ -439,11 +446,8 @@ QUERIES = {
     "w6_macro_lag": (macro_lagged, with_sql(
         ["macro_long", "macro_wide", "macro_lagged"],
         f"SELECT {rounded_sql(['public_date'], ['F', 'O', 'P'])} FROM macro_lagged", MACRO)),
-    "w7_macro_changes": (macro_changes, with_sql(["benchmark_daily"], f"""SELECT public_date, {sig_sql('level')} AS level,
-  {sig_sql('level / lag(level, 1) OVER (ORDER BY public_date) - 1')} AS "1mo_change",
-  {sig_sql('level / lag(level, 12) OVER (ORDER BY public_date) - 1')} AS "1yr_change"
-  FROM (SELECT last_day(date) AS public_date, arg_max(level, date) AS level FROM benchmark_daily WHERE month(date) <> 4
-  GROUP BY 1)""")),
+    "w7_macro_changes": (macro_changes, with_sql(["benchmark_daily", "seen", "every", "filled"], f"""SELECT a.public_date, {sig_sql('a.level')} AS level, {sig_sql('a.level / b.level - 1')} AS "1mo_change",
+  {sig_sql('a.level / c.level - 1')} AS "1yr_change" FROM filled a LEFT JOIN filled b ON a.n = b.n + 1 LEFT JOIN filled c ON a.n = c.n + 12""", MONTHS)),
     "j9_macro_join": (macro_joined, with_sql(
         [*BARS_NAMES, "macro_long", "macro_wide", "macro_lagged"],
         f"SELECT {rounded_sql(['TICKER', 'public_date'], ['MthPrc', 'F', 'O', 'P'])} FROM bars LEFT JOIN macro_lagged USING (public_date)",

@@ -20,6 +20,9 @@ FEATURE_CATEGORIES = {
 ALL_FEATURES = [name for names in FEATURE_CATEGORIES.values() for name in names]
 NOT_NEUTRALIZED = FEATURE_CATEGORIES["macro"] + FEATURE_CATEGORIES["size"]
 
+# Derived macro columns as (series, months).
+MACRO_CHANGES = {"1mo_inf_rate": ("USACPIALLMINMEI", 1), "1yr_inf_rate": ("USACPIALLMINMEI", 12), "1mo_GDP": ("GDP", 1), "1yr_GDP": ("GDP", 12)}
+
 # Model parameters and training thresholds.
 FOREST = {"trees": 500, "depth": 12, "feature_share": 0.3, "min_leaf": 50, "sample_share": 0.7, "seed": 42}
 RIDGE_ALPHA = 1.0

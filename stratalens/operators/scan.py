@@ -7,6 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` that also matches null with null; a null time is a bucket of its own, before all others."""
+    right = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(right, same).drop(*[f"__r_{k}" for k in keys])
+
 
 def running_sums(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str],
                  sums: dict[str, Column]) -> DataFrame:
@@ -29,7 +38,7 @@ def running_sums(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequen
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         work.select("*", *[F.sum(f"__x_{n}").over(inside).alias(f"__i_{n}") for n in sums])
-        .join(bases, part)
+        .transform(_joined, bases, part)
         .select(*df.columns, *[(F.col(f"__b_{n}") + F.coalesce(F.col(f"__i_{n}"), zero)).alias(n) for n in sums])
     )
 
@@ -56,7 +65,7 @@ def reflected_position(df: DataFrame, by: Sequence[str], bucket: Column, order:
     )
     x = F.col("__base") + F.col("__i")
     lowest = F.least(zero, F.col("__reached"), F.col("__base") + F.col("__low"))
-    return work.join(bases, part).select(*df.columns, (x - lowest).alias(out))
+    return _joined(work, bases, part).select(*df.columns, (x - lowest).alias(out))
 
 
 def linear_scan(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], keep: str, add: str,
@@ -76,7 +85,7 @@ def linear_scan(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequenc
     step = "named_struct('k', x.k * s.k, 'a', x.k * s.a + x.a)"
     unit = "named_struct('k', 1.0D, 'a', 0.0D)"
     fold = f"aggregate({{}}, {unit}, (s, x) -> {step})"
-    blocks = blocks.withColumn("__f", F.expr(fold.format("__rows")))
+    blocks = materialize(blocks.withColumn("__f", F.expr(fold.format("__rows"))))  # three plans read it
 
     def carry_in(items: DataFrame, over_cols: list[str], index: str, value: str) -> DataFrame:
         packed = items.groupBy(*over_cols).agg(
@@ -96,14 +105,13 @@ def linear_scan(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequenc
                   .withColumn("__g", F.expr(fold.format("__fs"))))
     bucket_in = carry_in(per_bucket.select(*part, "__g"), by, "__bucket", "__g")
     start = (
-        block_in.withColumnRenamed("__in", "__bin")
-        .join(bucket_in.withColumnRenamed("__in", "__kin"), part)
+        _joined(block_in.withColumnRenamed("__in", "__bin"), bucket_in.withColumnRenamed("__in", "__kin"), part)
         .select(*part, "__block", (F.col("__bin.k") * F.col("__kin.a") + F.col("__bin.a")).alias("__y0"))
     )
     run = ("aggregate(__rows, named_struct('y', __y0, 'o', cast(array() as array<double>)),"
            " (s, x) -> named_struct('y', x.k * s.y + x.a, 'o', array_append(s.o, x.k * s.y + x.a))).o")
     return (
-        blocks.join(start, [*part, "__block"])
+        _joined(blocks, start, [*part, "__block"])
         .withColumn("__o", F.expr(run))
         .select(F.explode(F.arrays_zip("__rows", "__o")).alias("z"))
         .select("z.__rows.row.*", F.col("z.__o").alias(out))

@@ -52,7 +52,7 @@ def sales(trades: DataFrame) -> DataFrame:
 def interval_cost(intervals: DataFrame, lot_table: DataFrame) -> DataFrame:
     """``intervals`` (KEY, lo, hi) with cost, lots_used and oldest_lot of the bought line under them.
 
-    The lots are looked up twice, so they are stored first.
+    The lots are looked up twice, so they are stored first. An interval without shares costs nothing and uses no lot.
     """
     lot_table = materialize(lot_table)
     names = ["lo", "hi", "ts", "unit_cost", "cost_lo", "cost_hi", "lot_no"]
@@ -67,9 +67,11 @@ def interval_cost(intervals: DataFrame, lot_table: DataFrame) -> DataFrame:
     one = (d("hi") - d("lo")) * F.col("a_unit_cost")
     several = ((d("a_hi") - d("lo")) * F.col("a_unit_cost") + (d("hi") - d("b_lo")) * F.col("b_unit_cost")
                + F.when(F.col("b_lot_no") > F.col("a_lot_no") + 1, F.col("b_cost_lo") - F.col("a_cost_hi")).otherwise(0.0))
+    empty = F.col("hi") <= F.col("lo")
     return b.select(*intervals.columns,
-                    F.when(F.col("a_lot_no") == F.col("b_lot_no"), one).otherwise(several).alias("cost_basis"),
-                    (F.col("b_lot_no") - F.col("a_lot_no") + 1).alias("lots_used"), F.col("a_ts").alias("oldest_lot"))
+                    F.when(empty, 0.0).when(F.col("a_lot_no") == F.col("b_lot_no"), one).otherwise(several).alias("cost_basis"),
+                    F.when(empty, F.lit(0)).otherwise(F.col("b_lot_no") - F.col("a_lot_no") + 1).cast("long").alias("lots_used"),
+                    F.when(~empty, F.col("a_ts")).alias("oldest_lot"))
 
 
 def running_holding(trades: DataFrame) -> DataFrame:

@@ -207,23 +207,47 @@ def add_cap_buckets(panel: DataFrame, year_adjusted: bool = True, base_year: int
 # --- macro ----------------------------------------------------------------------------------------------------
 
 def pivot_macro(long: DataFrame, indicators: Sequence[str]) -> DataFrame:
-    """(date, indicator, value) rows to one row per date; the indicator list keeps the schema fixed."""
-    return long.groupBy(F.col("date").alias("public_date")).pivot("indicator", list(indicators)).agg(F.first("value"))
+    """(date, indicator, value) rows to one row per date; the indicator list keeps the schema fixed. Of repeated
+    readings the largest counts, whatever their order."""
+    return long.groupBy(F.col("date").alias("public_date")).pivot("indicator", list(indicators)).agg(F.max("value"))
+
+
+def _calendar(macro: DataFrame) -> DataFrame:
+    """One row for every calendar month between the first and the last of ``macro``."""
+    ends = macro.agg(F.trunc(F.min("public_date"), "month").alias("low"), F.trunc(F.max("public_date"), "month").alias("high")).where("low IS NOT NULL")
+    months = F.sequence("low", "high", F.expr("interval 1 month"))
+    return ends.select(F.explode(months).alias("m")).select(F.last_day("m").alias("public_date"))
 
 
 def month_end_macro(series: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per month end, the last reading of the month, gaps filled from the month before."""
+    """One row per calendar month, the last reading of the month; gaps, whole months too, are filled from the month before.
+
+    ``series`` has a ``date``, or a ``public_date`` as the macro reader names it.
+    """
+    date = "date" if "date" in series.columns else "public_date"
     order = Window.orderBy("public_date").rowsBetween(Window.unboundedPreceding, 0)
-    m = series.groupBy(F.last_day("date").alias("public_date")).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c) for c in columns])
-    return m.select("public_date", *[F.last(c, ignorenulls=True).over(order).alias(c) for c in columns])
+    m = series.where(F.col(date).isNotNull()).groupBy(F.last_day(date).alias("__month")).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(date))).alias(c) for c in columns]).withColumnRenamed("__month", "public_date")
+    every = _calendar(m).join(m, "public_date", "left")
+    return every.select("public_date", *[F.last(c, ignorenulls=True).over(order).alias(c) for c in columns])
 
 
 def add_changes(macro: DataFrame, changes: dict[str, tuple[str, int]]) -> DataFrame:
-    """Percent changes over rows: name -> (column, rows)."""
-    w = Window.orderBy("public_date")
-    return macro.select("*", *[(F.try_divide(F.col(c), F.lag(c, n).over(w)) - 1).alias(name)
-                               for name, (c, n) in changes.items()])
+    """Percent changes over calendar months: name -> (column, months). ``macro`` has one row for each month it has."""
+    number = F.year("public_date") * 12 + F.month("public_date")
+    out = macro.withColumn("__n", number)
+    for months in sorted({n for _, n in changes.values()}):
+        wanted = sorted({c for c, n in changes.values() if n == months})
+        before = macro.select((number + months).alias("__n"), *[F.col(c).alias(f"__{months}_{c}") for c in wanted])
+        out = out.join(before, "__n", "left")
+    return out.select(*macro.columns, *[(F.try_divide(F.col(c), F.col(f"__{n}_{c}")) - 1).alias(name) for name, (c, n) in changes.items()])
+
+
+def macro_features(series: DataFrame) -> DataFrame:
+    """Month-end macro table of a series file, with the inflation and output changes that its columns allow."""
+    columns = [c for c in series.columns if c not in ("date", "public_date")]
+    changes = {name: pair for name, pair in C.MACRO_CHANGES.items() if pair[0] in columns}
+    return add_changes(month_end_macro(series, columns), changes)
 
 
 def lag_macro(macro: DataFrame, rows: int = C.MACRO_LAG_ROWS) -> DataFrame:
@@ -267,8 +291,9 @@ def build_panel(tables: Tables, *, ties: Sequence[str] = (), lag_months: int = C
                 shares: DataFrame | None = None, apply_filters: bool = True, year_adjusted: bool = True,
                 base_year: int = C.CAP_BASE_YEAR, clip_ratios: bool = True, n_mad: float = C.WINSOR_MAD,
                 legacy_keywords: bool = False, macro_lag: int = C.MACRO_LAG_ROWS, exclude_financials: bool = True,
-                macro_as_of: bool = False) -> DataFrame:
-    """The panel. Medians for buckets and clipping are taken after the filters; the filtered panel is stored once
+                macro_as_of: bool = False, derive_macro: bool = False) -> DataFrame:
+    """The panel. With ``derive_macro`` the macro table holds readings of any frequency, which become month ends with
+    derived changes. Medians for buckets and clipping are taken after the filters; the filtered panel is stored once
     because they read it several times."""
     panel = add_sectors(merge_and_rate(tables, ties, lag_months, shares), tables.sectors, tables.financials,
                         exclude_financials)
@@ -281,5 +306,6 @@ def build_panel(tables: Tables, *, ties: Sequence[str] = (), lag_months: int = C
     if clip_ratios:
         panel = winsorize(panel, winsor_columns(panel, legacy_keywords), n_mad)
     if tables.macro is not None:
-        panel = add_macro(panel, tables.macro, macro_lag, macro_as_of)
+        macro = macro_features(tables.macro) if derive_macro else tables.macro
+        panel = add_macro(panel, macro, macro_lag, macro_as_of)
     return panel.dropna(subset=["gvkey", "public_date", "MthPrc", "MthCap"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,14 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def get_session(app: str = "stratalens", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with adaptive execution and skew handling on; the cluster's own settings win where given."""
+    """Session with adaptive execution and skew handling on; settings that the cluster or the caller gives win."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    for key, value in {k.replace("__", "."): v for k, v in conf.items()}.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    given = dict(spark.sparkContext.getConf().getAll())
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -23,9 +28,10 @@ def get_session(app: str = "stratalens", master: str | None = None, **conf: str)
         # The JVM leaves methods over 8000 bytes uncompiled; wide ratio projections run split instead.
         "spark.sql.codegen.hugeMethodLimit": "8000",
     }
-    for key, value in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+    for key, value in defaults.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:

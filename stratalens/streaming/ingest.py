@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.panel import last_rows_of_month, merge_point_in_time
+from ..session import materialize
 
 DAILY = T.StructType([
     T.StructField("ticker", T.StringType()), T.StructField("id", T.StringType()), T.StructField("date", T.DateType()),
@@ -26,39 +27,61 @@ def price_stream(spark: SparkSession, folder: str, schema: T.StructType = DAILY,
     return reader.parquet(folder)
 
 
-def deduplicated(stream: DataFrame, symbols: DataFrame | None = None, delay: str = "400 days") -> DataFrame:
-    """Known symbols only, one row per (ticker, date); the state of a key is dropped ``delay`` after its date."""
-    out = stream.where(F.col("ticker").isNotNull() & F.col("date").isNotNull()).withColumn("event_time", F.col("date").cast("timestamp"))
-    if symbols is not None:
-        out = out.join(symbols.select("ticker").distinct(), "ticker", "left_semi")
-    return out.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["ticker", "date"]).drop("event_time")
+def _store(batch: DataFrame, batch_id: int, table: str) -> None:
+    """A batch into ``table`` under its month and id; a replayed batch replaces its own files and nothing else."""
+    laid_out = batch.withColumns({"month": F.last_day("date"), "batch": F.lit(batch_id)}).repartitionByRange("month", "ticker")
+    (laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(table))
 
 
-def append_prices(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """All files present now into the price table, by month; the checkpoint keeps what was read, so a restart resumes."""
-    return (stream.withColumn("month", F.last_day("date")).writeStream.format("parquet").partitionBy("month").option("path", table)
-            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+def _stored(spark: SparkSession, batch: DataFrame, table: str) -> DataFrame:
+    """Rows of ``table`` in the months of a batch, whose list prunes the partitions; no rows while there is no table."""
+    schema = T.StructType([*batch.schema.fields, T.StructField("month", T.DateType()), T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("month", "batch").parquet(table)
+    months = [r[0] for r in batch.select(F.last_day("date")).distinct().collect()]
+    return spark.read.schema(schema).parquet(table).where(F.col("month").isin(months))
 
 
-def _months_of(batch: DataFrame, column: str) -> list:
-    """Distinct month ends of a batch; they are used to prune partitions."""
-    return [r[0] for r in batch.select(F.last_day(column)).distinct().collect()]
+def _one_a_day(rows: DataFrame, first: Sequence[str] = ()) -> DataFrame:
+    """One row per (ticker, date): the largest by ``first`` and then by all columns, so a replay chooses the same."""
+    rest = [c for c in rows.columns if c not in ("ticker", "date", *first)]
+    best = F.max(F.struct(*first, *rest)).alias("__best")
+    return rows.groupBy("ticker", "date").agg(best).select("ticker", "date", *[F.col(f"__best.{c}").alias(c) for c in rest])
+
+
+def append_prices(stream: DataFrame, table: str, checkpoint: str, symbols: DataFrame | None = None) -> StreamingQuery:
+    """All files present now into the price table, one row per (ticker, date), known symbols only.
+
+    A row enters unless an earlier batch has brought its day already, whatever its age: every batch is compared with the
+    stored months it touches, and there is no watermark. The checkpoint keeps what was read, so a restart resumes.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where(F.col("ticker").isNotNull() & F.col("date").isNotNull())
+        if symbols is not None:
+            rows = rows.join(symbols.select("ticker").distinct(), "ticker", "left_semi")
+        rows = materialize(_one_a_day(rows).select(*batch.columns))
+        earlier = _stored(batch.sparkSession, rows, table).where(F.col("batch") < batch_id)
+        _store(rows.join(earlier.select("ticker", "date"), ["ticker", "date"], "left_anti"), batch_id, table)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def maintain_month_bars(stream: DataFrame, daily: str, bars: str, checkpoint: str, ties: Sequence[str] = ()) -> StreamingQuery:
     """Month rows kept current: a batch is stored under its id, and the months it touches are rebuilt and overwritten.
 
-    Storing and overwriting are idempotent, so a replayed batch changes nothing.
+    Of a day that several batches bring, the latest batch counts, so a corrected price replaces the first one. Without
+    ``ties`` a batch has one row per ticker and day. Storing and overwriting are idempotent.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("month", F.last_day("date"))
-        batch.write.mode("overwrite").partitionBy("month").parquet(f"{daily}/batch={batch_id}")
-        months = _months_of(batch, "date")
-        if not months:
+        batch = materialize(batch.where(F.col("ticker").isNotNull() & F.col("date").isNotNull()))
+        if batch.isEmpty():
             return
-        stored = spark.read.option("basePath", daily).parquet(daily).where(F.col("month").isin(months))
-        unique = stored.dropDuplicates(["ticker", "date"]) if not ties else stored
+        _store(batch, batch_id, daily)
+        stored = _stored(batch.sparkSession, batch, daily).drop("month")  # listed after the batch is in it
+        if ties:
+            latest = stored.groupBy("ticker", "date").agg(F.max("batch").alias("batch"))
+            unique = stored.join(latest, ["ticker", "date", "batch"], "left_semi").drop("batch")
+        else:
+            unique = _one_a_day(stored, ["batch"])
         rebuilt = last_rows_of_month(unique, ties)
         (rebuilt.repartitionByRange("public_date", "TICKER").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("public_date").parquet(bars))
@@ -67,17 +90,31 @@ def maintain_month_bars(stream: DataFrame, daily: str, bars: str, checkpoint: st
 
 
 def maintain_point_in_time(stream: DataFrame, statements: str, bars: DataFrame, panel: str, checkpoint: str, lag_months: int = 1) -> StreamingQuery:
-    """Panel rows refreshed as statements arrive: months from the first one a new statement can reach are merged again,
-    with the batch as-of operator, and overwritten."""
+    """Panel rows refreshed as statements arrive.
+
+    The first batch writes every month of every ticker, with or without a known statement. A later one merges again the
+    rows of its own tickers from the first month a new statement can reach, with the batch as-of operator, and writes
+    those months with the other tickers' rows as they are.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{statements}/batch={batch_id}")
-        first = batch.agg(F.add_months(F.min("publish_date"), lag_months)).first()[0]
-        if first is None:
-            return
         known = spark.read.option("basePath", statements).parquet(statements).drop("batch")
-        merged = merge_point_in_time(bars.where(F.col("public_date") > F.lit(first)), known, lag_months)
-        (merged.repartitionByRange("public_date", "TICKER").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        schema = merge_point_in_time(bars, known, lag_months).schema
+        spark.createDataFrame([], schema).write.mode("ignore").partitionBy("public_date").parquet(panel)
+        written = spark.read.schema(schema).parquet(panel).select(*schema.fieldNames())
+        reach = batch.where(F.col("publish_date").isNotNull()).groupBy(F.col("ticker").alias("TICKER")).agg(F.add_months(F.min("publish_date"), lag_months).alias("since"))
+        first = reach.agg(F.min("since")).first()[0]
+        if written.isEmpty():
+            rebuilt = merge_point_in_time(bars, known, lag_months)
+        elif first is None:
+            return
+        else:
+            touched = reach.select("TICKER")
+            late = F.col("public_date") >= F.lit(first)
+            own = merge_point_in_time(bars.where(late).join(touched, "TICKER", "left_semi"), known.join(touched.withColumnRenamed("TICKER", "ticker"), "ticker", "left_semi"), lag_months)
+            rebuilt = own.select(*schema.fieldNames()).unionByName(written.where(late).join(touched, "TICKER", "left_anti"))
+        (materialize(rebuilt).repartitionByRange("public_date", "TICKER").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("public_date").parquet(panel))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -164,3 +164,41 @@ def test_neutralized_groups_have_mean_zero(spark):
     for r in out.groupBy("sector", "public_date").agg(F.avg("bm").alias("m"), F.stddev("bm").alias("s")).collect():
         assert abs(r.m) < 1e-12 and r.s == pytest.approx(1.0)
     assert out.agg(F.sum("MthCap")).first()[0] == sum(r[3] for r in rows)
+
+
+def test_fifo_edges(spark):
+    """A sale of nothing costs nothing; a trade without a time comes before all others, and is neither lost nor counted twice."""
+    from stratalens.plans import ledger
+
+    rows = [("a", "x", "2020-01-05 10:00:00", "1", "BUY", 10.0, 12.0, 0.0), ("a", "x", "2020-02-05 10:00:00", "2", "SELL", 0.0, 15.0, 0.0),
+            ("a", "x", "2020-02-06 10:00:00", "3", "SELL", 10.0, 15.0, 0.0), ("a", "x", None, "0", "BUY", 5.0, 2.0, 0.0), ("a", "x", "2020-03-06 10:00:00", "4", "SELL", 5.0, 15.0, 0.0)]
+    trades = spark.createDataFrame(rows, "account string, symbol string, ts string, trade_id string, side string, quantity double, price double, fee double")
+    trades = trades.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("quantity", F.col("quantity").cast("decimal(18,6)"))
+    got = {r.trade_id: (r.cost_basis, r.lots_used) for r in ledger.disposals(trades).collect()}
+    assert got == {"2": (0.0, 0), "3": (70.0, 2), "4": (60.0, 1)}
+    assert {r.trade_id: float(r.holding) for r in ledger.running_holding(trades).collect()} == {"0": 5, "1": 15, "2": 15, "3": 5, "4": 0}
+
+
+def test_macro_over_missing_months(spark):
+    """Readings of a file become month ends and changes over calendar months, whole missing months filled."""
+    from stratalens.plans.panel import macro_features
+
+    rows = [("2020-01-10", 100.0, 1.0), ("2020-01-20", 110.0, 1.0), ("2020-03-05", 121.0, 2.0), ("2021-01-31", 132.0, 4.0), (None, 5.0, 5.0)]
+    series = spark.createDataFrame(rows, "public_date string, GDP double, FEDFUNDS double").withColumn("public_date", F.col("public_date").cast("date"))
+    got = {str(r.public_date)[:7]: r for r in macro_features(series).collect()}
+    assert len(got) == 13 and got["2020-02"].GDP == 110 and got["2020-02"]["1mo_GDP"] == 0
+    assert abs(got["2020-03"]["1mo_GDP"] - 0.1) < 1e-12 and abs(got["2021-01"]["1yr_GDP"] - 0.2) < 1e-12 and got["2020-12"]["1yr_GDP"] is None
+
+
+def test_late_prices_are_kept(spark, tmp_path):
+    """A new ticker's old history that arrives after newer dates enters; a day already stored does not enter again."""
+    from stratalens.streaming import ingest
+
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("landing", "table", "checkpoint"))
+    deliveries = [[("A", "1", "2020-06-01", 1.0), ("A", "1", "2020-06-02", 2.0)], [("B", "2", "2010-01-04", 3.0), ("B", "2", "2020-06-03", 4.0), ("A", "1", "2020-06-02", 9.0)]]
+    for rows in deliveries:
+        df = spark.createDataFrame([(t, i, d, p, 0.0, 1.0) for t, i, d, p in rows], "ticker string, id string, date string, adj_close double, dividend double, shares double")
+        df.withColumn("date", F.col("date").cast("date")).write.mode("append").parquet(landing)
+        ingest.append_prices(ingest.price_stream(spark, landing), table, checkpoint).awaitTermination()
+    got = sorted((r.ticker, str(r.date), r.adj_close) for r in spark.read.parquet(table).collect())
+    assert got == [("A", "2020-06-01", 1.0), ("A", "2020-06-02", 2.0), ("B", "2010-01-04", 3.0), ("B", "2020-06-03", 4.0)]
