@@ -6,22 +6,26 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from .. import fixtures as X
 from ..fixtures import with_sql
+from ..functions.ratios import ratio_texts
+from ..plans import features as T
 from ..plans import panel as P
 from ..plans import walkforward as K
 from ..plans.model import SelectionModel
 from ..session import materialize, shared_folder
 from ..streaming import ingest as G
 from .ledger import POSITION, REPLAY_BASE, money, money_sql, recursive
-from .panel import PIT_NAMES, all_ctes, bars, rounded, rounded_sql, stored_clean
+from .panel import CLEAN_NAMES, PIT_NAMES, all_ctes, bars, rounded, rounded_sql, stored_clean
 
-FEATS = ["bm", "ptb", "ps", "pcf", "npm", "roa", "roe", "de_ratio", "curr_ratio", "at_turn", "inv_turn", "divyield", "evm", "MthCap"]
 BASE = ["TICKER", "public_date", "sector", "1mo_return", "3mo_return", "1yr_return"]
 
 
 def data(spark, sf):
-    return stored_clean(spark, sf).select(*BASE, *FEATS)
+    """The panel with every feature it has."""
+    d = stored_clean(spark, sf)
+    return d.select(*BASE, *[f for f in C.ALL_FEATURES if f in d.columns and f not in BASE])
 
 
 def ridge():
@@ -81,6 +85,39 @@ def stored_model(spark, sf):
     return a.join(b, ["TICKER", "public_date"]).groupBy("public_date").agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("a") - F.col("b")) < 1e-12).alias("n_equal"))
 
 
+def optimality(spark, sf):
+    """Per kept feature whether the ridge's gradient over all training rows is zero."""
+    d = data(spark, sf)
+    model = ridge()
+    rows = materialize(model.training_rows(d, "3mo_return"))
+    model._fit_ridge(rows)
+    weights = dict(zip(model.features, model.fitted.coefficients.toArray(), strict=True))
+    z = {f: (F.col(f) - model.means[f]) / model.scales[f] for f in model.features}
+    gap = F.col("target_rank") - model.fitted.intercept - sum((z[f] * float(w) for f, w in weights.items()), F.lit(0.0))
+    # The gradient of squared errors and penalty, against the size of its terms.
+    sums = rows.select(gap.alias("gap"), *[z[f].alias(f) for f in model.features]).agg(*[F.sum(F.col("gap") * F.col(f)).alias(f) for f in model.features]).first()
+    found = [(f, bool(abs(sums[f] - C.RIDGE_ALPHA * weights[f]) < 1e-6 * model.n_rows)) for f in model.features]
+    return spark.createDataFrame(found, "feature string, is_optimal boolean")
+
+
+def linear_scores(spark, sf):
+    """Rows whose score is the intercept plus the weighted, scaled features, computed apart."""
+    d = data(spark, sf)
+    model = ridge().fit(d, "3mo_return")
+    weights = dict(zip(model.features, model.fitted.coefficients.toArray(), strict=True))
+    scored = model.predict(d).select("TICKER", "public_date", "model_score")
+    z = T.neutralize(model.fill(d), model.features)
+    own = sum(((F.col(f) - model.means[f]) / model.scales[f] * float(w) for f, w in weights.items()), F.lit(float(model.fitted.intercept)))
+    both = scored.join(z.select("TICKER", "public_date", own.alias("own")), ["TICKER", "public_date"])
+    return both.groupBy("public_date").agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("own") - F.col("model_score")) < 1e-9).alias("n_equal"))
+
+
+_PANEL_FEATURES = [f for f in C.ALL_FEATURES if f in {*ratio_texts(), "MthCap", "divyield"}]
+# A feature is kept if at most half of the rows with a target lack it.
+KEPT_SQL = " UNION ALL ".join(
+    f"""SELECT '{f}' AS feature, true AS is_optimal FROM clean WHERE "3mo_return" IS NOT NULL HAVING 1 - count("{f}") / count(*) <= {C.MISSING_THRESHOLD}""" for f in _PANEL_FEATURES)
+
+
 # --- streams --------------------------------------------------------------------------------------------------
 
 def daily_unique(spark, sf):
@@ -155,7 +192,9 @@ QUERIES = {
     "m1_m2_m6_o4_ridge_importances": (importances, None),
     "m4_m5_p20_latest_selection": (latest, None),
     "m3_forest_selection": (forest_latest, None),
-    "s19_stored_model": (stored_model, None),
+    "s19_stored_model": (stored_model, with_sql(CLEAN_NAMES, "SELECT public_date, count(*) AS n_rows, count(*) AS n_equal FROM clean GROUP BY 1", all_ctes())),
+    "m2_ridge_optimality": (optimality, with_sql(CLEAN_NAMES, KEPT_SQL, all_ctes())),
+    "m4_linear_scores": (linear_scores, with_sql(CLEAN_NAMES, "SELECT public_date, count(*) AS n_rows, count(*) AS n_equal FROM clean GROUP BY 1", all_ctes())),
     "t1_s18_u3_stream_prices": (stream_prices, with_sql(["prices", "companies", "daily"], f"""SELECT d.ticker, date, id, {rounded_sql([], ['adj_close', 'dividend', 'shares'])} FROM daily d
   JOIN companies c ON d.ticker = c.ticker WHERE c.sector <> 'ASIA'""", DAILY_SQL)),
     "t2_stream_month_bars": (stream_bars, with_sql(["prices", "daily"], f"""SELECT ticker AS TICKER, public_date, gvkey, last_date, {rounded_sql([], ['MthPrc', 'shares', 'Div_m'])} FROM (SELECT ticker,

@@ -8,7 +8,7 @@ from .. import fixtures as X
 from .. import schemas as S
 from ..fixtures import sig, sig_sql, with_sql
 from ..functions import columns as K
-from ..functions.ratios import (AMOUNTS, BASIC_RATIOS, ratio_columns, ratio_names, with_averages, with_basic_ratios,
+from ..functions.ratios import (AMOUNTS, BASIC_RATIOS, ratio_texts, ratio_names, with_averages, with_basic_ratios,
                                 with_previous)
 from ..operators.asof import asof_join
 from ..operators.winsor import mad_bounds, winsorize
@@ -252,7 +252,7 @@ def averages(spark, sf):
 
 
 def ratios(spark, sf):
-    return rounded(rated(spark, sf), ["TICKER", "public_date"], list(ratio_columns()))
+    return rounded(rated(spark, sf), ["TICKER", "public_date"], list(ratio_texts()))
 
 
 def basic_ratios(spark, sf):
@@ -404,7 +404,7 @@ QUERIES = {
         ["balance"], "SELECT ticker, publish_date, " + ", ".join(
             sig_sql(f"({i} + lag({i}) OVER (PARTITION BY ticker ORDER BY publish_date)) / 2") + f" AS {i}_avg"
             for i in S.AVERAGED_ITEMS) + " FROM balance")),
-    "p25_ratios": (ratios, sql(RATED_NAMES, f"SELECT {rounded_sql(['TICKER', 'public_date'], list(ratio_columns()))} FROM rated")),
+    "p25_ratios": (ratios, sql(RATED_NAMES, f"SELECT {rounded_sql(['TICKER', 'public_date'], list(ratio_texts()))} FROM rated")),
     "p26_basic_ratios": (basic_ratios, sql(
         RATED_NAMES, f"SELECT {rounded_sql(['TICKER', 'public_date'], list(BASIC_RATIOS))} FROM rated")),
     "j6_j7_p12_sectors": (sectored, sql(

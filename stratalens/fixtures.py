@@ -50,9 +50,10 @@ SQL = {
 
 
 def with_sql(names: list[str], select: str, extra: dict[str, str] | None = None) -> str:
-    """A SELECT behind the named common table expressions, in the given order."""
+    """A SELECT behind the named common table expressions, in the given order; those that others read often are kept."""
     pool = {**SQL, **(extra or {})}
-    return "WITH " + ",\n".join(f"{n} AS ({pool[n]})" for n in names) + "\n" + select
+    kept = {"month_rows", "m0", "m1"}
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in kept else ''}({pool[n]})" for n in names) + "\n" + select
 
 
 _SCHEMAS: dict = {}

@@ -76,7 +76,8 @@ class SelectionModel:
         alpha = float(self.params.get("alpha", C.RIDGE_ALPHA))
         # The solver divides by the row count and by the label's deviation; undo both to penalise alpha·|w|².
         estimator = LinearRegression(featuresCol="vector", labelCol="target_rank", predictionCol="model_score", solver="normal",
-                                     elasticNetParam=0.0, standardization=False, regParam=alpha / self.n_rows * (stats["label"] or 0.0))
+                                     elasticNetParam=0.0, standardization=False, regParam=alpha / self.n_rows * (stats["label"] or 0.0),
+                                     maxIter=1000, tol=1e-12)  # for the iterations that follow where features are collinear
         self.fitted = estimator.fit(self._vectors(rows).select("vector", "target_rank"))
 
     def _fit_forest(self, rows: DataFrame) -> None:
