@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import decontaminate, licences, linkgraph, packing, partenum, pii, pulearn, quality, sentences, tokenfile
+from stratalens.llm import decontaminate, licences, linkgraph, oracles, packing, partenum, pii, pulearn, quality, sentences, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,4 +56,4 @@ def op10_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_file, op2_benchmark_leaks, op3_licence_scan, op4_similar_documents, op5_repeated_sentences, op6_personal_data, op7_quality_rules, op8_packed_windows, op9_link_verdicts, op10_positive_unlabelled)}
-ORACLE_SQL: dict[str, str] = {"op9_link_verdicts": linkgraph.oracle()}
+ORACLE_SQL: dict[str, str] = {"op4_similar_documents": oracles.SIMILAR, "op7_quality_rules": oracles.quality(), "op9_link_verdicts": linkgraph.oracle()}
