@@ -50,7 +50,6 @@ TAF_MAX = 7.27
 CGT_RATE = 0.33
 CGT_EXEMPTION = 1270.0
 WITHHOLDING = 0.15
-WITHHOLDING_NO_TREATY = 0.30
 
 # Walk-forward defaults.
 N_STOCKS = 15
@@ -61,7 +60,6 @@ FREQ_TARGET = {"M": "1mo_return", "Q": "3mo_return", "S": "6mo_return", "A": "1y
 FREQ_PERIODS = {"M": 12, "S": 2, "Q": 4, "A": 1, "Y": 1}
 HORIZONS = {"1mo_return": 1, "3mo_return": 3, "6mo_return": 6, "1yr_return": 12}
 MIN_TRAIN_ROWS = 500
-PORTFOLIO_SIZES = [10, 15, 20, 30, 50]
 
 # Panel pipeline.
 FUNDAMENTAL_LAG_MONTHS = 1

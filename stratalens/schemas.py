@@ -70,7 +70,7 @@ B_BALANCE = {
     "longTermDebtNoncurrent": "long_term_debt", "cashAndShortTermInvestments": "cash_items", "cash": "cash_items",
     "cashAndCashEquivalents": "cash_items", "propertyPlantEquipment": "ppe", "propertyPlantAndEquipmentNet": "ppe",
     "totalLiabilities": "total_liabilities", "accountsPayable": "payables",
-    "commonStockSharesOutstanding": "shares", "sharesOutstanding": "shares",
+    "commonStockSharesOutstanding": "shares", "sharesOutstanding": "shares", "Shares Outstanding": "shares",
     "capitalExpenditures": "fixed_asset_change",
 }
 B_CASHFLOW = {
@@ -83,12 +83,6 @@ B_COMPANIES = {
     "Industry": "industry", "GicSector": "gics_sector", "GicGroup": "gics_group", "GicIndustry": "gics_industry",
     "GicSubIndustry": "gics_subindustry",
 }
-B_MACRO = {
-    "gdp_current_usd": "GDP", "real_interest_rate": "REAL_INT_RATE",
-    "inflation_consumer_prices_annual": "INFLATION", "interest_rate": "INTEREST_RATE",
-    "unemployment_total": "UNEMPLOYMENT",
-}
-
 INCOME_ITEMS = list(INCOME_HEADERS.values())
 BALANCE_ITEMS = list(BALANCE_HEADERS.values())
 CASHFLOW_ITEMS = list(CASHFLOW_HEADERS.values())

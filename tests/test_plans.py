@@ -149,3 +149,14 @@ def test_forest_ranks_like_the_signal(spark, tmp_path):
     m.save(str(tmp_path / "m"))
     back = SelectionModel.load(spark, str(tmp_path / "m"))
     assert back.features == m.features and back.predict(d).count() == d.count()
+
+
+@pytest.mark.parametrize("column", ["commonStockSharesOutstanding", "sharesOutstanding", "Shares Outstanding"])
+def test_shares_from_balance_sheets(spark, tmp_path, column):
+    """Each of the vendor's names for share counts; a missing publish date falls back to the report date."""
+    from stratalens.sources.readers import VendorB
+
+    df = spark.createDataFrame([("A", "2020-03-31", "100"), ("A", "2020-06-30", None), ("B", "2020-03-31", "7")], "ticker string, day string, n string")
+    df.select(F.col("ticker").alias("code"), F.col("day").alias("date"), F.col("n").alias(column)).write.parquet(str(tmp_path / "balance.parquet"))
+    got = sorted((r.ticker, str(r.date), r.shares) for r in VendorB(spark, str(tmp_path)).shares().collect())
+    assert got == [("A", "2020-03-31", 100.0), ("B", "2020-03-31", 7.0)]
