@@ -20,17 +20,18 @@ class PieceEncoder:
 
     Both tokenizer families used here divide a text wherever a character is followed by white space, and wherever a
     letter or digit is followed by a punctuation mark, before they merge anything. So the ids of a text are the ids of
-    its pieces in a row; the tokenizers library encodes every piece. At most ``limit`` pieces and those of the last
-    group of texts are remembered, none of more than 64 characters.
+    its pieces in a row; the tokenizers library encodes every piece. Pieces are remembered in two generations of at most
+    ``limit`` and those of a group of texts, none of more than 64 characters; when the younger is full, the older goes.
     """
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 450_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = limit
         self._seen: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers; a null text has none."""
@@ -46,18 +47,21 @@ class PieceEncoder:
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         pieces = [_PIECE.findall(t) for t in texts]
-        new = list(set(chain.from_iterable(pieces)).difference(self._seen))
+        missed = set(chain.from_iterable(pieces)).difference(self._seen)
+        again = missed & self._older.keys()
+        self._seen.update((p, self._older[p]) for p in again)
+        new = list(missed - again)
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for piece, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self._seen[piece] = array("I", got.ids).tobytes()
         for one in pieces:
             yield b"".join(map(self._seen.__getitem__, one))
-        if len(self._seen) > self._limit:
-            self._seen.clear()
         for piece in new:
             if len(piece) > _LONG:
-                self._seen.pop(piece, None)
+                del self._seen[piece]
+        if len(self._seen) > self._limit:
+            self._older, self._seen = self._seen, {}
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -22,6 +22,8 @@ BLOCK_IDS = 65_536
 STRIDE = 128  # words between two offsets
 
 SCHEMA = "shard int, block int, first long, n_ids long, doc_ids array<long>, lengths array<int>, raw array<int>, offsets array<int>, words binary"
+# Index of the first width that holds an id, for the ids of common vocabularies.
+_WIDTH = np.searchsorted([1 << bits for _, bits in PACKS], np.arange(1 << 16), "right").astype(np.uint8)
 _COUNT = np.array([0] + [n for n, _ in PACKS] + [1], np.int64)
 _BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                     ("lengths", pa.list_(pa.int32())), ("raw", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32())), ("words", pa.binary())])
@@ -37,14 +39,19 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, "<u8"), np.zeros(0, np.int32), np.zeros(0, np.int32)
     padded = np.concatenate([ids.astype(np.uint64), np.zeros(60, np.uint64)])
-    width = np.zeros(n + 60, np.uint8)
-    for _, bits in PACKS:
-        width += padded >= np.uint64(1 << bits)  # index of the first width that holds the id
+    if padded.max() < len(_WIDTH):
+        width = _WIDTH[padded.astype(np.int64)]
+    else:
+        width = sum((padded >= np.uint64(1 << bits)).astype(np.uint8) for _, bits in PACKS)
+    widest = int(width.max())
     best = np.full(n, ESCAPE, np.uint8)
-    bits_at = [bits for _, bits in PACKS]
+    too_wide = np.zeros(n + 61, np.int32)
     for selector in range(len(PACKS), 0, -1):
-        count, bits = PACKS[selector - 1]
-        too_wide = np.concatenate([[0], np.cumsum(width > bits_at.index(bits), dtype=np.int32)])
+        if selector > widest:  # holds every id of the block
+            best[:] = selector
+            continue
+        count = PACKS[selector - 1][0]
+        np.cumsum(width > selector - 1, dtype=np.int32, out=too_wide[1:])
         best[too_wide[count : count + n] == too_wide[:n]] = selector
     step = _COUNT[best].tolist()
     starts = []
