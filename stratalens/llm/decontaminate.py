@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.hashing import rolled
@@ -25,10 +25,11 @@ _LITERAL, _NUMBER, _UNIT, _NAME, _NONE, _ENDS = 0, 1, 2, 3, 4, 8
 _SLOTS = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in ("", "number", "unit", "name")], np.uint64)
 _DROP = re.compile(r"[\W_]+")
 _BREAK = "\x00"
+LEVELS = (1, 2)  # of windows, from the strictest
 BITS = 24  # of the filter in front of the join: 2 MB whatever the size of the benchmark
 
-SCHEMA = "row long, id long, window long, place int, slots array<string>"
-_ARROW = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
+SCHEMA = "row long, id long, window long, place int, slots array<string>, level int"
+_ARROW = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("level", pa.int32())])
 
 
 class _Words(dict):
@@ -57,42 +58,68 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def windows(text: str, size: int, least_literals: int) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """Hashes and first words of the windows of a text, its words, and per window the span of template words and whether it has slots.
+class Windows:
+    """Hashes and first words of the windows of a text, its words, and per window the span of template words and its level.
 
     The template has a number, unit or name in place of each such word; a name is a capitalised word that does not begin
     a sentence, and several in a row are one. Windows with a slot also come as plain words, so that a text with other
-    capitals still meets the item.
+    capitals still meets the item. Windows with a capitalised word that begins a sentence come once more with all such
+    words as names. Levels: 0 for windows without slots, 1 for those of the template, 2 with names that begin sentences.
     """
-    pieces = text.replace("\n", f" {_BREAK} ").split()
-    values = np.fromiter(map(_WORDS.__getitem__, pieces), np.uint64, len(pieces))
-    flags = (values & np.uint64(15)).astype(np.int8)
-    is_word = (flags & 7) != _NONE
-    opens = np.concatenate([[True], (flags[:-1] & _ENDS) > 0]) if len(pieces) else np.zeros(0, bool)
-    at = np.flatnonzero(is_word)
-    kind, opens, plain = (flags[at] & 7), opens[at], values[at] & np.uint64(2**64 - 16)
-    words = [pieces[i] for i in at]
-    after = np.concatenate([[_LITERAL], kind[:-1]]) if len(at) else kind
-    slot = np.where(kind == _NUMBER, _NUMBER, np.where((kind == _UNIT) & (after == _NUMBER), _UNIT, np.where((kind == _NAME) & ~opens, _NAME, 0)))
-    keep = np.flatnonzero(~((slot == _NAME) & (np.concatenate([[0], slot[:-1]]) == _NAME))) if len(at) else np.zeros(0, np.int64)
-    template = np.where(slot[keep] > 0, _SLOTS[slot[keep]], plain[keep])
-    hashes = rolled(template, size)
-    n = len(hashes)
-    filled = np.concatenate([[0], np.cumsum(slot[keep] > 0)])
-    slots_in = filled[size : size + n] - filled[:n]
-    good = size - slots_in >= least_literals
-    spans = np.stack([keep[:n], keep[size - 1 : size - 1 + n] + 1], axis=1) if n else np.zeros((0, 2), np.int64)
-    hashes, first, spans, has = hashes[good], keep[:n][good], spans[good], slots_in[good] > 0
-    whole = rolled(plain, size)
-    m = len(whole)
-    any_slot = np.concatenate([[0], np.cumsum(slot > 0)])
-    changed = np.flatnonzero(any_slot[size : size + m] - any_slot[:m] > 0)
-    return (np.concatenate([hashes, whole[changed]]), np.concatenate([first, changed]), words,
-            np.concatenate([spans, np.stack([changed, changed + size], axis=1)]), np.concatenate([has, np.zeros(len(changed), bool)]), slot)
-
-
-def _slot_values(words: list[str], slot: np.ndarray, start: int, end: int) -> list[str]:
-    return [_DROP.sub("", words[i]).lower() for i in range(start, end) if slot[i] and not (slot[i] == _NAME and i > start and slot[i - 1] == _NAME)]
+
+    def __init__(self, text: str, size: int, least_literals: int) -> None:
+        pieces = text.replace("\n", f" {_BREAK} ").split()
+        values = np.fromiter(map(_WORDS.__getitem__, pieces), np.uint64, len(pieces))
+        flags = (values & np.uint64(15)).astype(np.int8)
+        opens = np.concatenate([[True], (flags[:-1] & _ENDS) > 0]) if len(pieces) else np.zeros(0, bool)
+        at = np.flatnonzero((flags & 7) != _NONE)
+        kind, opens, plain = (flags[at] & 7), opens[at], values[at] & np.uint64(2**64 - 16)
+        self.words = [pieces[i] for i in at]
+        after = np.concatenate([[_LITERAL], kind[:-1]]) if len(at) else kind
+        name = kind == _NAME
+        slot = np.where(kind == _NUMBER, _NUMBER, np.where((kind == _UNIT) & (after == _NUMBER), _UNIT, np.where(name & ~opens, _NAME, 0)))
+        self._slots = [slot, slot, slot]
+        self._opens = opens
+        hashes, spans, filled = self._template(slot, plain, size, least_literals)
+        levels = (filled > 0).astype(np.int8)
+        whole = rolled(plain, size)
+        m = len(whole)
+        any_slot = np.concatenate([[0], np.cumsum(slot > 0)])
+        changed = np.flatnonzero(any_slot[size : size + m] - any_slot[:m] > 0)
+        parts = [(hashes, spans, levels), (whole[changed], np.stack([changed, changed + size], axis=1), np.zeros(len(changed), np.int8))]
+        opening = name & opens
+        if opening.any():
+            self._slots[2] = np.where(opening, _NAME, slot)
+            hashes, spans, _ = self._template(self._slots[2], plain, size, least_literals)
+            openers = np.concatenate([[0], np.cumsum(opening)])
+            more = openers[spans[:, 1]] - openers[spans[:, 0]] > 0
+            parts.append((hashes[more], spans[more], np.full(int(more.sum()), 2, np.int8)))
+        self.hashes, self.spans, self.levels = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _template(self, slot: np.ndarray, plain: np.ndarray, size: int, least_literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keep = np.flatnonzero(self._kept(slot))
+        kinds = slot[keep]
+        hashes = rolled(np.where(kinds > 0, _SLOTS[kinds], plain[keep]), size)
+        n = len(hashes)
+        filled = np.concatenate([[0], np.cumsum(kinds > 0)])
+        filled = filled[size : size + n] - filled[:n]
+        good = size - filled >= least_literals
+        spans = np.stack([keep[:n], keep[size - 1 : size - 1 + n] + 1], axis=1) if n else np.zeros((0, 2), np.int64)
+        return hashes[good], spans[good], filled[good]
+
+    def _kept(self, slot: np.ndarray) -> np.ndarray:
+        """All words but those that go on with a name."""
+        goes_on = (slot[1:] == _NAME) & (slot[:-1] == _NAME) & ~self._opens[1:]
+        return np.concatenate([[True], ~goes_on]) if len(slot) else np.zeros(0, bool)
+
+    def values(self, window: int) -> list[str]:
+        """The words in the slots of a window."""
+        level = self.levels[window]
+        if not level:
+            return []
+        slot, opens = self._slots[level], self._opens
+        start, end = self.spans[window].tolist()
+        return [_DROP.sub("", self.words[i]).lower() for i in range(start, end) if slot[i] and not (slot[i] == _NAME and i > start and slot[i - 1] == _NAME and not opens[i])]
 
 
 def _window_rows(df: DataFrame, id_column: str, size: int, least_literals: int, table: bytes | None) -> DataFrame:
@@ -100,15 +127,15 @@ def _window_rows(df: DataFrame, id_column: str, size: int, least_literals: int,
         for batch in batches:
             out: list[tuple] = []
             for row, key, text in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), strict=True):
-                hashes, first, words, spans, has, slot = windows(text.as_py() or "", size, least_literals)
+                found = Windows(text.as_py() or "", size, least_literals)
                 if table is not None:
-                    chosen = np.flatnonzero(held(table, hashes))
+                    chosen = np.flatnonzero(held(table, found.hashes))
                 else:
-                    chosen = np.arange(len(hashes))
-                signed = hashes.view(np.int64)
+                    chosen = np.arange(len(found.hashes))
+                signed = found.hashes.view(np.int64)
                 for i in chosen.tolist():
-                    out.append((row, key, int(signed[i]), int(first[i]), _slot_values(words, slot, *spans[i].tolist()) if has[i] else []))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 5, _ARROW, strict=True)], schema=_ARROW)
+                    out.append((row, key, int(signed[i]), int(found.spans[i, 0]), found.values(i), int(found.levels[i])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 6, _ARROW, strict=True)], schema=_ARROW)
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
@@ -120,7 +147,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 8, least_lit
     Windows of ``size`` template words, with at least ``least_literals`` plain ones, are joined by hash. Windows of one
     document and item at one distance belong to one occurrence; it counts if it has ``least_windows`` windows or
     ``least_share`` of the item's, and if its slots are consistent: the same value of the item always stands against the
-    same value of the document. ``exact`` tells whether all slots are equal. A bitmap of fixed size with the items'
+    same value of the document. Windows whose names begin sentences only add to this: where they are not consistent,
+    those without them decide. ``exact`` tells whether all slots are equal. A bitmap of fixed size with the items'
     hashes keeps most windows from being moved; it lets through some that the join then drops, and none is lost.
 
     A null or empty text, and an item of fewer words than a window, has no windows; repeated rows are matched each;
@@ -128,19 +156,26 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 8, least_lit
     """
     items = materialize(_window_rows(benchmark, "item_id", size, least_literals, None))
     totals = items.groupBy(F.col("row").alias("item_row")).agg(F.countDistinct("place").alias("total"))
-    targets = items.select(F.col("row").alias("item_row"), F.col("id").alias("item_id"), "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    targets = items.select(F.col("row").alias("item_row"), F.col("id").alias("item_id"), "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("level").alias("item_level"))
     hits = _window_rows(documents, "doc_id", size, least_literals, bitmap(items, "window", BITS))
-    met = hits.join(targets, "window").withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")))
+    met = hits.join(targets, "window").withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))).withColumn("level", F.greatest("level", "item_level"))
     by = ["row", "id", "item_row", "item_id"]
-    # Gathered per occurrence, whose size the item's length bounds.
+    # Gathered per occurrence, whose size the item's length bounds: windows and slots of each level and those under it.
+    at_most = lambda value, k: F.collect_set(F.when(F.col("level") <= k, F.col(value)))
     found = met.groupBy(*by, (F.col("place") - F.col("item_place")).alias("distance")).agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.min("place").alias("first_word"))
-    names = F.array_distinct(F.transform("pairs", lambda p: p["item"]))
-    found = found.where(F.size(names) == F.size("pairs")).join(totals, "item_row")
-    share = F.size("places") / F.col("total")
-    kept = found.where((F.size("places") >= least_windows) | (share >= least_share))
-    same = ~F.exists("pairs", lambda p: ~p["item"].eqNullSafe(p["doc"]))
-    return kept.select("row", F.col("id").alias("doc_id"), "item_id", F.size("places").cast("long").alias("n_windows"), share.alias("share"), same.alias("exact"), "first_word")
+        *[at_most("item_place", k).alias(f"places{k}") for k in LEVELS], *[F.array_distinct(F.flatten(at_most("pairs", k))).alias(f"pairs{k}") for k in LEVELS], F.min("place").alias("first_word"))
+    found = found.join(totals, "item_row")
+    share = lambda k: F.size(f"places{k}") / F.col("total")
+    counts = lambda k: (_consistent(f"pairs{k}")) & ((F.size(f"places{k}") >= least_windows) | (share(k) >= least_share))
+    best = F.coalesce(*[F.when(counts(k), F.struct(F.size(f"places{k}").cast("long").alias("n_windows"), share(k).alias("share"))) for k in reversed(LEVELS)])
+    kept = found.withColumn("best", best).where("best is not null")
+    same = ~F.exists(f"pairs{LEVELS[-1]}", lambda p: ~p["item"].eqNullSafe(p["doc"]))
+    return kept.select("row", F.col("id").alias("doc_id"), "item_id", "best.n_windows", "best.share", same.alias("exact"), "first_word")
+
+
+def _consistent(pairs: str) -> Column:
+    """Whether each value of the item stands against one value of the document."""
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"]))) == F.size(pairs)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:

@@ -130,6 +130,21 @@ def test_leaks(spark, documents, odd, empty):
     assert decontaminate.leaks(odd, benchmark).count() == 0 and decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(odd, benchmark.limit(0)).count() == 0
 
 
+NATALIA = "Natalia sold clips to her friends in April. Natalia sold half as many clips in May."
+
+
+def _leaks(spark, item, *texts):
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    return {r.doc_id: r for r in decontaminate.leaks(frame(list(enumerate(texts)), "doc_id"), frame([(1, item)], "item_id")).collect()}
+
+
+def test_leaks_with_names_that_open_sentences(spark):
+    found = _leaks(spark, NATALIA, NATALIA.replace("Natalia", "Maria"), NATALIA, NATALIA.replace("Natalia", "Maria", 1).replace("Natalia", "Ben"), "Somebody else sold clips. Nothing of it was sold in May.")
+    assert set(found) == {0, 1} and not found[0].exact and found[1].exact
+    item = "The shop opens its old doors at noon and closes them at night. The baker then counts all of the bread that is left."
+    assert _leaks(spark, item, item.replace("The baker", "A baker"))[0].n_windows >= 5
+
+
 def test_repeated_sentences(spark, odd, empty):
     passage = "The first sentence of it has eight words. Then comes another one of nine plain words! And a third sentence ends it all?"
     rows = [(3, f"Own words stand before. {passage} Own words stand behind."), (1, f"Else here. {passage}"), (2, "Nothing that another text has. Not even this here one."), (4, passage.upper().replace("!", "."))]
