@@ -25,7 +25,7 @@ _LITERAL, _NUMBER, _UNIT, _NAME, _NONE, _ENDS = 0, 1, 2, 3, 4, 8
 _SLOTS = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in ("", "number", "unit", "name")], np.uint64)
 _DROP = re.compile(r"[\W_]+")
 _BREAK = "\x00"
-LEVELS = (1, 2)  # of windows, from the strictest
+LEVELS = (0, 1, 2)  # of windows, from the strictest
 BITS = 24  # of the filter in front of the join: 2 MB whatever the size of the benchmark
 
 SCHEMA = "row long, id long, window long, place int, slots array<string>, level int"
@@ -147,8 +147,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 8, least_lit
     Windows of ``size`` template words, with at least ``least_literals`` plain ones, are joined by hash. Windows of one
     document and item at one distance belong to one occurrence; it counts if it has ``least_windows`` windows or
     ``least_share`` of the item's, and if its slots are consistent: the same value of the item always stands against the
-    same value of the document. Windows whose names begin sentences only add to this: where they are not consistent,
-    those without them decide. ``exact`` tells whether all slots are equal. A bitmap of fixed size with the items'
+    same value of the document. Slots that are not consistent only put aside the windows that have them: those without
+    names that begin sentences, or else those that agree word for word, decide then. ``exact`` tells whether all slots are equal. A bitmap of fixed size with the items'
     hashes keeps most windows from being moved; it lets through some that the join then drops, and none is lost.
 
     A null or empty text, and an item of fewer words than a window, has no windows; repeated rows are matched each;

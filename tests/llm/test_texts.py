@@ -145,6 +145,12 @@ def test_leaks_with_names_that_open_sentences(spark):
     assert _leaks(spark, item, item.replace("The baker", "A baker"))[0].n_windows >= 5
 
 
+def test_leaks_word_for_word_beside_inconsistent_slots(spark):
+    item = "the old mill by the river grinds 40 sacks of grain while the miller and all of the helpers sing of the long dry summer, and after that the carts bring 40 more sacks of grain up from the lower fields"
+    found = _leaks(spark, item, item.replace("bring 40", "bring 55"), item.replace("40", "55"), item)
+    assert {d: (r.exact, r.n_windows >= 13) for d, r in found.items()} == {0: (False, True), 1: (False, True), 2: (True, True)}
+
+
 def test_repeated_sentences(spark, odd, empty):
     passage = "The first sentence of it has eight words. Then comes another one of nine plain words! And a third sentence ends it all?"
     rows = [(3, f"Own words stand before. {passage} Own words stand behind."), (1, f"Else here. {passage}"), (2, "Nothing that another text has. Not even this here one."), (4, passage.upper().replace("!", "."))]
