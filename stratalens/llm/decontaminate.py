@@ -28,8 +28,8 @@ _BREAK = "\x00"
 LEVELS = (0, 1, 2)  # of windows, from the strictest
 BITS = 24  # of the filter in front of the join: 2 MB whatever the size of the benchmark
 
-SCHEMA = "row long, id long, window long, place int, slots array<string>, level int"
-_ARROW = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("level", pa.int32())])
+SCHEMA = "row long, id long, window long, place int, slots array<string>, level int, token int, token_span int, run int, run_span int, inside boolean"
+_ARROW = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("level", pa.int32()), *((c, pa.int32()) for c in ("token", "token_span", "run", "run_span")), ("inside", pa.bool_())])
 
 
 class _Words(dict):
@@ -95,6 +95,7 @@ class Windows:
             more = openers[spans[:, 1]] - openers[spans[:, 0]] > 0
             parts.append((hashes[more], spans[more], np.full(int(more.sum()), 2, np.int8)))
         self.hashes, self.spans, self.levels = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self._places = [np.cumsum(self._kept(x)) for x in self._slots[1:]]
 
     def _template(self, slot: np.ndarray, plain: np.ndarray, size: int, least_literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = np.flatnonzero(self._kept(slot))
@@ -112,6 +113,16 @@ class Windows:
         goes_on = (slot[1:] == _NAME) & (slot[:-1] == _NAME) & ~self._opens[1:]
         return np.concatenate([[True], ~goes_on]) if len(slot) else np.zeros(0, bool)
 
+    def places(self, window: int) -> list[int]:
+        """The place of a window in the template and the number of places its words go on, without and with names that begin sentences."""
+        start, end = self.spans[window].tolist()
+        return [int(x) for p in self._places for x in (p[start], p[end - 1] - p[start])]
+
+    def inside(self, window: int) -> bool:
+        """Whether a window of the template starts inside a name whose first word begins a sentence."""
+        start = self.spans[window, 0]
+        return bool(self.levels[window] == 1 and start and self._places[1][start] == self._places[1][start - 1])
+
     def values(self, window: int) -> list[str]:
         """The words in the slots of a window."""
         level = self.levels[window]
@@ -134,8 +145,8 @@ def _window_rows(df: DataFrame, id_column: str, size: int, least_literals: int,
                     chosen = np.arange(len(found.hashes))
                 signed = found.hashes.view(np.int64)
                 for i in chosen.tolist():
-                    out.append((row, key, int(signed[i]), int(found.spans[i, 0]), found.values(i), int(found.levels[i])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 6, _ARROW, strict=True)], schema=_ARROW)
+                    out.append((row, key, int(signed[i]), int(found.spans[i, 0]), found.values(i), int(found.levels[i]), *found.places(i), found.inside(i)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 11, _ARROW, strict=True)], schema=_ARROW)
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
@@ -145,7 +156,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 8, least_lit
     """Occurrences of ``benchmark`` items (item_id, text) in ``documents`` (doc_id, text): row, doc_id, item_id, n_windows, share, exact, first_word.
 
     Windows of ``size`` template words, with at least ``least_literals`` plain ones, are joined by hash. Windows of one
-    document and item at one distance belong to one occurrence; it counts if it has ``least_windows`` windows or
+    document and item at one distance belong to one occurrence, whether the distance is one of words or, as names may
+    differ in their number of words, one of places in the templates; it counts if it has ``least_windows`` windows or
     ``least_share`` of the item's, and if its slots are consistent: the same value of the item always stands against the
     same value of the document. Slots that are not consistent only put aside the windows that have them: those without
     names that begin sentences, or else those that agree word for word, decide then. ``exact`` tells whether all slots are equal. A bitmap of fixed size with the items'
@@ -156,14 +168,19 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 8, least_lit
     """
     items = materialize(_window_rows(benchmark, "item_id", size, least_literals, None))
     totals = items.groupBy(F.col("row").alias("item_row")).agg(F.countDistinct("place").alias("total"))
-    targets = items.select(F.col("row").alias("item_row"), F.col("id").alias("item_id"), "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("level").alias("item_level"))
+    targets = items.select(F.col("row").alias("item_row"), F.col("id").alias("item_id"), "window", F.col("place").alias("item_place"), *[F.col(c).alias(f"item_{c}") for c in ("slots", "level", "token", "token_span", "run", "run_span", "inside")])
     hits = _window_rows(documents, "doc_id", size, least_literals, bitmap(items, "window", BITS))
     met = hits.join(targets, "window").withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))).withColumn("level", F.greatest("level", "item_level"))
+    # The whole name meets the other text's name by the window that starts with it.
+    met = met.where((F.col("level") < LEVELS[-1]) | ~(F.col("inside") | F.col("item_inside")))
     by = ["row", "id", "item_row", "item_id"]
     # Gathered per occurrence, whose size the item's length bounds: windows and slots of each level and those under it.
     at_most = lambda value, k: F.collect_set(F.when(F.col("level") <= k, F.col(value)))
+    apart = lambda c: F.mode(F.when((F.col(f"{c}_span") == F.col(f"item_{c}_span")) & (F.col(f"{c}_span") > 0), F.col(c) - F.col(f"item_{c}")), True)
     found = met.groupBy(*by, (F.col("place") - F.col("item_place")).alias("distance")).agg(
-        *[at_most("item_place", k).alias(f"places{k}") for k in LEVELS], *[F.array_distinct(F.flatten(at_most("pairs", k))).alias(f"pairs{k}") for k in LEVELS], F.min("place").alias("first_word"))
+        *[at_most("item_place", k).alias(f"places{k}") for k in LEVELS], *[F.array_distinct(F.flatten(at_most("pairs", k))).alias(f"pairs{k}") for k in LEVELS],
+        F.min("place").alias("first_word"), apart("token").alias("token"), apart("run").alias("run"))
+    found = _merged(_merged(found, by, "token"), by, "run")
     found = found.join(totals, "item_row")
     share = lambda k: F.size(f"places{k}") / F.col("total")
     counts = lambda k: (_consistent(f"pairs{k}")) & ((F.size(f"places{k}") >= least_windows) | (share(k) >= least_share))
@@ -173,6 +190,15 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 8, least_lit
     return kept.select("row", F.col("id").alias("doc_id"), "item_id", "best.n_windows", "best.share", same.alias("exact"), "first_word")
 
 
+def _merged(found: DataFrame, by: list[str], distance: str) -> DataFrame:
+    """Parts of occurrences that have one ``distance`` put together; those without it stay alone."""
+    lists = [f"{c}{k}" for c in ("places", "pairs") for k in LEVELS]
+    alone = F.when(F.col(distance).isNull(), F.col("distance")).alias("alone")
+    most = F.struct(F.size(f"places{LEVELS[-1]}"), "distance")
+    return found.groupBy(*by, distance, alone).agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in lists], F.min("first_word").alias("first_word"),
+                                                   F.min("distance").alias("distance"), *[F.max_by(c, most).alias(c) for c in ("run",) if c != distance])
+
+
 def _consistent(pairs: str) -> Column:
     """Whether each value of the item stands against one value of the document."""
     return F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"]))) == F.size(pairs)

@@ -151,6 +151,15 @@ def test_leaks_word_for_word_beside_inconsistent_slots(spark):
     assert {d: (r.exact, r.n_windows >= 13) for d, r in found.items()} == {0: (False, True), 1: (False, True), 2: (True, True)}
 
 
+def test_leaks_with_names_of_other_lengths(spark):
+    item = "the boy saw Maria near the old Danube while he drew Vienna and the birds of its long river shores"
+    longer = item.replace("Maria", "Mary Ann").replace("Danube", "Rio Grande").replace("Vienna", "New York")
+    opening = NATALIA + " Natalia kept all of the rest."
+    assert set(_leaks(spark, item, longer, longer.replace("the old", "an odd").replace("drew", "left"))) == {0}
+    assert _leaks(spark, opening, opening.replace("Natalia", "Mary Ann Lee"))[0].n_windows >= 10
+    assert {d: r.n_places for d, r in _leaks(spark, item, f"{longer}. {longer}", f"{item} {item}".upper()).items()} == {0: 2, 1: 2}
+
+
 def test_repeated_sentences(spark, odd, empty):
     passage = "The first sentence of it has eight words. Then comes another one of nine plain words! And a third sentence ends it all?"
     rows = [(3, f"Own words stand before. {passage} Own words stand behind."), (1, f"Else here. {passage}"), (2, "Nothing that another text has. Not even this here one."), (4, passage.upper().replace("!", "."))]
