@@ -211,5 +211,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, **options: float) -> DataF
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """``documents`` without those that hold an item; a null doc_id never counts as held."""
-    return documents.join(leaks(documents, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
+    """``documents`` without those that hold an item; rows are told apart by doc_id, which may be null, and text."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = leaks(documents.select(key.alias("doc_id"), "text"), benchmark, **options)
+    held_keys = found.select(F.col("doc_id").alias("_key")).distinct()
+    return documents.withColumn("_key", key).join(held_keys, "_key", "left_anti").select(*documents.columns)

@@ -186,21 +186,22 @@ def digest(found: DataFrame) -> DataFrame:
 def redacted(df: DataFrame, **options: float) -> DataFrame:
     """``df`` with a tag of its kind in place of each span, such as ``[EMAIL]``; overlapping spans share the first one's.
 
-    Texts meet their spans by doc_id and hash, and only rows of texts with spans change.
+    Texts meet their spans by doc_id, which may be null, and hash, and only rows of texts with spans change.
     """
     found = spans(df, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
     held = F.col("spans")
     merged = F.aggregate(held, F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>"), lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1)) > s["start"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_longer(F.try_element_at(acc, F.lit(-1)), s)))).otherwise(F.concat(acc, F.array(s))))
-    found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), merged.alias("_spans")))
+    found = materialize(found.select(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key"), merged.alias("_spans")))
     keyed = df.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.col("text").cast("string"))})
     s = F.col("_spans")
     last = lambda k: F.coalesce(F.get(s, k - 1)["end"], F.lit(0))
     parts = F.transform(s, lambda x, k: F.concat(F.substring(F.col("text"), last(k) + 1, x["start"] - last(k)), F.lit("["), F.upper(x["kind"]), F.lit("]")))
     rest = F.substring(F.col("text"), F.try_element_at(s, F.lit(-1))["end"] + 1, F.length("text"))
     text = F.when(s.isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest))
-    return keyed.join(found, ["_id", "_key"], "left").withColumn("text", text).select(*df.columns)
+    same = F.col("_id").eqNullSafe(F.col("_found_id")) & (F.col("_key") == F.col("_found_key"))
+    return keyed.join(found, same, "left").withColumn("text", text).select(*df.columns)
 
 
 def _longer(first: Column, second: Column) -> Column:

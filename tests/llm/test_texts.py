@@ -160,6 +160,14 @@ def test_leaks_with_names_of_other_lengths(spark):
     assert {d: r.n_places for d, r in _leaks(spark, item, f"{longer}. {longer}", f"{item} {item}".upper()).items()} == {0: 2, 1: 2}
 
 
+def test_null_ids_are_cleaned_and_redacted(spark):
+    rows = [(None, NATALIA), (None, "write to a.b@c.de"), (None, "write to a.b@c.de"), (1, NATALIA), (2, "plain"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, NATALIA)], "item_id long, text string")
+    got = pii.redacted(decontaminate.clean(df, items)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "write to [EMAIL]"), (0, "write to [EMAIL]"), (2, "plain")]
+
+
 def test_repeated_sentences(spark, odd, empty):
     passage = "The first sentence of it has eight words. Then comes another one of nine plain words! And a third sentence ends it all?"
     rows = [(3, f"Own words stand before. {passage} Own words stand behind."), (1, f"Else here. {passage}"), (2, "Nothing that another text has. Not even this here one."), (4, passage.upper().replace("!", "."))]
