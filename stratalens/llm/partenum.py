@@ -175,7 +175,7 @@ def groups(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100) -> Da
     """Per row of ``df`` (doc_id, text): row, doc_id, text_key, n_shingles, component_id, first_row.
 
     Two texts are linked if their sets of distinct ``size``-word shingles have ``part / whole`` of their union in common;
-    ``component_id`` is the smallest doc_id that links lead to, ``first_row`` one row with it. Equal sets are one class
+    ``component_id`` is the smallest doc_id that links lead to (null if all are null), ``first_row`` one row with it. Equal sets are one class
     and only its first member goes on. Candidates share a PartEnum signature. Each is compared first with the smallest
     member of its signatures; then, where members of a signature are still in different components, with the smallest
     member of each such signature; and then those still apart, with one another. Every comparison is exact, and a pair
@@ -188,8 +188,8 @@ def groups(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100) -> Da
     """
     given = _given(df)
     stage = materialize(_signed(given.select(F.monotonically_increasing_id().alias("row"), "*"), size, part, whole))
-    equal = stage.where(F.col("n") > 0).groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "row", "text_key", *_SKETCH)).alias("first"))
-    classes = materialize(equal.select("n", "k1", "k2", "first.*"))
+    equal = stage.where(F.col("n") > 0).groupBy("n", "k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "text_key", *_SKETCH)).alias("first"))
+    classes = materialize(equal.select("n", "k1", "k2", "first.*").drop("unnamed"))
     single = stage.select("row", "signatures").join(classes.select("row"), "row", "left_semi")
     signed = single.select("row", F.explode("signatures").alias("signature"))
     # Sorted by signature and row, the first row of a signature is known when the others pass: nothing is gathered.
@@ -200,7 +200,7 @@ def groups(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100) -> Da
     ends = shared.select("row").union(shared.select("first")).distinct()
     wanted = materialize(classes.join(ends, "row").select("row", "doc_id", "text_key", "n", *_SKETCH))
     sets = wanted.select("row", "n", *_SKETCH)
-    texts = materialize(given.where(probably_in(wanted, "text_key")(F.col("text_key"))).join(wanted, ["doc_id", "text_key"]).select("row", "text").dropDuplicates(["row"]))
+    texts = materialize(given.where(probably_in(wanted, "text_key")(F.col("text_key"))).alias("g").join(wanted.alias("w"), _same("g.doc_id", "w.doc_id", "g.text_key", "w.text_key")).select("row", "text").dropDuplicates(["row"]))
     compare = lambda pairs: materialize(_compared(pairs, sets, texts, size, part, whole))
 
     edges = compare(nearest)
@@ -226,13 +226,18 @@ def groups(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100) -> Da
         labels = connected(edges.unionByName(rest))
 
     rooted = _labelled(classes, labels)
-    lowest = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("lowest"))
+    lowest = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("lowest"))
     known = rooted.join(lowest, "root").select("n", "k1", "k2", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row").alias("first_row"))
     out = stage.drop("signatures", *_SKETCH).join(known, ["n", "k1", "k2"], "left")
     return out.select("row", "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                       F.when(F.col("n") > 0, F.col("first_row")).otherwise(F.col("row")).alias("first_row"))
 
 
+def _same(id_: str, other_id: str, key: str, other_key: str) -> Column:
+    """Whether doc_id, which may be null, and text are the same."""
+    return F.col(id_).eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key))
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` (row, ...) with the root of each, the row itself where nothing is linked to it."""
     return rows.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
@@ -253,11 +258,10 @@ def deduplicated(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100)
     found = materialize(groups(df, size, part, whole))
     firsts = found.where("n_shingles > 0").groupBy("first_row").agg(F.count("*").alias("n")).where("n > 1").select("first_row")
     members = materialize(found.where("n_shingles > 0").join(firsts, "first_row").select("doc_id", "text_key", (F.col("row") == F.col("first_row")).alias("keep")))
-    verdicts = members.groupBy("doc_id", "text_key").agg(F.max("keep").alias("keep"))
+    verdicts = members.groupBy(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key")).agg(F.max("keep").alias("keep"))
     hit = probably_in(members, "text_key")
     keyed = df.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.col("text").cast("string"))})
     rest = keyed.where(~hit(F.col("_key")))
-    met = keyed.where(hit(F.col("_key"))).join(verdicts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "keep"),
-                                              ["_id", "_key"], "left")
+    met = keyed.where(hit(F.col("_key"))).join(verdicts, _same("_id", "_found_id", "_key", "_found_key"), "left")
     once = met.where("keep").dropDuplicates(["_id", "_key"])
     return rest.select(*df.columns).unionByName(met.where("keep is null").select(*df.columns)).unionByName(once.select(*df.columns))

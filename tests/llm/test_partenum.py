@@ -80,6 +80,16 @@ def test_odd_rows(odd, empty):
     assert partenum.groups(empty).count() == 0 and partenum.deduplicated(empty).count() == 0
 
 
+def test_null_ids_in_a_class(spark):
+    words = [f"w{k}" for k in range(60)]
+    copy, near, other = " ".join(words), " ".join([*words[:-1], "else"]), " ".join(reversed(words))
+    rows = [(None, copy), (None, copy), (7, copy), (5, near), (None, near), (None, other), (None, other + " end"), (9, "apart")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = partenum.groups(df).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(None, 5), (7, 5), (5, 5), (None, None), (9, 9)}
+    assert sorted(r.doc_id or 0 for r in partenum.deduplicated(df).collect()) == [0, 5, 9]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (102, 100)], "a long, b long")
     assert {r.node: r.root for r in components.connected(edges).collect()} == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
