@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from stratalens.llm.hashing import mixed, rolled
 from stratalens.session import materialize
 
-_END = re.compile(r"[.!?]+[\"')\]]*\s+|\n+")
-_WORD = re.compile(r"\w+")
+# Stops before white space, full-width stops anywhere, line breaks.
+_END = re.compile(r"[.!?]+[\"')\]]*\s+|(?:[\u3002\uff01\uff1f\uff61]|\uff0e(?!\d))+[\"')\]\u300d\u300f\u201d\u2019\uff09\u3011]*\s*|\n+")
+# Scripts without blanks between words, whose characters count as words: Thai to Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
 
 SCHEMA = "row long, doc_id long, n_sentences int, sentence int, length int, run long"
 _ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_sentences", pa.int32()), ("sentence", pa.int32()), ("length", pa.int32()), ("run", pa.int64())])
@@ -24,7 +27,8 @@ _ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_sentences",
 def sentences(text: str, longest: int = 30) -> list[tuple[int, int, int, int]]:
     """(start, end, words, hash) of the sentences with a word; start and end in code points, the hash ignores case and marks.
 
-    A sentence ends at a stop before white space or at a line break. One of over ``longest`` words is cut after every
+    A sentence ends at a stop before white space, at a full-width stop or at a line break. In scripts without blanks
+    every character is a word. One of over ``longest`` words is cut after every
     word whose own hash has three zero bits, so that the cuts inside a passage are the same wherever it stands.
     """
     out = []
@@ -44,15 +48,25 @@ def sentences(text: str, longest: int = 30) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def runs(found: list[tuple[int, int, int, int]], least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, length and hash of the shortest run from each sentence with enough sentences and words."""
+def runs(found: list[tuple[int, int, int, int]], least_sentences: int, least_words: int, ends: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, length and hash of the shortest run from each sentence with enough sentences and words.
+
+    With ``ends`` also those of the shortest run to each sentence: whatever longer run is repeated, these cover it.
+    """
     words = np.array([x[2] for x in found], np.int64)
     hashes = np.array([x[3] for x in found], np.uint64)
     before = np.concatenate([[0], np.cumsum(words)])
     first = np.arange(len(found))
     lengths = np.maximum(np.searchsorted(before, before[:-1] + least_words, "left") - first, least_sentences)
     fits = first + lengths <= len(found)
-    first, lengths = first[fits], lengths[fits]
+    if ends:
+        last = np.arange(1, len(found) + 1)
+        start = np.minimum(np.searchsorted(before, before[1:] - least_words, "right") - 1, last - least_sentences)
+        new = start >= 0
+        new[new] = lengths[start[new]] != (last - start)[new]
+        first, lengths = np.concatenate([first[fits], start[new]]), np.concatenate([lengths[fits], (last - start)[new]])
+    else:
+        first, lengths = first[fits], lengths[fits]
     out = np.zeros(len(first), np.uint64)
     for n in np.unique(lengths):
         here = lengths == n
@@ -60,11 +74,11 @@ def runs(found: list[tuple[int, int, int, int]], least_sentences: int, least_wor
     return first, lengths, out
 
 
-def repeated(df: DataFrame, least_sentences: int = 2, least_words: int = 15, row: str | None = None) -> DataFrame:
+def repeated(df: DataFrame, least_sentences: int = 2, least_words: int = 15, row: str | None = None, ends: bool = False) -> DataFrame:
     """Per row of ``df`` (doc_id, text) that loses sentences: row, doc_id, n_sentences, n_removed, sentences, first_docs.
 
-    Every run of at least ``least_sentences`` consecutive sentences with ``least_words`` words, from every sentence, is
-    hashed; of equal runs in all documents the first is the one with the smallest (doc_id, row, sentence), and the
+    The shortest run of at least ``least_sentences`` consecutive sentences with ``least_words`` words from every sentence
+    is hashed, with ``ends`` also the one to every sentence, without which the end of a passage may stay; of equal runs in all documents the first is the one with the smallest (doc_id, row, sentence), and the
     sentences of all others are removed. ``sentences`` has their numbers, ``first_docs`` the documents of the first
     runs. Rows are numbered, or take the number in the column ``row``. Counting is a partial aggregate by run; its result, the repeated runs only, is joined back, where Spark splits
     a run that very many documents have. A document's own runs are all that is ever gathered.
@@ -80,7 +94,7 @@ def repeated(df: DataFrame, least_sentences: int = 2, least_words: int = 15, row
                 found = sentences(text.as_py() or "")
                 if len(found) < least_sentences:
                     continue
-                first, lengths, hashes = runs(found, least_sentences, least_words)
+                first, lengths, hashes = runs(found, least_sentences, least_words, ends)
                 for part, value in zip(parts, (row, doc, len(found)), strict=False):
                     part += [value] * len(first)
                 for part, values in zip(parts[3:], (first, lengths, hashes.astype(np.int64)), strict=True):
@@ -99,10 +113,10 @@ def repeated(df: DataFrame, least_sentences: int = 2, least_words: int = 15, row
     return out.select("row", "doc_id", "n_sentences", F.size("sentences").alias("n_removed"), "sentences", "first_docs")
 
 
-def removed(df: DataFrame, least_sentences: int = 2, least_words: int = 15) -> DataFrame:
+def removed(df: DataFrame, least_sentences: int = 2, least_words: int = 15, ends: bool = False) -> DataFrame:
     """``df`` without the sentences that ``repeated`` names; a text that keeps none is empty, other columns stay."""
     stage = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
-    lost = repeated(stage, least_sentences, least_words, row="_row").select(F.col("row").alias("_row"), "sentences")
+    lost = repeated(stage, least_sentences, least_words, row="_row", ends=ends).select(F.col("row").alias("_row"), "sentences")
 
     @F.pandas_udf("string")
     def without(texts, numbers):

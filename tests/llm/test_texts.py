@@ -191,6 +191,34 @@ def test_repeats_against_brute_force(spark, documents):
     assert {r.doc_id: set(r.sentences) for r in entry.queries()["op5_repeated_sentences"](spark, SF).collect()} == want
 
 
+def test_ends_of_repeated_passages(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + "."
+    pool = [line(rng.choice([2, 5, 7, 13, 20])) for _ in range(60)]
+    rows = []
+    for d in range(30):
+        parts = []
+        while len(parts) < 12:
+            at = rng.randrange(58)
+            parts += pool[at : at + rng.randint(1, 4)] + [line(rng.choice([3, 9, 16]))]
+        rows.append((d, " ".join(parts)))
+    seen, want = {}, {}
+    for d, text in rows:
+        found = sentences.sentences(text)
+        for i in range(len(found)):
+            for j in range(i + 2, len(found) + 1):
+                if sum(x[2] for x in found[i:j]) >= 15 and seen.setdefault(tuple(x[3] for x in found[i:j]), (d, i)) != (d, i):
+                    want.setdefault(d, set()).update(range(i, j))
+    assert {r.doc_id: set(r.sentences) for r in sentences.repeated(spark.createDataFrame(rows, "doc_id long, text string"), ends=True).collect()} == want
+
+
+def test_repeats_without_blanks(spark):
+    passage = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u3002\u4ed6\u5728\u90a3\u91cc\u770b\u4e66\u548c\u559d\u8336\uff01"
+    rows = [(1, "\u7b2c\u4e00\u7bc7\u3002" + passage), (2, passage + "\u53e6\u4e00\u7bc7\u3002")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in sentences.removed(df).collect()} == {1: rows[0][1], 2: "\u53e6\u4e00\u7bc7\u3002"}
+
+
 def test_link_verdicts(spark):
     assert compare(entry.queries()["op9_link_verdicts"](spark, SF), duck(SF), entry.oracle_sql()["op9_link_verdicts"]) == ""
     link = lambda h: f'<p><a class="x" href="https://{h}/a">t</a>'
