@@ -32,23 +32,30 @@ def _ruled(rules: list[tuple[str, str]], value: int) -> Column:
     return case
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, steps: int = 10) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, steps: int = 10, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank over several graphs at once: (graph, host, score).
 
     ``seeds`` (graph, host, seed) restart the walk, ``edges`` (graph, source, target, share) carry it; the shares of a
     source sum to 1. One join and one partial aggregate a step; every fifth step is stored, which cuts the lineage.
+    After ``steps`` steps the walk goes on until five more reach no further host and change no score by more than
+    ``tolerance`` of it.
     """
     start = seeds.select("graph", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    scores = start
-    for step in range(1, steps + 1):
+    scores = stored = start
+    step, settled = 0, False
+    while step < steps or not settled:
+        step += 1
         moved = scores.join(edges.withColumnRenamed("source", "host"), ["graph", "host"]).select("graph", F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         scores = start.unionByName(moved).groupBy("graph", "host").agg(F.sum("score").alias("score"))
         if step % 5 == 0:
             scores = materialize(scores)
+            before = stored.select("graph", "host", F.col("score").alias("before"))
+            settled = step >= steps and scores.join(before, ["graph", "host"], "left").where(F.col("before").isNull() | (F.abs(F.col("score") - F.col("before")) > F.col("score") * tolerance)).isEmpty()
+            stored = scores
     return scores
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, most_distrust: float = 0.5, damping: float = 0.85, steps: int = 10) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, most_distrust: float = 0.5, damping: float = 0.85, steps: int = 10, tolerance: float = 1e-6) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): host, path, the rule that fits and the verdict.
 
     A host's pages that rules allow are its trusted seed, those that rules block its distrusted seed. Trust follows the
@@ -73,7 +80,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, most_distrust:
     edges = edges.unionByName(pairs.join(into, "target").select(F.lit("distrust").alias("graph"), F.col("target").alias("source"), F.col("source").alias("target"), share.alias("share")))
     seeds = ruled.where(F.col("ruled").isNotNull()).groupBy("host", "ruled").agg(F.count("*").alias("seed"))
     seeds = materialize(seeds.select(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("graph"), "host", F.col("seed").cast("double").alias("seed")))
-    scores = spread(seeds, materialize(edges), damping, steps)
+    scores = spread(seeds, materialize(edges), damping, steps, tolerance)
     trust = F.coalesce(F.sum(F.when(F.col("graph") == "trust", F.col("score"))), F.lit(0.0))
     distrust = F.coalesce(F.sum(F.when(F.col("graph") == "distrust", F.col("score"))), F.lit(0.0))
     blocked = scores.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust")).where(F.col("distrust") > (F.col("trust") + F.col("distrust")) * most_distrust)

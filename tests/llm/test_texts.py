@@ -231,6 +231,12 @@ def test_link_verdicts(spark):
     assert linkgraph.judge(df.limit(0)).count() == 0
 
 
+def test_verdicts_at_the_end_of_a_long_chain(spark):
+    rows = [(i, f"http://h{i}.net/x", f'<a href="https://{"bad.com" if i == 15 else f"h{i + 1}.net"}/a">t</a>') for i in range(1, 16)] + [(16, "http://bad.com/de/1", ""), (17, "http://other.net/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in linkgraph.judge(df).collect()} == {i: "block" for i in range(1, 17)} | {17: "allow"}
+
+
 def test_quality_scores(spark, odd, empty):
     folder = SF.replace("0.001", "0.01")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
