@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import decontaminate, licences, linkgraph, oracles, packing, partenum, pii, pulearn, quality, sentences, tokenfile
+from stratalens.llm import alignment, decontaminate, licences, linkgraph, oracles, packing, partenum, pii, pulearn, quality, sentences, suffixes, tokenfile, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,19 @@ def op10_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulearn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.repeats(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_file, op2_benchmark_leaks, op3_licence_scan, op4_similar_documents, op5_repeated_sentences, op6_personal_data, op7_quality_rules, op8_packed_windows, op9_link_verdicts, op10_positive_unlabelled)}
+    f.__name__: f for f in (op1_token_file, op2_benchmark_leaks, op3_licence_scan, op4_similar_documents, op5_repeated_sentences, op6_personal_data, op7_quality_rules, op8_packed_windows, op9_link_verdicts, op10_positive_unlabelled,
+                                   op11_repeated_bytes, op12_spelling_variants, op13_token_alignment)}
 ORACLE_SQL: dict[str, str] = {"op4_similar_documents": oracles.SIMILAR, "op7_quality_rules": oracles.quality(), "op9_link_verdicts": linkgraph.oracle()}
