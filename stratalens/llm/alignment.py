@@ -9,6 +9,7 @@ import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,11 +130,15 @@ class Aligner:
         self._a.encode_special_tokens = True
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = byte_alphabet()
-        self._a_bytes: dict[int, bytes] = {}
-        for entry, k in self._a.get_vocab(with_added_tokens=True).items():
+        vocabulary = self._a.get_vocab(with_added_tokens=True)
+        self._a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for entry, k in vocabulary.items():
             self._a_bytes[k] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         pieces = [self._b.id_to_piece(k) for k in range(self._b.get_piece_size())]
         self._b_bytes = [bytes([int(p[3:-1], 16)]) if self._b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self._a_lengths, self._b_lengths = (np.array([len(x) for x in entries], np.int64) for entries in (self._a_bytes, self._b_bytes))
+        # By 2 * id and 2 * (number of A's ids + id), the id as text before another one of its group, and as the last one.
+        self._signs = [sign for last, entries in ((b"|", self._a_bytes), (b";", self._b_bytes)) for k in range(len(entries)) for sign in (b"%d," % k, b"%d%s" % (k, last))]
         with open(a_path, encoding="utf-8") as file:
             before = json.load(file).get("pre_tokenizer") or {}
         self._divides = before.get("type") == "ByteLevel" and before.get("use_regex", True) and all("▁" not in p.lstrip("▁") for p in pieces)
@@ -182,44 +187,42 @@ class Aligner:
         a = [x.ids for x in self._a.encode_batch_fast(segments, add_special_tokens=False)]
         b = self._b.encode([s[1:] for s in segments], num_threads=1)
         b = [ids if s != " " else [self._b.piece_to_id("▁")] for s, ids in zip(segments, b, strict=True)]  # the model adds no blank to nothing
-        a_bytes, b_bytes = self._a_bytes, self._b_bytes
-        fits = [b"".join(map(a_bytes.__getitem__, x)) == b"".join(map(b_bytes.__getitem__, y)) == s.encode() for s, x, y in zip(segments, a, b, strict=True)]
-        good = [k for k, fit in enumerate(fits) if fit]
-        a_ids, b_ids = (np.array([i for k in good for i in x[k]], np.int64) for x in (a, b))
-        a_lengths, b_lengths = np.array([len(a_bytes[i]) for i in a_ids.tolist()], np.int64), np.array([len(b_bytes[i]) for i in b_ids.tolist()], np.int64)
+        given = [s.encode() for s in segments]
+        good = [k for k, (x, y, s) in enumerate(zip(a, b, given, strict=True)) if _joined(self._a_bytes, x) == _joined(self._b_bytes, y) == s]
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(x[k] for k in good), np.int64) for x in (a, b))
+        a_lengths, b_lengths = self._a_lengths[a_ids], self._b_lengths[b_ids]
         i, j, _ = overlaps(a_lengths, b_lengths)
         links = (a_ids[i].astype(np.uint64) << np.uint64(32)) | b_ids[j].astype(np.uint64)
         a_of, b_of, n = groups(a_lengths, b_lengths)
-        a_sizes, b_sizes = np.bincount(a_of, minlength=n), np.bincount(b_of, minlength=n)
-        a_ends, b_ends = np.cumsum([len(a[k]) for k in good], dtype=np.int64), np.cumsum([len(b[k]) for k in good], dtype=np.int64)
+        shared = np.concatenate([[0], np.cumsum(np.bincount(a_of, minlength=n) * np.bincount(b_of, minlength=n))])
+        # Ids by group, A before B, each with the sign that follows it.
+        places = np.concatenate([2 * a_of, 2 * b_of + 1])
+        order = np.argsort(places, kind="stable")
+        places = places[order]
+        last = np.diff(places, append=-1) != 0
+        shown = [*map(self._signs.__getitem__, (2 * np.concatenate([a_ids, b_ids + len(self._a_lengths)])[order] + last).tolist())]
+        # Where every segment ends among the tokens, links and groups.
+        a_ends, b_ends = (np.cumsum([len(x[k]) for k in good], dtype=np.int64) for x in (a, b))
         link_ends = np.searchsorted(i, a_ends)
-        group_ends = a_of[a_ends - 1] + 1 if len(good) else a_ends
-        shared = np.concatenate([[0], np.cumsum(a_sizes * b_sizes)])
-        a_text, b_text = a_ids.astype(str).tolist(), b_ids.astype(str).tolist()
-        a_at = b_at = link_at = group_at = 0
-        place = 0
-        a_list, b_list = a_sizes.tolist(), b_sizes.tolist()
-        stats = []
-        for k, segment in enumerate(segments):
-            self._numbers[segment] = number = len(self._shown)
-            if not fits[k]:
-                self._odd.add(number)
-                stats.append((0,) * len(_FIELDS))
-                self._shown.append(b"")
-                self._pairs.append(b"")
-                continue
-            link_end, group_end = int(link_ends[place]), int(group_ends[place])
-            shown = []
-            x, y = a_at, b_at
-            for g in range(group_at, group_end):
-                shown.append(",".join(a_text[x : x + a_list[g]]) + "|" + ",".join(b_text[y : y + b_list[g]]))
-                x, y = x + a_list[g], y + b_list[g]
-            stats.append((x - a_at, y - b_at, group_end - group_at, link_end - link_at, int(shared[group_end] - shared[group_at])))
-            self._shown.append(";".join(shown).encode())
-            self._pairs.append(links[link_at:link_end].tobytes())
-            self._held += len(self._shown[-1]) + len(self._pairs[-1]) + len(segment)
-            a_at, b_at, link_at, group_at, place = x, y, link_end, group_end, place + 1
-        self._stats.append(np.array(stats, np.int64).reshape(-1, len(_FIELDS)))
+        group_ends = a_of[a_ends - 1] + 1 if good else a_ends
+        ends = np.stack([a_ends, b_ends, group_ends, link_ends, shared[group_ends]], 1).reshape(-1, len(_FIELDS))
+        stats = np.zeros((len(segments), len(_FIELDS)), np.int64)
+        stats[good] = np.diff(ends, axis=0, prepend=np.zeros((1, len(_FIELDS)), np.int64))
+        number = len(self._shown)
+        self._stats.append(stats)
+        self._numbers.update(zip(segments, range(number, number + len(segments)), strict=True))
+        self._odd.update(number + k for k in set(range(len(segments))).difference(good))
+        shown_ends, link_bytes, links_at = (a_ends + b_ends).tolist(), links.tobytes(), (8 * link_ends).tolist()
+        some = dict(zip(good, zip([0, *shown_ends], shown_ends, [0, *links_at], links_at), strict=False))
+        for k, segment in enumerate(given):
+            low, high, first, end = some.get(k, (0, 0, 0, 0))
+            self._shown.append(b"".join(shown[low:high])[:-1])
+            self._pairs.append(link_bytes[first:end])
+            self._held += len(self._shown[-1]) + end - first + len(segment)
+
+
+def _joined(entries: list[bytes], ids: list[int]) -> bytes:
+    return b"".join(map(entries.__getitem__, ids))
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
