@@ -8,22 +8,41 @@ from pyspark.sql import functions as F
 from stratalens.session import materialize
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def settled(steps: DataFrame) -> DataFrame:
+    """(node, root) from ``steps`` (node, root) that lead from node to node without a cycle: where each one ends.
+
+    A step is joined with the step that follows it, so the steps double in length each round.
+    """
+    steps = materialize(steps.select("node", "root"))
+    while True:
+        ahead = steps.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        moved = materialize(steps.join(ahead, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        steps = moved.select("node", "root")
+        if moved.where("moved").isEmpty():
+            return steps
+
+
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for the ends of ``edges`` (a, b): root is the smallest node that links lead to.
 
-    Every round takes the smallest label among a node and its neighbours, by a partial aggregate, then the label of that
-    label, so long chains shorten by half. Every round is stored, which cuts the lineage.
+    Every round each node takes its smallest neighbour, if that is smaller; these steps are followed to their ends, and
+    the graph shrinks to the ends, with the links between different ones. A node that has no smaller neighbour takes others in, or has a
+    smaller one in the next round, since its neighbours went to smaller ones. So two rounds halve the nodes at least,
+    whatever the length of a chain, and rounds go on until no link is left. Every round is stored, which cuts the
+    lineage. A null end links nothing; an empty table gives no rows.
     """
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct())
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
-    for _ in range(most_rounds):
-        heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("heard"))
-        lower = labels.join(heard, F.col("node") == F.col("a"), "left").select("node", F.least("root", "heard").alias("near"), F.col("root").alias("was"))
-        jumps = labels.select(F.col("node").alias("near"), F.col("root").alias("far"))
-        labels = materialize(lower.join(jumps, "near", "left").select("node", F.least("near", "far").alias("root"), "was"))
-        if labels.where(F.col("root") != F.col("was")).isEmpty():
-            break
-    else:
-        raise RuntimeError("the components have not settled")
-    return labels.select("node", "root")
+    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("root")))
+    while not edges.isEmpty():
+        # ``a`` is the smaller end, so only the larger one can step.
+        ends = settled(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+        labels = materialize(_moved(labels, "root", ends))
+        shrunk = _moved(_moved(edges, "a", ends), "b", ends).where("a <> b")
+        edges = materialize(shrunk.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return labels
+
+
+def _moved(rows: DataFrame, column: str, ends: DataFrame) -> DataFrame:
+    """``rows`` with the end of the steps from ``column`` in its place."""
+    to = ends.select(F.col("node").alias(column), F.col("root").alias("to"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("to", column)).select(*rows.columns)

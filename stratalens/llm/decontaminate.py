@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.hashing import rolled
-from stratalens.llm.sift import bitmap, held
+from stratalens.llm.sift import bitmap, held, probably_in
 from stratalens.session import materialize
 
 # Words that stand for numbers, and units, which count as such after a number only.
@@ -211,8 +211,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, **options: float) -> DataF
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """``documents`` without those that hold an item; rows are told apart by doc_id, which may be null, and text."""
+    """``documents`` without those that hold an item; rows are told apart by doc_id, which may be null, and text.
+
+    Only rows that pass a bitmap of the keys found are moved; the others go on from their input split.
+    """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = leaks(documents.select(key.alias("doc_id"), "text"), benchmark, **options)
-    held_keys = found.select(F.col("doc_id").alias("_key")).distinct()
-    return documents.withColumn("_key", key).join(held_keys, "_key", "left_anti").select(*documents.columns)
+    found = materialize(found.select(F.col("doc_id").alias("found_key")).distinct())
+    hit = probably_in(found, "found_key")
+    keyed = documents.select(F.struct("*").alias("given"), key.alias("key"))
+    met = keyed.where(hit(F.col("key"))).join(found, F.col("key") == F.col("found_key"), "left_anti")
+    return keyed.where(~hit(F.col("key"))).unionByName(met).select("given.*")

@@ -258,10 +258,11 @@ def deduplicated(df: DataFrame, size: int = 4, part: int = 85, whole: int = 100)
     found = materialize(groups(df, size, part, whole))
     firsts = found.where("n_shingles > 0").groupBy("first_row").agg(F.count("*").alias("n")).where("n > 1").select("first_row")
     members = materialize(found.where("n_shingles > 0").join(firsts, "first_row").select("doc_id", "text_key", (F.col("row") == F.col("first_row")).alias("keep")))
-    verdicts = members.groupBy(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key")).agg(F.max("keep").alias("keep"))
+    verdicts = members.groupBy(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).agg(F.max("keep").alias("keep"))
     hit = probably_in(members, "text_key")
-    keyed = df.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.col("text").cast("string"))})
-    rest = keyed.where(~hit(F.col("_key")))
-    met = keyed.where(hit(F.col("_key"))).join(verdicts, _same("_id", "_found_id", "_key", "_found_key"), "left")
-    once = met.where("keep").dropDuplicates(["_id", "_key"])
-    return rest.select(*df.columns).unionByName(met.where("keep is null").select(*df.columns)).unionByName(once.select(*df.columns))
+    # The row is one column, so that none of its names can clash.
+    keyed = df.select(F.struct("*").alias("given"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    rest = keyed.where(~hit(F.col("key")))
+    met = keyed.where(hit(F.col("key"))).join(verdicts, _same("id", "found_id", "key", "found_key"), "left")
+    once = met.where("keep").dropDuplicates(["id", "key"])
+    return rest.select("given.*").unionByName(met.where("keep is null").select("given.*")).unionByName(once.select("given.*"))

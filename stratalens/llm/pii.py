@@ -51,6 +51,11 @@ def _valid(kind: Column, value: Column) -> Column:
             .when(kind == "phone", F.length(digits).between(10, 15)).otherwise(False))
 
 
+def _searched(text: Column) -> Column:
+    """Whether a text has a digit or a sign of an address, without which no pattern matches."""
+    return text.rlike("[0-9@]") | F.contains(text, F.lit("[at")) | F.contains(text, F.lit("(at")) | F.contains(text, F.lit("{at")) | text.rlike("[(\\[{]AT[)\\]}]|[A-F]{1,4}:[A-Fa-f]|[a-f]{1,4}:[A-Fa-f]")
+
+
 def candidates(df: DataFrame) -> DataFrame:
     """Per row of ``df`` (row, text): the matches of all patterns as (generator, k, gap, value, before, after).
 
@@ -58,8 +63,7 @@ def candidates(df: DataFrame) -> DataFrame:
     sign of an address are not searched.
     """
     text = F.col("text")
-    searched = F.col("text").rlike("[0-9@]") | F.contains(text, F.lit("[at")) | F.contains(text, F.lit("(at")) | F.contains(text, F.lit("{at")) | text.rlike("[(\\[{]AT[)\\]}]|[A-F]{1,4}:[A-Fa-f]|[a-f]{1,4}:[A-Fa-f]")
-    out = df.withColumn("_searched", searched)
+    out = df.withColumn("_searched", _searched(text))
     names = []
     for name, pattern in {**BASE, **LOOSE}.items():
         wanted = F.col("_searched") & (F.contains(text, F.lit("@")) if name == "email" else F.contains(text, F.lit("+")) if name == "phone" else F.lit(True))
@@ -186,22 +190,26 @@ def digest(found: DataFrame) -> DataFrame:
 def redacted(df: DataFrame, **options: float) -> DataFrame:
     """``df`` with a tag of its kind in place of each span, such as ``[EMAIL]``; overlapping spans share the first one's.
 
-    Texts meet their spans by doc_id, which may be null, and hash, and only rows of texts with spans change.
+    Texts meet their spans by doc_id, which may be null, and hash, and only rows of texts with spans change. Texts in which
+    nothing is searched stay where they are; so do null and empty ones. Repeated rows change alike; other columns stay.
     """
     found = spans(df, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
     held = F.col("spans")
     merged = F.aggregate(held, F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>"), lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1)) > s["start"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_longer(F.try_element_at(acc, F.lit(-1)), s)))).otherwise(F.concat(acc, F.array(s))))
-    found = materialize(found.select(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key"), merged.alias("_spans")))
-    keyed = df.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.col("text").cast("string"))})
-    s = F.col("_spans")
+    found = materialize(found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), merged.alias("spans")))
+    # The row is one column, so that none of its names can clash.
+    keyed = df.select(F.struct("*").alias("given"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    searched = F.coalesce(_searched(F.col("given.text").cast("string")), F.lit(False))
+    s, given = F.col("spans"), F.col("given.text")
     last = lambda k: F.coalesce(F.get(s, k - 1)["end"], F.lit(0))
-    parts = F.transform(s, lambda x, k: F.concat(F.substring(F.col("text"), last(k) + 1, x["start"] - last(k)), F.lit("["), F.upper(x["kind"]), F.lit("]")))
-    rest = F.substring(F.col("text"), F.try_element_at(s, F.lit(-1))["end"] + 1, F.length("text"))
-    text = F.when(s.isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest))
-    same = F.col("_id").eqNullSafe(F.col("_found_id")) & (F.col("_key") == F.col("_found_key"))
-    return keyed.join(found, same, "left").withColumn("text", text).select(*df.columns)
+    parts = F.transform(s, lambda x, k: F.concat(F.substring(given, last(k) + 1, x["start"] - last(k)), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    rest = F.substring(given, F.try_element_at(s, F.lit(-1))["end"] + 1, F.length(given))
+    text = F.when(s.isNull(), given).otherwise(F.concat(F.array_join(parts, ""), rest))
+    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key"))
+    met = keyed.where(searched).join(found, same, "left").select(*[text.alias(c) if c == "text" else F.col("given").getField(c).alias(c) for c in df.columns])
+    return keyed.where(~searched).select("given.*").unionByName(met)
 
 
 def _longer(first: Column, second: Column) -> Column:

@@ -115,8 +115,9 @@ def repeated(df: DataFrame, least_sentences: int = 2, least_words: int = 15, row
 
 def removed(df: DataFrame, least_sentences: int = 2, least_words: int = 15, ends: bool = False) -> DataFrame:
     """``df`` without the sentences that ``repeated`` names; a text that keeps none is empty, other columns stay."""
-    stage = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
-    lost = repeated(stage, least_sentences, least_words, row="_row", ends=ends).select(F.col("row").alias("_row"), "sentences")
+    stage = materialize(df.select(F.struct("*").alias("given"), F.monotonically_increasing_id().alias("id")))
+    texts = stage.select("id", "given.doc_id", "given.text")
+    lost = repeated(texts, least_sentences, least_words, row="id", ends=ends).select(F.col("row").alias("id"), "sentences")
 
     @F.pandas_udf("string")
     def without(texts, numbers):
@@ -130,5 +131,6 @@ def removed(df: DataFrame, least_sentences: int = 2, least_words: int = 15, ends
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = stage.join(lost, "_row", "left")
-    return joined.withColumn("text", F.when(F.col("sentences").isNull(), F.col("text")).otherwise(without("text", "sentences"))).select(*df.columns)
+    given = F.col("given.text")
+    text = F.when(F.col("sentences").isNull(), given).otherwise(without(given.cast("string"), "sentences"))
+    return stage.join(lost, "id", "left").select(*[text.alias(c) if c == "text" else F.col("given").getField(c).alias(c) for c in df.columns])

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.llm.components import settled
 from stratalens.session import materialize
 
 _RUN = re.compile(r"[A-Za-zÀ-ÿ]+")
@@ -156,13 +157,7 @@ def forms(vocabulary: DataFrame, times: int = 2) -> DataFrame:
     best = near.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("order"), F.col("b").alias("form"))).alias("best"))
     told = given.join(best, "word", "left").withColumn("form_n", -F.col("best.order")).withColumn("taken", F.coalesce(F.col("form_n") >= times * F.col("n"), F.lit(False)))
     stage = materialize(told.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("taken"), F.col("best.form")).alias("form"), F.when(F.col("taken"), F.col("form_n")).alias("form_n")))
-    steps = materialize(stage.where("form is not null").select("word", F.col("form").alias("root")))
-    while True:
-        ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = materialize(steps.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
-        steps = moved.select("word", "root")
-        if moved.where("moved").isEmpty():
-            break
+    steps = settled(stage.where("form is not null").select(F.col("word").alias("node"), F.col("form").alias("root"))).withColumnRenamed("node", "word")
     return stage.join(steps, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 

@@ -17,7 +17,8 @@ def documents(spark):
 @pytest.fixture(scope="session")
 def odd(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string, source string")
-    return df.withColumns({c: F.lit(0) for c in ("row", "n", "start", "kind", "b", "_row", "kept", "score", "first")})
+    return df.withColumns({c: F.lit(0) for c in ("row", "n", "start", "kind", "b", "_row", "kept", "score", "first", "keep", "_found_id", "_spans", "_id", "_key", "_found_key", "sentences", "given", "key", "id", "found_id",
+                                       "found_key", "spans", "text_key", "hit")})
 
 
 @pytest.fixture(scope="session")

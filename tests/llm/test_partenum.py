@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from samples import ODD, SF, WORDS
-from stratalens.llm import components, partenum
+from stratalens.llm import components, decontaminate, partenum, pii, sentences
 from test_texts import ASCII_LOWER, base_pii, base_quality
 
 
@@ -96,6 +96,28 @@ def test_components(spark):
     assert components.connected(edges.limit(0)).count() == 0
 
 
+def test_components_of_long_chains_and_hubs(spark):
+    names = random.Random(1).sample(range(10_000), 3000)
+    chain = [(a, b) for a, b in zip(names, names[1:], strict=False)]
+    valley = [(20_000, 20_080), *((20_000 + k, 20_000 + k - 1) for k in range(80, 1, -1))]
+    hub = [(39_999, 30_000 + k) for k in range(9_000)] + [(None, 5)]
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(chain + valley + hub, "a long, b long")).collect()}
+    assert {got[n] for n in names} == {min(names)}
+    assert {got[20_000 + k] for k in range(81)} == {20_000}
+    assert {got[30_000 + k] for k in range(9_000)} == {30_000} == {got[39_999]}
+
+
+def test_table_forms_keep_clashing_columns(spark, odd, empty):
+    copies = odd.unionByName(odd.where("doc_id = 5"))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for form in (partenum.deduplicated, pii.redacted, sentences.removed, lambda df: decontaminate.clean(df, bench)):
+        for df in (odd, copies):
+            got = form(df)
+            assert got.columns == df.columns
+            assert {tuple(r)[2:] for r in got.collect()} <= {tuple(r)[2:] for r in df.collect()}
+        assert form(empty).count() == 0
+
+
 def test_pipeline(spark, documents, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
