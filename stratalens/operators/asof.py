@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import ranged
+
 _AT, _SIDE, _TIE, _BUCKET, _RIGHT, _LEFT = "__at", "__side", "__tie", "__bucket", "__right", "__is_left"
 
 
@@ -22,6 +24,7 @@ def asof_join(
     direction: str = "backward",
     ties: Sequence[str] = (),
     bucket: Callable[[Column], Column] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """All rows of ``left`` with ``cols`` of the closest ``right`` row of the same key.
 
@@ -33,6 +36,9 @@ def asof_join(
     With ``bucket``, a coarse function of the position such as its month, a key is spread over its buckets: the last
     right row before each bucket is found on one row per (key, bucket), enters the bucket as its first row, and the
     window then runs per (key, bucket). A key that holds a large share of all rows is thus never one task.
+
+    With ``spread`` the buckets are ranges of (key, position) with about equal row counts over both tables, whatever
+    the positions mean; the rows are stored in that layout once. Only rows at one position must meet.
     """
     forward = direction == "forward"
     ordered = (lambda c: F.col(c).desc_nulls_first()) if forward else (lambda c: F.col(c).asc_nulls_first())
@@ -47,10 +53,14 @@ def asof_join(
                      F.lit(True).alias(_LEFT))
     part = list(by)
     rows = [lf, r]
-    if bucket is not None:
+    if bucket is not None or spread:
         part = [*by, _BUCKET]
-        lf = lf.withColumn(_BUCKET, bucket(F.col(_AT)))
-        r = r.withColumn(_BUCKET, bucket(F.col(_AT)))
+        if spread:
+            laid = ranged(lf.unionByName(r, allowMissingColumns=True), by, [_AT], _BUCKET)
+            lf, r = laid.where(F.col(_LEFT)).drop(_TIE, _RIGHT), laid.where(F.col(_LEFT).isNull()).select(*r.columns, _BUCKET)
+        else:
+            lf = lf.withColumn(_BUCKET, bucket(F.col(_AT)))
+            r = r.withColumn(_BUCKET, bucket(F.col(_AT)))
         pick = F.min_by if forward else F.max_by
         order = F.struct(_AT, F.col(_TIE)) if not (forward and ties) else F.struct(_AT)
         heads = r.groupBy(*part).agg(pick(_RIGHT, order).alias(_RIGHT))

@@ -7,21 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sized
 
-def pct_rank(df: DataFrame, by: Sequence[str], value: str, out: str, slices: int = 64) -> DataFrame:
+
+_MARKS = 1024
+
+
+def pct_rank(df: DataFrame, by: Sequence[str], value: str, out: str, slice_rows: int = 500_000) -> DataFrame:
     """``df`` with the percentile rank of ``value`` in its group, ties averaged, NULL for NULL.
 
     Ranks are worked out on one row per distinct value (counted on the map side, so a value shared by many rows is
-    one row) and the value range is cut into slices of about equal share, taken from one sketch over all rows: counts
-    per slice give the rank at which a slice starts, the window only runs inside (group, slice). No slice holds more
-    than its share of all values, however uneven the groups. The ranks return by an equi-join on (group, value).
+    one row). A sketch per group cuts its value range into slices of about ``slice_rows`` rows, as many as the size of
+    the group asks for: counts per slice give the rank at which a slice starts, the window only runs inside
+    (group, slice). The ranks return by an equi-join on (group, value), which rows without a value do not enter.
     """
     by = list(by)
-    values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    marks = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = df.agg(F.percentile_approx(value, marks, 1000))
-    sliced = values.withColumn("__cuts", cuts.scalar()).withColumn(
-        "__slice", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    known = df.where(F.col(value).isNotNull())
+    values = known.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    marks = F.array(*[F.lit(i / _MARKS) for i in range(1, _MARKS)])
+    n = F.least(F.lit(_MARKS), F.ceil(F.count("*") / slice_rows)).cast("int")
+    cuts = sized(known.groupBy(*by).agg(F.percentile_approx(value, marks, 10 * _MARKS).alias("__marks"), n.alias("__slices")).select(
+        *by, F.when(F.col("__slices") > 1, F.transform(F.sequence(F.lit(1), F.col("__slices") - 1), lambda k: F.get("__marks", F.floor(k * _MARKS / F.col("__slices")).cast("int") - 1))).alias("__cuts")))
+    over = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(-1))
+    sliced = values.join(cuts, by, "left").withColumn("__slice", over).drop("__cuts")
     sizes = sliced.groupBy(*by, "__slice").agg(F.sum("__n").alias("__m"))
     before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*by, "__slice", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__start"),
@@ -33,7 +41,8 @@ def pct_rank(df: DataFrame, by: Sequence[str], value: str, out: str, slices: int
         .select(*by, value,
                 ((F.col("__start") + F.col("__cum") - (F.col("__n") - 1) / 2.0) / F.col("__all")).alias(out))
     )
-    return df.join(ranks, [*by, value], "left").select(*df.columns, out)
+    ranked = known.join(ranks, [*by, value], "left").select(*df.columns, out)
+    return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running totals over groups of any size: per bucket first, then over one row per bucket."""
+"""Running totals over groups of any size: per piece of a group first, then over one row per piece."""
 
 from __future__ import annotations
 
@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+PIECE = "__piece"
+
+
+def ranged(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = PIECE) -> DataFrame:
+    """``df`` laid out by (``by``, ``order``) in ranges of about equal row counts, stored, with the number of its range.
+
+    Ranges ascend within a group, so their number is an order-preserving function of the position. A group with half
+    of all rows, even on one day, is half of the ranges; small groups share one. Only rows equal in all these columns must meet.
+    The number of ranges is the session's number of shuffle partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in [*by, *order]])
+    return materialize(laid.withColumn(name, F.spark_partition_id()))
+
+
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` that also matches null with null; a null time is a bucket of its own, before all others."""
     right = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -21,7 +36,7 @@ def running_sums(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequen
                  sums: dict[str, Column]) -> DataFrame:
     """``df`` plus, for every entry of ``sums``, the running total up to and including the row.
 
-    ``bucket`` is a coarse, order-preserving function of the first order column (for example its month). Rows are
+    ``bucket`` is a coarse, order-preserving function of the position: the range of ``ranged``, or a month. Rows are
     summed inside (key, bucket); what the earlier buckets add comes from one row per (key, bucket). Totals of decimal
     columns are exact, whatever the split.
     """

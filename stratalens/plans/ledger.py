@@ -14,27 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.asof import asof_join
-from ..operators.scan import linear_scan, reflected_position, running_sums
+from ..operators.scan import PIECE, linear_scan, ranged, reflected_position, running_sums
 from ..session import materialize
 
 KEY = ["account", "symbol"]
 ORDER = ["ts", "trade_id"]
 _QTY = "decimal(28,6)"
-_LINE_BUCKET = 100_000
 
 
-def _month(ts: str = "ts") -> Column:
-    return F.date_trunc("month", ts).cast("date")
-
-
-def _line_bucket(c: Column) -> Column:
-    return F.floor(c / F.lit(_LINE_BUCKET)).cast("long")
+def _laid(trades: DataFrame) -> DataFrame:
+    """Trades in ranges of (account, symbol, ts, trade_id) with about equal row counts; laid out already, as they are."""
+    return trades if PIECE in trades.columns else ranged(trades, KEY, ORDER)
 
 
 def lots(trades: DataFrame) -> DataFrame:
     """Purchases with cost per share including fees, place on the bought line and cumulative cost."""
-    buys = trades.where(F.col("side") == "BUY").withColumn("cost", F.col("quantity") * F.col("price") + F.col("fee"))
-    placed = running_sums(buys, KEY, _month(), ORDER, {"hi": F.col("quantity").cast(_QTY), "cost_hi": F.col("cost"), "lot_no": F.lit(1)})
+    buys = _laid(trades).where(F.col("side") == "BUY").withColumn("cost", F.col("quantity") * F.col("price") + F.col("fee"))
+    placed = running_sums(buys, KEY, F.col(PIECE), ORDER, {"hi": F.col("quantity").cast(_QTY), "cost_hi": F.col("cost"), "lot_no": F.lit(1)})
     return placed.select(
         *KEY, "ts", "trade_id", "quantity", "price", "fee", "cost", F.try_divide("cost", "quantity").alias("unit_cost"),
         (F.col("hi") - F.col("quantity").cast(_QTY)).cast(_QTY).alias("lo"), F.col("hi").cast(_QTY).alias("hi"),
@@ -43,8 +39,8 @@ def lots(trades: DataFrame) -> DataFrame:
 
 def sales(trades: DataFrame) -> DataFrame:
     """Sales with their place on the sold line."""
-    sells = trades.where(F.col("side") == "SELL")
-    placed = running_sums(sells, KEY, _month(), ORDER, {"hi": F.col("quantity").cast(_QTY)})
+    sells = _laid(trades).where(F.col("side") == "SELL")
+    placed = running_sums(sells, KEY, F.col(PIECE), ORDER, {"hi": F.col("quantity").cast(_QTY)})
     return placed.select(*KEY, "ts", "trade_id", "quantity", "price", "fee",
                          (F.col("hi") - F.col("quantity").cast(_QTY)).cast(_QTY).alias("lo"), F.col("hi").cast(_QTY).alias("hi"))
 
@@ -61,8 +57,8 @@ def interval_cost(intervals: DataFrame, lot_table: DataFrame) -> DataFrame:
         return lot_table.select(*KEY, F.col("lo").alias("__start"), *[F.col(n).alias(f"{mark}_{n}") for n in names])
 
     cols = lambda mark: [f"{mark}_{n}" for n in names]
-    a = asof_join(intervals, side("a"), KEY, "lo", "__start", cols("a"), bucket=_line_bucket, ties=["a_lot_no"])
-    b = asof_join(a, side("b"), KEY, "hi", "__start", cols("b"), strict=True, bucket=_line_bucket, ties=["b_lot_no"])
+    a = asof_join(intervals, side("a"), KEY, "lo", "__start", cols("a"), spread=True, ties=["a_lot_no"])
+    b = asof_join(a, side("b"), KEY, "hi", "__start", cols("b"), strict=True, spread=True, ties=["b_lot_no"])
     d = lambda c: F.col(c).cast("double")
     one = (d("hi") - d("lo")) * F.col("a_unit_cost")
     several = ((d("a_hi") - d("lo")) * F.col("a_unit_cost") + (d("hi") - d("b_lo")) * F.col("b_unit_cost")
@@ -77,7 +73,7 @@ def interval_cost(intervals: DataFrame, lot_table: DataFrame) -> DataFrame:
 def running_holding(trades: DataFrame) -> DataFrame:
     """Trades with the plain running holding; below zero where more was sold than bought so far."""
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    return running_sums(trades, KEY, _month(), ORDER, {"holding": signed.cast(_QTY)})
+    return running_sums(_laid(trades), KEY, F.col(PIECE), ORDER, {"holding": signed.cast(_QTY)}).drop(PIECE)
 
 
 def oversold_keys(trades: DataFrame) -> DataFrame:
@@ -123,6 +119,7 @@ def disposals(trades: DataFrame) -> DataFrame:
 
     The trades must not oversell; pass them through ``accepted`` first if they may.
     """
+    trades = _laid(trades)
     d = interval_cost(sales(trades), lots(trades))
     proceeds = F.col("quantity") * F.col("price") - F.col("fee")
     return d.select(
@@ -136,14 +133,15 @@ def lot_matches(trades: DataFrame) -> DataFrame:
 
     Pieces begin where a lot or a sale begins; each start finds its lot and its sale by an as-of look-up.
     """
+    trades = _laid(trades)
     lot_table, sale_table = materialize(lots(trades)), materialize(sales(trades))
     starts = lot_table.select(*KEY, F.col("lo").alias("p")).unionByName(sale_table.select(*KEY, F.col("lo").alias("p"))).distinct()
     lot_side = lot_table.select(*KEY, "lo", F.col("trade_id").alias("lot_id"), F.col("ts").alias("lot_ts"),
                                 F.col("hi").alias("lot_hi"), "unit_cost", "lot_no")
     sale_side = sale_table.select(*KEY, "lo", F.col("trade_id").alias("sale_id"), F.col("ts").alias("sale_ts"), F.col("hi").alias("sale_hi"))
-    found = asof_join(starts, sale_side, KEY, "p", "lo", ["sale_id", "sale_ts", "sale_hi"], bucket=_line_bucket, ties=["sale_ts", "sale_id"])
+    found = asof_join(starts, sale_side, KEY, "p", "lo", ["sale_id", "sale_ts", "sale_hi"], spread=True, ties=["sale_ts", "sale_id"])
     found = found.where(F.col("p") < F.col("sale_hi"))
-    found = asof_join(found, lot_side, KEY, "p", "lo", ["lot_id", "lot_ts", "lot_hi", "unit_cost", "lot_no"], bucket=_line_bucket, ties=["lot_no"])
+    found = asof_join(found, lot_side, KEY, "p", "lo", ["lot_id", "lot_ts", "lot_hi", "unit_cost", "lot_no"], spread=True, ties=["lot_no"])
     shares = (F.least("lot_hi", "sale_hi") - F.col("p")).cast("double")
     return found.where(F.col("p") < F.col("lot_hi")).select(
         *KEY, "sale_id", "sale_ts", "lot_id", "lot_ts", shares.alias("shares"), (shares * F.col("unit_cost")).alias("cost"))
@@ -198,17 +196,18 @@ def running_positions(trades: DataFrame) -> DataFrame:
 
     A buy averages in, a sell keeps the average, selling all or more closes the position. Shares are a sum reflected
     at zero; the average is a weighted recurrence y = (1 - w)·y + w·price with w the share of the buy in the new
-    holding. Both are split into buckets, so a key of any length is shared out.
+    holding. Both run inside ranges of about equal row counts, and then over one row a range: a key is shared out
+    evenly, however its trades lie over the days.
     """
+    columns = trades.columns
     buy = F.col("side") == "BUY"
     signed = F.when(buy, F.col("quantity")).otherwise(-F.col("quantity"))
-    held = reflected_position(trades, KEY, _month(), ORDER, signed, "shares", _QTY).withColumn("shares", F.col("shares").cast("double"))
+    held = reflected_position(_laid(trades), KEY, F.col(PIECE), ORDER, signed, "shares", _QTY).withColumn("shares", F.col("shares").cast("double"))
     w = F.when(buy & (F.col("shares") > 0), F.col("quantity") / F.col("shares")).otherwise(F.lit(0.0))
     steps = held.withColumn("__keep", 1 - w).withColumn("__add", w * F.col("price"))
-    # Days, not months: what is folded per bucket is one entry per 256 rows.
-    run = linear_scan(steps, KEY, F.col("ts").cast("date"), ORDER, "__keep", "__add", "avg_cost")
+    run = linear_scan(steps, KEY, F.col(PIECE), ORDER, "__keep", "__add", "avg_cost")
     open_ = F.col("shares") > 0
-    return run.select(*trades.columns, "shares", F.when(open_, F.col("avg_cost")).alias("avg_cost"),
+    return run.select(*[c for c in columns if c != PIECE], "shares", F.when(open_, F.col("avg_cost")).alias("avg_cost"),
                       F.when(open_, F.col("avg_cost") * F.col("shares")).otherwise(F.lit(0.0)).alias("total_cost"))
 
 

@@ -11,7 +11,7 @@ from stratalens.functions import columns as X
 from stratalens.operators.asof import asof_join, asof_nearest
 from stratalens.operators.quantile import exact_quantiles
 from stratalens.operators.rank import pct_rank
-from stratalens.operators.scan import linear_scan, reflected_position, running_sums
+from stratalens.operators.scan import PIECE, linear_scan, ranged, reflected_position, running_sums
 from stratalens.operators.winsor import winsorize
 from stratalens.plans import features as T
 from stratalens.plans import panel as P
@@ -103,6 +103,48 @@ def test_running_totals_and_recurrences(spark):
         assert run[t] == s[k] and low[t] == h[k] and lin[t] == pytest.approx(y[k])
 
 
+def test_a_hot_day_is_shared_out_evenly(spark):
+    rnd = random.Random(6)
+    day = dt.datetime(2020, 5, 4)
+    rows = [("hot", day, i, float(rnd.choice([-3, -1, 2, 4]))) for i in range(4000)]
+    rows += [(f"k{i % 50}", day + dt.timedelta(days=i % 300), i, float(rnd.choice([-3, 2]))) for i in range(4000, 8000)]
+    laid = ranged(spark.createDataFrame(rows, "k string, ts timestamp, i long, x double").repartition(4), ["k"], ["ts", "i"])
+    sizes = [r["count"] for r in laid.groupBy(PIECE).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.5 * min(sizes)
+    assert laid.where("k = 'hot'").select(PIECE).distinct().count() >= 4
+    sums = {r.i: r.s for r in running_sums(laid, ["k"], F.col(PIECE), ["ts", "i"], {"s": F.col("x")}).collect()}
+    low = {r.i: r.h for r in reflected_position(laid, ["k"], F.col(PIECE), ["ts", "i"], F.col("x"), "h").collect()}
+    s, h = {}, {}
+    for k, _, i, x in sorted(rows, key=lambda r: (r[1], r[2])):
+        s[k], h[k] = s.get(k, 0.0) + x, max(h.get(k, 0.0) + x, 0.0)
+        assert sums[i] == s[k] and low[i] == h[k]
+
+
+@pytest.mark.parametrize(("strict", "direction"), [(False, "backward"), (True, "backward"), (False, "forward"), (True, "forward")])
+def test_asof_over_ranges(spark, strict, direction):
+    rnd = random.Random(7)
+    key = lambda: "hot" if rnd.random() < 0.7 else f"k{rnd.randrange(5)}"
+    left = [(key(), rnd.randrange(300), i) for i in range(600)] + [("hot", None, 900)]
+    right = list({(k, t): (k, t, n) for n, (k, t) in enumerate((key(), rnd.randrange(300)) for _ in range(250))}.values())
+    got = asof_join(spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "k string, r int, n int"), ["k"], "t", "r", ["n"], strict=strict, direction=direction, spread=True)
+    found = {r.i: r.n for r in got.collect()}
+    assert len(found) == len(left)
+    for k, t, i in left:
+        sign = 1 if direction == "backward" else -1
+        hits = [(sign * r, n) for q, r, n in right if q == k and t is not None and (sign * r < sign * t or r == t and not strict)]
+        assert found[i] == (max(hits)[1] if hits else None)
+
+
+def test_pct_rank_in_many_slices(spark):
+    rnd = random.Random(8)
+    rows = [(d, i, None if rnd.random() < 0.1 else float(rnd.randrange(90))) for d, n in (("big", 500), ("small", 3)) for i in range(n)] + [("none", 0, None)]
+    got = {(r.d, r.i): r.p for r in pct_rank(spark.createDataFrame(rows, "d string, i int, v double"), ["d"], "v", "p", slice_rows=20).collect()}
+    for d, i, v in rows:
+        known = [x for e, _, x in rows if e == d and x is not None]
+        assert got[d, i] == (None if v is None else pytest.approx((sum(x < v for x in known) + (sum(x == v for x in known) + 1) / 2) / len(known)))
+    assert len(got) == len(rows)
+
+
 def test_winsorize(spark):
     df = spark.createDataFrame([(float(v), 1.0, v) for v in (1, 2, 3, 4, 5, 100)] + [(None, 1.0, 7)], "ratio1 double, flat double, i int")
     out = {r.i: (r.ratio1, r.flat) for r in winsorize(df, ["ratio1", "flat"], 3.0).collect()}
