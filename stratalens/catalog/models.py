@@ -33,7 +33,7 @@ def ridge():
 
 
 def forest():
-    return SelectionModel("forest", params={"trees": 20, "depth": 6, "min_leaf": 20})
+    return SelectionModel("forest")
 
 
 _RUNS: dict = {}
@@ -42,7 +42,7 @@ _RUNS: dict = {}
 def run(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
-        _RUNS[key] = K.run(data(spark, sf), X.benchmark_daily(spark, sf), "1997-01-01", "2000-12-31", freq="A", month=6, n=10, min_cap="Nano Cap", make_model=ridge)
+        _RUNS[key] = K.run(data(spark, sf), X.benchmark_daily(spark, sf), "1990-01-01", "2010-12-31", freq="A", month=6, make_model=ridge)
     return _RUNS[key]
 
 
