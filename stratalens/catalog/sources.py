@@ -206,6 +206,55 @@ def nested(spark, sf):
     return rounded(R.flatten_statements(parsed, NESTED_ITEMS), ["code", "date", "sector", "filing_date"], NESTED_ITEMS)
 
 
+def nested_items(spark, sf):
+    """Documents with typed items, a text among them and a dated text in each entry, read without a list of items."""
+    def quarters(df, fields, alias):
+        end = F.last_day(F.make_date("fiscal_year", F.substring("fiscal_period", 2, 1).cast("int") * 3, F.lit(1))).cast("string")
+        entry = F.struct(*[v.alias(k) for k, v in fields.items()], F.col("publish_date").cast("string").alias("filing_date"))
+        return df.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct(end, entry))).alias(alias))
+
+    c = F.col
+    i = quarters(X.income(spark, sf), {"totalRevenue": c("revenue"), "netIncome": c("net_income"), "audited": c("revenue") > c("net_income")}, "i")
+    b = quarters(X.balance(spark, sf), {"totalAssets": c("total_assets"), "inventory": c("inventories").cast("string")}, "b")
+    f = quarters(X.cashflow(spark, sf), {"capitalExpenditures": c("fixed_asset_change"), "currency": F.concat(F.lit("for "), c("ticker"))}, "c")
+    wrap = lambda x: F.struct(c(x).alias("quarterly"))
+    doc = F.to_json(F.struct(F.struct(wrap("i").alias("Income_Statement"), wrap("b").alias("Balance_Sheet"), wrap("c").alias("Cash_Flow")).alias("Financials")))
+    d = i.join(b, "ticker", "full").join(f, "ticker", "full").select(c("ticker").alias("code"), doc.alias("body"))
+    return R.statement_items(d).withColumn("number", sig("number"))
+
+
+Q_END = "last_day(make_date(fiscal_year, CAST(fiscal_period[2:] AS INT) * 3, 1))"
+ITEM_SQL = [("income", "totalRevenue", "number", "revenue"), ("income", "netIncome", "number", "net_income"), ("income", "audited", "boolean", "revenue > net_income"),
+            ("balance", "totalAssets", "number", "total_assets"), ("balance", "inventory", "text number", "inventories"), ("cashflow", "capitalExpenditures", "number", "fixed_asset_change"),
+            ("cashflow", "currency", "text", "'for ' || ticker"), *((s, "filing_date", "text", "CAST(publish_date AS VARCHAR)") for s in ("income", "balance", "cashflow"))]
+
+
+def items_sql():
+    """The items of ``nested_items``, one SELECT each; the text form of a number in text is left to the engines."""
+    part = lambda s, item, kind, x: (f"SELECT ticker AS code, '{s}' AS statement, {Q_END} AS date, '{item}' AS item, '{kind.split()[0]}' AS kind, "
+                                     f"{sig_sql(x) if 'number' in kind else 'NULL::DOUBLE'} AS number, {f'CAST({x} AS VARCHAR)' if kind in ('text', 'boolean') else 'NULL'} AS text FROM {s} WHERE ({x}) IS NOT NULL")
+    return " UNION ALL ".join(part(*x) for x in ITEM_SQL)
+
+
+def item_rows(spark, sf):
+    return nested_items(spark, sf).withColumn("text", F.when(F.col("number").isNull(), F.col("text")))
+
+
+def company_general(spark, sf):
+    """The general section of the documents; a symbol without one has no row."""
+    general = F.struct(F.concat(F.lit("Company "), "ticker").alias("Name"), F.col("sector").alias("Sector"), F.col("industry").alias("CountryName"), F.lit(False).alias("IsDelisted"))
+    doc = F.to_json(F.struct(F.when(F.col("industry") != "CANADA", general).alias("General")))
+    return R.company_info(R.parse_nested(X.companies(spark, sf).select(F.col("ticker").alias("code"), doc.alias("body"))))
+
+
+GENERAL_SQL = {"name": "'Company S' || s_suppkey", "sector": "r_name", "country": "n_name", "is_delisted": "'false'"}
+
+
+def general_sql():
+    fields = ", ".join(f"{GENERAL_SQL.get(k, 'CAST(NULL AS VARCHAR)')} AS {k}" for k in R.COMPANY_FIELDS)
+    return f"SELECT 'S' || s_suppkey AS code, {fields} FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n_name <> 'CANADA'"
+
+
 def statement_split(spark, sf):
     wide = wide_b(spark, sf)
     paths = W.write_statements(wide, fresh(spark, "split"))
@@ -272,7 +321,6 @@ def b_item(c: str) -> str:
     return {"income_tax": "-income_tax", "fixed_asset_change": "-abs(fixed_asset_change)"}.get(c, c)
 
 
-Q_END = "last_day(make_date(fiscal_year, CAST(fiscal_period[2:] AS INT) * 3, 1))"
 WORDS = {"income": ["totalRevenue", "costOfRevenue", "grossProfit", "operatingIncome", "interestExpense", "incomeBeforeTax", "incomeTaxExpense", "netIncome",
                     "netIncomeApplicableToCommonShares", "depreciationAndAmortization", "researchDevelopment", "dividendsPaid"],
          "balance": ["totalAssets", "totalStockholderEquity", "totalCurrentAssets", "totalCurrentLiabilities", "inventory", "netReceivables", "accountsPayable", "propertyPlantEquipment",
@@ -304,6 +352,8 @@ QUERIES = {
   {sig_sql('revenue')} AS "totalRevenue", {sig_sql('net_income')} AS "netIncome", {sig_sql('total_assets')} AS "totalAssets",
   {sig_sql('CASE WHEN total_assets IS NOT NULL THEN inventories WHEN revenue IS NOT NULL THEN -1 END')} AS inventory, {sig_sql('fixed_asset_change')} AS "capitalExpenditures"
   FROM merged m JOIN co c ON m.ticker = c.ticker""".replace("FROM merged m JOIN co c", "FROM merged m JOIN (SELECT 'S' || s_suppkey AS ticker, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) c"))),
+    "s16_f7_all_items": (item_rows, sql(FUND_NAMES[:3], items_sql())),
+    "s16_company_info": (company_general, general_sql()),
     "s17_statement_split": (statement_split, sql(FUND_NAMES[:4], " UNION ALL ".join(
         f"SELECT '{s}' AS statement, '{c}' AS \"column\", count({BACK[c]}) AS n FROM merged" for s, cs in WORDS.items() for c in cs))),
     "p1_p2_mapped_columns": (mapped, f"""SELECT {sig_sql('rate')} AS rate, {sig_sql('sum(-l_quantity)')} AS size FROM (SELECT coalesce(CASE WHEN l_returnflag = 'A' THEN l_tax END, l_discount) AS rate,

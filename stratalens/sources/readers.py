@@ -209,6 +209,27 @@ def company_info(parsed: DataFrame) -> DataFrame:
     return parsed.where(general.isNotNull()).select("code", *[F.try_element_at(general, F.lit(v)).alias(k) for k, v in COMPANY_FIELDS.items()])
 
 
+STATEMENTS = {"income": "Income_Statement", "balance": "Balance_Sheet", "cashflow": "Cash_Flow"}
+
+
+def statement_items(df: DataFrame, body: str = "body") -> DataFrame:
+    """Every item of every statement of ``df`` (code, body): code, statement, date, item, kind, number, text.
+
+    Documents are read as variants, so items need no list and keep their types: ``kind`` is number, text, boolean or null.
+    ``number`` has numbers and texts that are numbers, ``text`` has texts and booleans as written. A body that is not JSON, or a
+    statement that is not a mapping of dates to mappings, has no rows.
+    """
+    doc = F.try_parse_json(body)
+    parts = [F.struct(F.lit(name).alias("statement"), F.try_variant_get(doc, f"$.Financials.{path}.quarterly", "map<string,variant>").alias("dates")) for name, path in STATEMENTS.items()]
+    dated = df.select("code", F.explode(F.array(*parts)).alias("s")).select("code", "s.statement", F.explode("s.dates").alias("date", "entry"))
+    items = dated.select("code", "statement", X.to_day(F.col("date")).alias("date"), F.explode(F.try_variant_get("entry", "$", "map<string,variant>")).alias("item", "value"))
+    form, plain = F.schema_of_variant("value"), F.try_variant_get("value", "$", "string")
+    kind = F.when(form.isNull() | (form == "VOID"), "null").when(form == "STRING", "text").when(form == "BOOLEAN", "boolean").when(form.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").otherwise("nested")
+    rows = items.select("code", "statement", "date", "item", kind.alias("kind"), plain.alias("plain"))
+    return rows.select("code", "statement", "date", "item", "kind", F.when(F.col("kind").isin("number", "text"), X.to_number(F.col("plain"))).alias("number"),
+                       F.when(F.col("kind").isin("text", "boolean"), F.col("plain")).alias("text"))
+
+
 def flatten_statements(parsed: DataFrame, items: Sequence[str]) -> DataFrame:
     """One row per (symbol, quarter) over the dates of all three statements.
 
