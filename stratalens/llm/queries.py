@@ -31,7 +31,7 @@ def op4_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.repeated(table(spark, sf_dir, "documents")).drop("row")
+    return sentences.repeated(table(spark, sf_dir, "documents"), ends=True).drop("row")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

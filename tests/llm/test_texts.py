@@ -183,11 +183,13 @@ def test_repeats_against_brute_force(spark, documents):
     for doc in sorted(documents):
         found = sentences.sentences(documents[doc])
         for i in range(len(found)):
-            n = next((n for n in range(2, len(found) - i + 1) if sum(x[2] for x in found[i : i + n]) >= 15), None)
-            if n:
-                key = tuple(x[3] for x in found[i : i + n])
-                if seen.setdefault(key, (doc, i)) != (doc, i):
-                    want.setdefault(doc, set()).update(range(i, i + n))
+            key, words, reach = 0, 0, 0
+            for n, (_, _, size, one) in enumerate(found[i:], 1):  # all runs from here
+                key, words = hash((key, one)), words + size
+                if n >= 2 and words >= 15 and seen.setdefault(key, (doc, i)) != (doc, i):
+                    reach = n
+            if reach:
+                want.setdefault(doc, set()).update(range(i, i + reach))
     assert {r.doc_id: set(r.sentences) for r in entry.queries()["op5_repeated_sentences"](spark, SF).collect()} == want
 
 
