@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..plans.panel import last_rows_of_month, merge_point_in_time
 from ..session import materialize
@@ -41,6 +42,20 @@ def _stored(spark: SparkSession, batch: DataFrame, table: str) -> DataFrame:
     return spark.read.schema(schema).parquet(table).where(F.col("month").isin(months))
 
 
+def _months_met(rows: DataFrame, batch_id: int, table: str) -> list:
+    """Months of ``table`` in which an earlier batch has a day of ``rows``; the days of ``rows`` are noted under their batch.
+
+    The note beside the table has one row per batch and day, so days that no batch has brought yet are known to be new
+    without a look at the stored prices. It is written before the prices; a replayed batch replaces its own note.
+    """
+    spark, index = rows.sparkSession, f"{table.rstrip('/')}_days"
+    days = rows.select("date").distinct()
+    days.write.mode("overwrite").parquet(f"{index}/batch={batch_id}")
+    noted = spark.read.schema("date date, batch long").option("basePath", index).parquet(index)
+    met = noted.where(F.col("batch") < batch_id).join(days, "date", "left_semi")
+    return [r[0] for r in met.select(F.last_day("date")).distinct().collect()]
+
+
 def _one_a_day(rows: DataFrame, first: Sequence[str] = ()) -> DataFrame:
     """One row per (ticker, date): the largest by ``first`` and then by all columns, so a replay chooses the same."""
     rest = [c for c in rows.columns if c not in ("ticker", "date", *first)]
@@ -51,16 +66,21 @@ def _one_a_day(rows: DataFrame, first: Sequence[str] = ()) -> DataFrame:
 def append_prices(stream: DataFrame, table: str, checkpoint: str, symbols: DataFrame | None = None) -> StreamingQuery:
     """All files present now into the price table, one row per (ticker, date), known symbols only.
 
-    A row enters unless an earlier batch has brought its day already, whatever its age: every batch is compared with the
-    stored months it touches, and there is no watermark. The checkpoint keeps what was read, so a restart resumes.
+    A row enters unless an earlier batch has brought its day already, whatever its age, and there is no watermark. Only
+    months in which an earlier batch has one of the batch's days are read; a batch of new days reads no stored prices.
+    The checkpoint keeps what was read, so a restart resumes.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = batch.where(F.col("ticker").isNotNull() & F.col("date").isNotNull())
         if symbols is not None:
             rows = rows.join(symbols.select("ticker").distinct(), "ticker", "left_semi")
         rows = materialize(_one_a_day(rows).select(*batch.columns))
-        earlier = _stored(batch.sparkSession, rows, table).where(F.col("batch") < batch_id)
-        _store(rows.join(earlier.select("ticker", "date"), ["ticker", "date"], "left_anti"), batch_id, table)
+        met = _months_met(rows, batch_id, table)
+        if met:
+            stored = batch.sparkSession.read.schema("ticker string, date date, month date, batch long").parquet(table)
+            earlier = stored.where(F.col("month").isin(met) & (F.col("batch") < batch_id))
+            rows = rows.join(earlier.select("ticker", "date"), ["ticker", "date"], "left_anti")
+        _store(rows, batch_id, table)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -89,31 +109,41 @@ def maintain_month_bars(stream: DataFrame, daily: str, bars: str, checkpoint: st
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def maintain_point_in_time(stream: DataFrame, statements: str, bars: DataFrame, panel: str, checkpoint: str, lag_months: int = 1) -> StreamingQuery:
+def maintain_point_in_time(stream: DataFrame, statements: str, bars: DataFrame, panel: str, checkpoint: str, lag_months: int = 1, buckets: int = 64) -> StreamingQuery:
     """Panel rows refreshed as statements arrive.
 
-    The first batch writes every month of every ticker, with or without a known statement. A later one merges again the
-    rows of its own tickers from the first month a new statement can reach, with the batch as-of operator, and writes
-    those months with the other tickers' rows as they are.
+    The first batch writes every month of every ticker, with or without a known statement. A new statement is the latest
+    one only until the next known statement of its ticker, so a later batch looks for the month rows whose latest
+    statement is one of its own, and rewrites those months alone, with all other rows as they are. Statements are kept by
+    ``buckets`` of tickers; a batch reads its own tickers' buckets from its earliest statement on.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{statements}/batch={batch_id}")
-        known = spark.read.option("basePath", statements).parquet(statements).drop("batch")
-        schema = merge_point_in_time(bars, known, lag_months).schema
+        spark, names = batch.sparkSession, batch.columns
+        laid_out = batch.withColumns({"bucket": F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int"), "batch": F.lit(batch_id).cast("long")})
+        stored = T.StructType([*laid_out.schema.fields])
+        laid_out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(statements)
+        known = spark.read.schema(stored).parquet(statements).where(F.col("batch") <= batch_id)
+        schema = merge_point_in_time(bars, known.select(*names), lag_months).schema
         spark.createDataFrame([], schema).write.mode("ignore").partitionBy("public_date").parquet(panel)
         written = spark.read.schema(schema).parquet(panel).select(*schema.fieldNames())
-        reach = batch.where(F.col("publish_date").isNotNull()).groupBy(F.col("ticker").alias("TICKER")).agg(F.add_months(F.min("publish_date"), lag_months).alias("since"))
-        first = reach.agg(F.min("since")).first()[0]
-        if written.isEmpty():
-            rebuilt = merge_point_in_time(bars, known, lag_months)
-        elif first is None:
-            return
+        if batch_id == 0 or written.isEmpty():
+            rebuilt = merge_point_in_time(bars, known.select(*names), lag_months)
         else:
-            touched = reach.select("TICKER")
-            late = F.col("public_date") >= F.lit(first)
-            own = merge_point_in_time(bars.where(late).join(touched, "TICKER", "left_semi"), known.join(touched.withColumnRenamed("TICKER", "ticker"), "ticker", "left_semi"), lag_months)
-            rebuilt = own.select(*schema.fieldNames()).unionByName(written.where(late).join(touched, "TICKER", "left_anti"))
+            dated = batch.where(F.col("publish_date").isNotNull() & F.col("ticker").isNotNull())
+            reach = materialize(dated.groupBy("ticker").agg(F.min("publish_date").alias("since")))
+            mine = [r[0] for r in reach.select(F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int")).distinct().collect()]  # at most ``buckets``
+            first = reach.agg(F.min("since")).first()[0]
+            if first is None:
+                return
+            recent = known.where(F.col("bucket").isin(mine) & (F.col("publish_date") >= F.lit(first))).join(reach, "ticker").where(F.col("publish_date") >= F.col("since"))
+            own = bars.where(F.col("public_date") >= F.add_months(F.lit(first), lag_months)).join(reach.select(F.col("ticker").alias("TICKER")), "TICKER", "left_semi")
+            merged = merge_point_in_time(own, recent.select(*names, F.col("batch").alias("from_batch")), lag_months)
+            changed = materialize(merged.where(F.col("from_batch") == batch_id).select(*schema.fieldNames()))
+            months = [r[0] for r in changed.select("public_date").distinct().collect()]
+            if not months:
+                return
+            others = written.where(F.col("public_date").isin(months)).join(changed.select("TICKER", "public_date"), ["TICKER", "public_date"], "left_anti")
+            rebuilt = changed.unionByName(others)
         (materialize(rebuilt).repartitionByRange("public_date", "TICKER").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("public_date").parquet(panel))
 
@@ -121,18 +151,36 @@ def maintain_point_in_time(stream: DataFrame, statements: str, bars: DataFrame,
 
 
 _POSITION = "account string, symbol string, ts timestamp, trade_id string, shares double, avg_cost double, total_cost double"
-
-
-def running_positions(trades: DataFrame) -> DataFrame:
-    """Position after every trade of a stream, with (shares, total cost) as the state of a key.
-
-    Trades of a key must arrive in time order from batch to batch; inside a batch they are sorted.
-    """
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        shares, cost = state.get if state.exists else (0.0, 0.0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "trade_id"])
+_WAITING = "ts timestamp, trade_id string, side string, quantity double, price double"
+
+
+class _Replay(StatefulProcessor):
+    """Trades of a key wait until the watermark has passed them, then change (shares, total cost) in time order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._position = handle.getValueState("position", "shares double, cost double")
+        self._waiting = handle.getListState("waiting", _WAITING)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            self._waiting.appendList(list(part[["ts", "trade_id", "side", "quantity", "price"]].itertuples(index=False, name=None)))
+            first = part["ts"].min() if first is None else min(first, part["ts"].min())
+        if first is not None:
+            self._handle.registerTimer(_millis(first))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self._waiting.get(), key=lambda r: (r[0], r[1]))
+        due = [r for r in waiting if _millis(r[0]) <= passed]
+        rest = waiting[len(due):]
+        if not due:
+            return
+        shares, cost = self._position.get() if self._position.exists() else (0.0, 0.0)
         out = []
-        for ts, trade_id, side, q, price in zip(rows["ts"], rows["trade_id"], rows["side"], rows["quantity"], rows["price"]):
+        for ts, trade_id, side, q, price in due:
             if side == "BUY":
                 shares, cost = shares + q, cost + q * price
             elif q >= shares:
@@ -140,7 +188,33 @@ def running_positions(trades: DataFrame) -> DataFrame:
             else:
                 cost, shares = cost * (shares - q) / shares, shares - q
             out.append((*key, ts, trade_id, shares, cost / shares if shares > 0 else None, cost))
-        state.update((shares, cost))
+        self._position.update((shares, cost))
+        if rest:
+            self._waiting.put(rest)
+            self._handle.registerTimer(_millis(rest[0][0]))
+        else:
+            self._waiting.clear()
         yield pd.DataFrame(out, columns=["account", "symbol", "ts", "trade_id", "shares", "avg_cost", "total_cost"])
 
-    return trades.groupBy("account", "symbol").applyInPandasWithState(step, _POSITION, "shares double, cost double", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def _millis(ts: datetime) -> int:
+    """Milliseconds since 1970, rounded up, so that a time is never taken for passed before it is."""
+    return -int(-pd.Timestamp(ts).timestamp() * 1000 // 1)
+
+
+def running_positions(trades: DataFrame, delay: str = "7 days") -> DataFrame:
+    """Position after every trade of a stream, in time order within a key, however trades arrive within ``delay``.
+
+    A trade waits in the state of its (account, symbol) until the watermark, ``delay`` behind the latest trade of all
+    keys, has passed its time; then a timer folds the waiting trades in order of (ts, trade_id). So the state holds two
+    numbers a key and the trades of the last ``delay``. A trade that comes later than that would change rows already
+    written; Spark's watermark leaves it out, as it does one without a time. Needs the RocksDB state store, which
+    this sets for the session.
+    """
+    trades.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    narrow = trades.where(F.col("ts").isNotNull()).select("account", "symbol", F.col("ts").cast("timestamp").alias("ts"), F.col("trade_id").cast("string").alias("trade_id"), "side",
+                                                          F.col("quantity").cast("double").alias("quantity"), F.col("price").cast("double").alias("price"))
+    return narrow.withWatermark("ts", delay).groupBy("account", "symbol").transformWithStateInPandas(_Replay(), _POSITION, "append", "EventTime")

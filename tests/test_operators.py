@@ -244,3 +244,70 @@ def test_late_prices_are_kept(spark, tmp_path):
         ingest.append_prices(ingest.price_stream(spark, landing), table, checkpoint).awaitTermination()
     got = sorted((r.ticker, str(r.date), r.adj_close) for r in spark.read.parquet(table).collect())
     assert got == [("A", "2020-06-01", 1.0), ("A", "2020-06-02", 2.0), ("B", "2010-01-04", 3.0), ("B", "2020-06-03", 4.0)]
+
+
+def test_new_days_read_no_stored_month(spark, tmp_path):
+    """Days that no earlier batch brought are known to be new without the stored prices; a day that one brought names its month."""
+    from stratalens.streaming import ingest
+
+    table = str(tmp_path / "table")
+
+    def met(batch_id, *days):
+        rows = spark.createDataFrame([("A", d) for d in days], "ticker string, date string").select("ticker", F.col("date").cast("date").alias("date"))
+        return [str(m) for m in ingest._months_met(rows, batch_id, table)]
+
+    assert met(0, "2020-06-01", "2020-06-02") == []
+    assert met(1, "2020-06-03", "2020-07-01") == []  # new days in a stored month
+    assert met(1, "2020-06-03", "2020-07-01") == []  # the same batch once more
+    assert met(2, "2020-06-02", "2020-08-01") == ["2020-06-30"]
+
+
+def test_a_late_statement_rewrites_its_own_months(spark, tmp_path):
+    """A statement counts until the next one of its ticker; only these months are written, and the panel is that of a whole merge."""
+    from stratalens.plans.panel import merge_point_in_time
+    from stratalens.streaming import ingest
+
+    months = [f"2020-{m:02d}-28" for m in range(1, 13)]
+    bars = spark.createDataFrame([(t, m) for t in ("A", "B") for m in months], "TICKER string, public_date string").withColumn("public_date", F.col("public_date").cast("date"))
+    deliveries = [[("A", "2020-01-10", 1.0), ("A", "2020-08-10", 3.0), ("B", "2020-01-10", 5.0)], [("A", "2020-04-10", 2.0)], [(None, "2020-05-10", 9.0), ("B", None, 9.0)], [("B", "2020-10-10", 6.0)]]
+    landing, statements, panel, checkpoint = (str(tmp_path / n) for n in ("landing", "statements", "panel", "checkpoint"))
+    fields = "ticker string, publish_date string, value double"
+    seen, files = [], lambda: {p.parent.name: p.name for p in (tmp_path / "panel").glob("public_date=*/*.parquet")}
+    touched = []
+    for rows in deliveries:
+        seen += rows
+        df = spark.createDataFrame(rows, fields).withColumns({"publish_date": F.col("publish_date").cast("date"), "fiscal_year": F.lit(2020), "fiscal_period": F.lit("Q1")})
+        df.write.mode("append").parquet(landing)
+        before = files()
+        ingest.maintain_point_in_time(spark.readStream.schema(df.schema).parquet(landing), statements, bars, panel, checkpoint).awaitTermination()
+        touched.append(sorted(k[-10:] for k, v in files().items() if before.get(k) != v))
+        known = spark.createDataFrame(seen, fields).withColumns({"publish_date": F.col("publish_date").cast("date"), "fiscal_year": F.lit(2020), "fiscal_period": F.lit("Q1")})
+        want = {(r.TICKER, r.public_date, r.value) for r in merge_point_in_time(bars, known, 1).collect()}
+        assert {(r.TICKER, r.public_date, r.value) for r in spark.read.parquet(panel).collect()} == want
+    assert touched == [months, months[4:8], [], months[10:]]
+
+
+def test_stream_positions_in_any_order_of_arrival(spark, tmp_path):
+    """Shuffled deliveries within the delay give the positions of the whole table in time order."""
+    import random
+
+    from stratalens.plans import ledger
+    from stratalens.streaming import ingest
+
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.choice("xy"), f"2020-01-{i // 4 + 1:02d} {i % 4 + 10}:00:00", f"{i:03d}", rng.choice(["BUY", "BUY", "SELL"]), float(rng.randint(1, 9)), float(rng.randint(5, 20)), 0.0) for i in range(80)]
+    schema = "account string, symbol string, ts string, trade_id string, side string, quantity double, price double, fee double"
+    table = lambda part: spark.createDataFrame(part, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    landing, out, checkpoint = (str(tmp_path / n) for n in ("landing", "out", "checkpoint"))
+    parts = [rows[:40], rows[40:]]
+    late = [r for r in parts[0] if r[2] >= "2020-01-08" and rng.random() < 0.5]  # these arrive with the next delivery
+    parts = [[r for r in parts[0] if r not in late], parts[1] + late, [("end", "x", "2021-01-01 00:00:00", "999", "BUY", 1.0, 1.0, 0.0)]]
+    assert late
+    for part in parts:
+        rng.shuffle(part)
+        df = table(part)
+        df.coalesce(1).write.mode("append").parquet(landing)
+        stream = ingest.running_positions(spark.readStream.schema(df.schema).parquet(landing), "7 days")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    got = {r.trade_id: (r.shares, round(r.total_cost, 6)) for r in spark.read.parquet(out).collect()}
+    assert got == {r.trade_id: (r.shares, round(r.total_cost, 6)) for r in ledger.running_positions(table(rows)).collect()}
