@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from oracle import compare, duck
 
@@ -239,6 +240,53 @@ def test_verdicts_at_the_end_of_a_long_chain(spark):
     assert {r.page_id: r.verdict for r in linkgraph.judge(df).collect()} == {i: "block" for i in range(1, 17)} | {17: "allow"}
 
 
+def test_verdicts_against_a_solved_walk(spark):
+    """Linked hosts, both walks as linear equations with the mass of hosts without links returned to the seeds."""
+    rng = random.Random(3)
+    hosts = [f"h{i}.net" for i in range(30)] + [f"t{i}.org" for i in range(4)] + [f"d{i}.com" for i in range(4)]
+    pages = []
+    for host in hosts:
+        for _ in range(rng.randint(1, 5) * (9 if host == "t0.org" else 1)):
+            links = rng.sample(hosts, rng.choice([0, 0, 1, 2, 3]))
+            pages.append((len(pages), f"http://{host}/{'de/' if host.endswith('.com') else ''}x", "".join(f'<a href="https://{x}/a">t</a>' for x in links)))
+    got = {r.page_id: (r.rule, r.verdict) for r in linkgraph.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    index, n = {h: i for i, h in enumerate(hosts)}, len(hosts)
+    count, seeds = np.zeros((n, n)), np.zeros((2, n))
+    for page, url, html in pages:
+        host = linkgraph_host(url)
+        for x in set(re.findall("https://([^/]+)", html)) - {host}:
+            count[index[host], index[x]] += 1
+        if host.endswith(".org"):
+            seeds[0, index[host]] += 1
+        if host.endswith(".com"):
+            seeds[1, index[host]] += 1
+
+    def walk(links, seed):
+        seed, out = seed / seed.sum(), links.sum(1, keepdims=True)
+        step = np.where(out > 0, links / np.maximum(out, 1), seed)
+        return np.linalg.solve(np.eye(n) - 0.85 * step.T, 0.15 * seed)
+
+    trust, distrust = walk(count, seeds[0]), walk(count.T, seeds[1])
+    assert len(set(got.values())) > 3
+    for page, url, _ in pages:
+        i = index[linkgraph_host(url)]
+        if got[page][0] is None:
+            assert got[page][1] == ("block" if distrust[i] > trust[i] else "allow")
+
+
+def linkgraph_host(url):
+    return url.split("/")[2]
+
+
+def test_verdicts_do_not_depend_on_the_number_of_seed_pages(spark):
+    """A host between a trusted and a blocked one: a hundred pages on either side weigh as one does."""
+    verdicts = set()
+    for trusted, blocked in ((1, 1), (100, 1), (1, 10)):
+        rows = [(i, "http://good.org/x", '<a href="http://m.net/">m</a>') for i in range(trusted)] + [(200 + i, "http://bad.com/de/1", "") for i in range(blocked)] + [(500, "http://m.net/q", '<a href="http://bad.com/">b</a>')]
+        verdicts.add({r.page_id: r.verdict for r in linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}[500])
+    assert len(verdicts) == 1
+
+
 def test_quality_scores(spark, odd, empty):
     folder = SF.replace("0.001", "0.01")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
