@@ -37,7 +37,11 @@ def test_licences(spark, documents, odd, empty):
     ("(MIT or GPL-2.0) and Apache-2.0", ["MIT", "GPL-2.0", "OR", "Apache-2.0", "AND"], 1.0, {"mit", "gpl", "apache"}),
     ("GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only", "Classpath-exception-2.0", "WITH"], 0.5, {"gpl"}),
     ("MIT AND CC-BY-NC-4.0 */ more words", ["MIT", "CC-BY-NC-4.0", "AND"], 0.1, {"mit", "cc-by-nc"}),
-    ("MIT AND", ["MIT"], 1.0, {"mit"}), ("((MIT)", ["MIT"], 1.0, {"mit"}), (") MIT", [], None, set()), ("", [], None, set()), ("Unknown-1.0", ["Unknown-1.0"], None, set())])
+    ("MIT AND", ["MIT"], 1.0, {"mit"}), ("((MIT)", ["MIT"], 1.0, {"mit"}), (") MIT", [], None, set()), ("", [], None, set()), ("Unknown-1.0", ["Unknown-1.0"], None, set()),
+    ("MIT OR (", ["MIT"], 1.0, {"mit"}), ("MIT AND (Apache-2.0 OR", ["MIT", "Apache-2.0", "AND"], 1.0, {"mit", "apache"}),
+    ("MITRE-1.0", ["MITRE-1.0"], None, set()), ("ISCL", ["ISCL"], None, set()), ("MIT AND LicenseRef-Secret", ["MIT", "LicenseRef-Secret", "AND"], None, {"mit"}),
+    ("gpl-3.0-OR-LATER or LicenseRef-Secret", ["gpl-3.0-OR-LATER", "LicenseRef-Secret", "OR"], 0.3, {"gpl"}), ("GPL-2.0+ WITH My-exception", ["GPL-2.0+", "My-exception", "WITH"], 0.3, {"gpl"}),
+    ("LGPL-2.1-only AND BSD-3-Clause", ["LGPL-2.1-only", "BSD-3-Clause", "AND"], 0.6, {"lgpl", "bsd"})])
 def test_expressions(text, postfix, value, labels):
     assert licences.to_postfix(text) == postfix
     assert licences.evaluate(licences.to_postfix(text)) == (value, labels)
@@ -48,6 +52,13 @@ def test_tag_with_expression():
     assert row[4:] == ("mit", "gpl,mit,proprietary", 0.0)
 
 
+@pytest.mark.parametrize(("text", "labels", "score"), [
+    ("é SPDX License Identifier: MIT", "mit", 1.0), ("/* spdx-license-identifier : GPL-2.0 */", "gpl", 0.3), ("SPDX-License-Identifier:\nMIT", "", 0.0),
+    ("SPDX-License-Identifier: MIT\nx\nSPDX-License-Identifier: ISC AND LicenseRef-a", "isc,mit", 1.0), ("SPDX-License-Identifier: ISC AND LicenseRef-a", "isc", 0.0), ("SPDX-License-Identifier", "", 0.0), ("no SPDX license identifiers: MIT", "", 0.0)])
+def test_expression_where_the_tag_stands(text, labels, score):
+    assert licences.Scanner()(text)[5:] == (labels, score)
+
+
 def base_quality(text):
     text = text or ""
     words = WORDS.findall(text)
