@@ -28,7 +28,7 @@ LOOSE = {
 }
 _AROUND = 24  # characters of context on either side
 _CUES = "(?i)(tel|phone|fax|call|mobile|card|visa|credit|ip|host|address|mail|contact)[^A-Za-z]*$"
-FEATURES = ["digits", "groups", "longest", "shortest", "dots", "blanks", "dashes", "brackets", "others", "letters", "size", "luhn", "glued", "cue", "around_digits", "kind_no"]
+FEATURES = ["digits", "groups", "longest", "shortest", "largest", "dots", "blanks", "dashes", "brackets", "others", "letters", "size", "luhn", "glued", "cue", "around_digits", "kind_no"]
 
 
 def _digits(value: Column) -> Column:
@@ -97,6 +97,7 @@ def _featured(rows: DataFrame) -> DataFrame:
     lengths = F.transform(F.filter(F.split(value, "[^0-9]+"), lambda g: g != ""), lambda g: F.length(g))
     count = lambda pattern: F.length(value) - F.length(F.regexp_replace(value, pattern, ""))
     rows = rows.withColumns({"digits": F.length(digits), "groups": F.size(lengths), "longest": F.coalesce(F.array_max(lengths), F.lit(0)), "shortest": F.coalesce(F.array_min(lengths), F.lit(0)),
+                             "largest": F.coalesce(F.array_max(F.transform(F.filter(F.split(value, "[^0-9]+"), lambda g: g != ""), lambda g: F.left(g, F.lit(9)).cast("double"))), F.lit(0.0)),
                              "dots": count("[.]"), "blanks": count(" "), "dashes": count("-"), "brackets": count("[()\\[\\]{}]"), "others": count("[,:/_@]"), "letters": count("[A-Za-z]"),
                              "size": F.length(value), "luhn": _luhn(digits).cast("int"),
                              "glued": (F.col("before").rlike("[A-Za-z0-9_=\"']$") | F.col("after").rlike("^[A-Za-z0-9_=\"']")).cast("int"),
@@ -116,33 +117,52 @@ def _related(rows: DataFrame) -> DataFrame:
     return rows.withColumn("overlaps", F.coalesce(end_before > F.col("start"), F.lit(False)) | F.coalesce(next_start < F.col("end"), F.lit(False)))
 
 
-def _judged(loose: DataFrame, sample_rows: int, trees: int, depth: int, precision: float) -> DataFrame | None:
-    """Free candidates that the boosted trees accept, as (row, kind, start, end, score); None if there is nothing to learn from.
+def _examples(base: DataFrame) -> DataFrame:
+    """Base spans as the loose generators would meet them, as they are and in a form that the base patterns do not match.
 
-    Positive examples are candidates over base spans; negative ones are numbers of under 7 or over 19 digits, those glued
-    to letters and card numbers with a wrong check digit; other candidates are not learnt from. The trees see at most ``sample_rows`` examples, those with
-    the smallest hashes, of four fifths of the texts; on the others each kind gets the lowest threshold at which
-    ``precision`` of the accepted examples are positive.
+    An address is disguised by words for @ and the last dot, a card number by dots between its groups of four, a phone
+    number by leaving out the country code; context stays. An ip address has the one form only.
     """
-    unlike = (F.col("digits") < 7) | (F.col("digits") > 19) | (F.col("glued") == 1) | ((F.col("kind") == "card") & (F.col("luhn") == 0))
-    negative = ~F.col("overlaps") & unlike & (F.col("kind") != "email")
-    loose = loose.withColumn("label", F.when(F.col("overlaps"), 1.0).when(negative, 0.0))
+    kind, value = F.col("generator"), F.col("value")
+    national = r"^\+[0-9]{1,3}[^0-9(]*"
+    plain = F.when(kind == "phone", F.substring(value, 2, 1_000_000)).otherwise(value)
+    bracket = F.when(F.regexp_replace(value, national, "").startswith("("), "(").otherwise("")
+    hidden = (F.when(kind == "email", F.regexp_replace(F.regexp_replace(value, r"\.([A-Za-z0-9-]+)$", " [dot] $1"), "@", " [at] "))
+              .when(kind == "card", F.regexp_replace(_digits(value), "(.{4})(?=.)", "$1."))
+              .when(kind == "phone", F.regexp_replace(F.regexp_replace(value, national, ""), "^[(]", "")))
+    shown = F.struct(plain.alias("value"), F.when(kind == "phone", F.concat("before", F.lit("+"))).otherwise(F.col("before")).alias("before"))
+    other = F.struct(hidden.alias("value"), F.when(kind == "phone", F.concat("before", bracket)).otherwise(F.col("before")).alias("before"))
+    forms = base.select("row", "start", "end", "after", kind.alias("base_kind"), F.explode(F.array(shown, other)).alias("form")).where(F.col("form.value") != "")
+    generator = F.when(F.col("base_kind") == "email", "address").otherwise("number").alias("generator")
+    return forms.select("row", generator, F.col("form.value").alias("value"), F.right("form.before", F.lit(_AROUND)).alias("before"), "after", "start", "end")
+
+
+def _judged(loose: DataFrame, base: DataFrame, sample_rows: int, trees: int, depth: int, purity: float) -> DataFrame | None:
+    """Loose candidates that the boosted trees accept, as (row, kind, start, end, score); None if there is nothing to learn from.
+
+    Positive examples are base spans, plain and disguised. The others are all loose candidates that overlap no base span:
+    unlabelled, nearly all of them no personal data, and every one of them may be accepted. No feature decides a label. The trees
+    see at most ``sample_rows`` different examples, those with the smallest hashes, of four fifths of them; on the rest
+    each kind gets the lowest threshold, a half at least, above which base spans are at least ``purity`` of the different
+    examples in every twentieth of the score, so that the many plain ones do not cover for a doubtful group.
+    """
+    loose = _featured(_examples(base)).withColumn("label", F.lit(1.0)).unionByName(_featured(loose.drop("base", "overlaps")).withColumn("label", F.lit(0.0)))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(loose)
     mark = F.xxhash64("value", "before", "after")
-    sample = vectors.where(F.col("label").isNotNull() & (F.pmod(mark, F.lit(5)) > 0)).orderBy(mark, "row", "start").limit(sample_rows).select("features", "label")
+    vectors = vectors.withColumn("mark", mark)
+    sample = vectors.where(F.pmod("mark", F.lit(5)) > 0).dropDuplicates(["mark", "label"]).orderBy("mark", "label").limit(sample_rows).select("features", "label")
     sample = materialize(sample).coalesce(1)
     seen = {r.label: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if min(seen.get(0.0, 0), seen.get(1.0, 0)) < 10:
         return None
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, seed=1).fit(sample)
-    scored = model.transform(vectors).withColumn("score", vector_to_array("probability")[1]).select("row", "kind", "start", "end", "score", "label", "overlaps", mark.alias("mark"))
+    scored = model.transform(vectors).withColumn("score", vector_to_array("probability")[1]).select("row", "kind", "start", "end", "score", "label", "mark")
     scored = materialize(scored)
-    held = scored.where(F.col("label").isNotNull() & (F.pmod("mark", F.lit(5)) == 0))
-    bins = held.groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.sum("label").alias("hits"), F.count("*").alias("n"))
-    above = Window.partitionBy("kind").orderBy(F.desc("bin"))  # at most 101 rows a kind
-    bins = bins.withColumn("share", F.sum("hits").over(above) / F.sum("n").over(above)).withColumn("negatives", F.sum(F.col("n") - F.col("hits")).over(Window.partitionBy("kind")))
-    limits = bins.where((F.col("share") >= precision) & (F.col("bin") >= 50)).groupBy("kind").agg((F.min("bin") / 100).alias("limit"))
-    return scored.where(F.col("label").isNull() & ~F.col("overlaps")).join(limits, "kind").where(F.col("score") >= F.col("limit")).select("row", "kind", "start", "end", "score")
+    held = scored.where(F.pmod("mark", F.lit(5)) == 0).dropDuplicates(["mark", "label"])
+    bins = held.groupBy("kind", F.floor(F.col("score") * 20).alias("bin")).agg(F.sum("label").alias("hits"), F.count("*").alias("n"))  # at most 21 rows a kind
+    mixed = F.max(F.when(F.col("hits") < F.col("n") * purity, F.col("bin") + 1))
+    limits = bins.groupBy("kind").agg(mixed.alias("mixed"), F.sum("hits").alias("hits")).where("hits > 0").select("kind", (F.greatest(F.coalesce("mixed", F.lit(0)), F.lit(10)) / 20).alias("limit"))
+    return scored.where("label = 0").join(limits, "kind").where(F.col("score") >= F.col("limit")).select("row", "kind", "start", "end", "score")
 
 
 def _best(accepted: DataFrame) -> DataFrame:
@@ -154,13 +174,13 @@ def _best(accepted: DataFrame) -> DataFrame:
     return runs.groupBy("row", "run").agg(F.max_by(F.struct("kind", "start", "end"), F.struct("score", F.col("end") - F.col("start"), F.col("start"))).alias("b")).select("row", "b.*")
 
 
-def spans(df: DataFrame, sample_rows: int = 20_000, trees: int = 12, depth: int = 4, precision: float = 0.995) -> DataFrame:
+def spans(df: DataFrame, sample_rows: int = 20_000, trees: int = 12, depth: int = 4, purity: float = 0.7) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, text_key, and the base and added spans as arrays of (start, order, kind, end).
 
     Base spans are leftmost, non-overlapping matches of their kind that pass its test, and always stay. Loose generators
     propose further, overlapping spans; boosted trees score those that overlap no base span by form and context, each
     kind's threshold is set on held-out examples, and of overlapping ones the best stays. Without enough examples, or
-    for a kind whose precision is not reached, none is added.
+    for a kind whose ``purity`` is not reached, none is added.
 
     Texts are searched once, their matches stored; only matches are moved, and a text's own matches are all that is ever
     gathered. Places are code points, the end exclusive. A null or empty text has no spans; repeated rows are searched
@@ -171,7 +191,7 @@ def spans(df: DataFrame, sample_rows: int = 20_000, trees: int = 12, depth: int
     stage = materialize(candidates(given))
     rows = materialize(_related(_placed(stage)))
     base = rows.where("base").select("row", F.col("generator").alias("kind"), "start", "end", F.lit(True).alias("base"))
-    accepted = _judged(_featured(rows.where("not base")), sample_rows, trees, depth, precision)
+    accepted = _judged(rows.where("not base and not overlaps"), rows.where("base"), sample_rows, trees, depth, purity)
     every = base if accepted is None else base.unionByName(_best(accepted).withColumn("base", F.lit(False)))
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int").alias("order")
     one = F.struct(F.col("start").cast("int").alias("start"), order, "kind", F.col("end").cast("int").alias("end"))

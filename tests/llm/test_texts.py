@@ -127,6 +127,40 @@ def test_personal_data_in_odd_texts(spark, empty):
     assert {r.doc_id: r.text for r in pii.redacted(text).collect()} == {1: "é [EMAIL] or [PHONE] x", 2: "plain", 3: None}
 
 
+def test_trees_accept_and_refuse(spark):
+    """Disguised addresses and national numbers are added; dates, prices, wrong check digits and order numbers without a right one are not."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    phone = lambda: f"({rng.randint(200, 999)}) 555-{digits(4)}"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+
+    def card(ok):
+        start = digits(15)
+        total = sum(x - 9 if x > 9 else x for x in (int(c) * (2 - i % 2) for i, c in enumerate(start)))
+        return start + str((-total + (0 if ok else 3)) % 10)
+
+    texts, wanted, unwanted = [], {}, {}
+    for i in range(1500):
+        kind = i % 10
+        value, hidden = {0: (f"+1 {phone()}", None), 1: (f"{word()}{rng.choice(['', '.' + word()])}@{word()}.{rng.choice(['com', 'org', 'a.de'])}", None), 2: (f"{digits(2)}.{digits(2)}.1{digits(2)}.{digits(1)}", None), 3: (card(True), None),
+                         4: (digits(rng.choice([1, 2, 3, 4, 6, 8])), False), 5: (f"{digits(8)}-{digits(6)}", False), 6: (f"20{digits(2)}-0{digits(1)}-1{digits(1)}", False),
+                         7: (f"{digits(2)},{digits(2)}", False), 8: (card(False), False), 9: (f"{digits(4)}.{digits(3)}.{digits(4)}.{digits(3)}", False)}[kind]
+        if i % 150 == 0:
+            hidden, value = True, phone()
+        if i % 150 == 1:
+            hidden, value = True, f"{word()} [at] {word()} [dot] org"
+        texts.append((i, f"{word()} {rng.choice(['call', 'mail', 'no', word()])} {value} {word()} {word()}"))
+        if hidden is not None:
+            (wanted if hidden else unwanted)[i] = value
+    rows = {r.doc_id: r for r in pii.digest(pii.spans(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    assert all(rows[i].n_email + rows[i].n_ip + rows[i].n_card + rows[i].n_phone == 0 for i in wanted)
+    assert sum(bool(rows[i].spans) for i in wanted) >= 0.9 * len(wanted)
+    assert {rows[i].spans.split(":")[0] for i in wanted if rows[i].spans} == {"email", "phone"}
+    # Of the others only numbers that pass the card check by chance may be taken for cards.
+    accepted = [re.sub("[^0-9]", "", v) for i, v in unwanted.items() if rows[i].spans]
+    assert all(_passes("card", v) for v in accepted) and len(accepted) < 0.02 * len(unwanted)
+
+
 def test_leaks(spark, documents, odd, empty):
     got = {(r.doc_id, r.item_id) for r in entry.queries()["op2_benchmark_leaks"](spark, SF).collect()}
     plain = lambda t: f" {' '.join(re.findall('[a-z0-9]+', t.lower()))} "
