@@ -23,6 +23,7 @@ from stratalens.session import materialize
 
 # Up to a blank after a character that is no white space. Every segment of a text with a blank before it begins with one.
 _SEGMENT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
+_PLAIN = re.compile(" [!-~]+")
 _GROUP_CHARS = 2_000_000
 _HELD_BYTES = 64 << 20
 _BLOCK_BYTES, _BLOCK_ROWS = 8 << 20, 50_000
@@ -32,6 +33,7 @@ _ROWS = 1 << 16  # of a matrix whose products are formed at a time
 _BLOCK = pa.schema([("block", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
                     ("hashes", pa.list_(pa.string())), ("held", pa.list_(pa.int64())), ("pairs", pa.binary()), ("times", pa.binary())])
 _FIELDS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
+_N_LINKS = _FIELDS.index("n_links")
 _OUT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in (*_FIELDS, "n_best", "count_sum")), ("groups_sha256", pa.string())])
 
 
@@ -96,10 +98,18 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The group of every token of both divisions, and the number of groups: they end where tokens of both end."""
     a_ends, b_ends = np.cumsum(a), np.cumsum(b)
-    cuts = np.intersect1d(a_ends, b_ends)
+    cuts = a_ends[_found(b_ends, a_ends)]
+    cuts = cuts[np.diff(cuts, prepend=0) > 0]
     return np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends), len(cuts)
 
 
+def _found(ascending: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are among the ascending ones."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
 def shared_groups(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, 1) of the tokens that are in one group, some rows at a time, from the products of the group incidences."""
     a_of, b_of, n = groups(a, b)
@@ -139,6 +149,7 @@ class Aligner:
         self._a_lengths, self._b_lengths = (np.array([len(x) for x in entries], np.int64) for entries in (self._a_bytes, self._b_bytes))
         # By 2 * id and 2 * (number of A's ids + id), the id as text before another one of its group, and as the last one.
         self._signs = [sign for last, entries in ((b"|", self._a_bytes), (b";", self._b_bytes)) for k in range(len(entries)) for sign in (b"%d," % k, b"%d%s" % (k, last))]
+        self._sign_lengths = np.array([len(x) for x in self._signs], np.int64)
         with open(a_path, encoding="utf-8") as file:
             before = json.load(file).get("pre_tokenizer") or {}
         self._divides = before.get("type") == "ByteLevel" and before.get("use_regex", True) and all("▁" not in p.lstrip("▁") for p in pieces)
@@ -146,12 +157,33 @@ class Aligner:
         self._clear()
 
     def _clear(self) -> None:
-        self._held = 0
         self._numbers: dict[str, int] = {}
-        self._stats = [np.zeros((0, len(_FIELDS)), np.int64)]
         self._shown: list[bytes] = []
-        self._pairs: list[bytes] = []
-        self._odd: set[int] = set()
+        self._stats = np.zeros((0, len(_FIELDS)), np.int64)
+        self._links = np.zeros(0, np.uint64)
+        self._odd = np.zeros(0, bool)
+        self._sizes = np.zeros(0, np.int64)
+        self._uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the segments most used since the last time, those used once not, up to half of the memory."""
+        kept = np.argsort(-self._uses, kind="stable")[: self._limit // 2]
+        kept = kept[(self._uses[kept] > 1) & (np.cumsum(self._sizes[kept]) <= _HELD_BYTES // 2)]
+        names, shown = list(self._numbers), self._shown
+        links = self._linked(kept, self._link_starts())
+        stats, odd, sizes = self._stats[kept], self._odd[kept], self._sizes[kept]
+        self._clear()
+        self._numbers = {names[k]: number for number, k in enumerate(kept.tolist())}
+        self._shown = [shown[k] for k in kept.tolist()]
+        self._stats, self._links, self._odd, self._sizes, self._uses = stats, links, odd, sizes, np.zeros(len(kept), np.int64)
+
+    def _link_starts(self) -> np.ndarray:
+        return np.cumsum(self._stats[:, _N_LINKS]) - self._stats[:, _N_LINKS]
+
+    def _linked(self, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The links of the segments numbered ``at``, in a row."""
+        sizes = self._stats[at, _N_LINKS]
+        return self._links[np.repeat(starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, str, np.ndarray]]:
         """Per text its counts (n_a, n_b, n_groups, n_links, n_shared), the hash of its groups, and its links as a << 32 | b."""
@@ -166,30 +198,65 @@ class Aligner:
         yield from self._align(some)
 
     def _align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, np.ndarray]]:
-        if len(self._numbers) > self._limit or self._held > _HELD_BYTES:
-            self._clear()
+        if len(self._shown) > self._limit or int(self._sizes.sum()) > _HELD_BYTES:
+            self._forget()
         pieces = [(_SEGMENT.findall(" " + t) if self._divides else [" " + t]) if t else [] for t in texts]
-        new = list({p for one in pieces for p in one}.difference(self._numbers))
-        for at in range(0, len(new), 5_000):
-            self._add(new[at : at + 5_000])
-        self._stats = [np.concatenate(self._stats)]
-        stats = self._stats[0]
-        for one in pieces:
-            at = [*map(self._numbers.__getitem__, one)]
-            if not at or not self._odd.isdisjoint(at):
+        self._add(list(set().union(*pieces).difference(self._numbers)))
+        counts = [len(one) for one in pieces]
+        numbers = np.fromiter(map(self._numbers.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
+        del pieces
+        self._uses += np.bincount(numbers, minlength=len(self._shown))
+        starts = self._link_starts()
+        end = 0
+        for count in counts:
+            at = numbers[end : end + count]
+            end += count
+            if not count or self._odd[at].any():
                 yield np.zeros(len(_FIELDS), np.int64), "", np.zeros(0, np.uint64)
                 continue
-            shown = hashlib.sha256(b";".join(map(self._shown.__getitem__, at))).hexdigest()
-            yield stats[at].sum(0), shown, np.frombuffer(b"".join(map(self._pairs.__getitem__, at)), np.uint64)
+            shown = hashlib.sha256(b";".join(map(self._shown.__getitem__, at.tolist()))).hexdigest()
+            yield self._stats[at].sum(0), shown, self._linked(at, starts)
 
     def _add(self, segments: list[str]) -> None:
-        """The segments as one block-diagonal matrix of tokens by bytes for each tokenizer, and their products."""
+        """Remembers new segments. Several that end without a blank are encoded as one text; the others, and those of a text that fails, each."""
+        plain, marked, open_ended = [], [], []
+        for s in segments:
+            (open_ended if not self._divides or s[-1].isspace() else plain if _PLAIN.fullmatch(s) else marked).append(s)
+        given = ((plain, 5_000, True), (marked, 1_000, True), (open_ended, 5_000, False))
+        parts = [self._products(group[at : at + size], as_one) for group, size, as_one in given for at in range(0, len(group), size)]
+        if not parts:
+            return
+        number = len(self._shown)
+        self._numbers.update(zip(chain(plain, marked, open_ended), range(number, number + len(segments)), strict=True))
+        stats, odd, links, sizes, shown = zip(*parts, strict=True)
+        self._shown.extend(chain.from_iterable(shown))
+        self._stats, self._odd, self._links, self._sizes = (np.concatenate([old, *new]) for old, new in ((self._stats, stats), (self._odd, odd), (self._links, links), (self._sizes, sizes)))
+        self._uses = np.concatenate([self._uses, np.zeros(len(segments), np.int64)])
+
+    def _ids(self, segments: list[str], as_one: bool) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """The ids of both tokenizers, how many of them every segment has, and whether its tokens give its bytes; one that fails has none."""
+        given = [s.encode() for s in segments]
+        if as_one:
+            text = "".join(segments)
+            a, b = self._a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self._b.encode(text[1:], num_threads=1)
+            ends = np.cumsum([len(x) for x in given])
+            ids = [np.array(x, np.int64) for x in (a, b)]
+            tokens = [np.cumsum(lengths[x]) for lengths, x in zip((self._a_lengths, self._b_lengths), ids, strict=True)]
+            if _joined(self._a_bytes, a) == _joined(self._b_bytes, b) == b"".join(given) and all(_found(x, ends).all() for x in tokens):
+                return ids, [np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in tokens], np.ones(len(segments), bool)
         a = [x.ids for x in self._a.encode_batch_fast(segments, add_special_tokens=False)]
         b = self._b.encode([s[1:] for s in segments], num_threads=1)
         b = [ids if s != " " else [self._b.piece_to_id("▁")] for s, ids in zip(segments, b, strict=True)]  # the model adds no blank to nothing
-        given = [s.encode() for s in segments]
-        good = [k for k, (x, y, s) in enumerate(zip(a, b, given, strict=True)) if _joined(self._a_bytes, x) == _joined(self._b_bytes, y) == s]
-        a_ids, b_ids = (np.fromiter(chain.from_iterable(x[k] for k in good), np.int64) for x in (a, b))
+        good = np.array([_joined(self._a_bytes, x) == _joined(self._b_bytes, y) == s for x, y, s in zip(a, b, given, strict=True)])
+        a, b = ([ids if ok else [] for ids, ok in zip(x, good, strict=True)] for x in (a, b))
+        return [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)], [np.array([len(ids) for ids in x], np.int64) for x in (a, b)], good
+
+    def _products(self, segments: list[str], as_one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Counts, failures, links, sizes and shown groups of the segments.
+
+        They are one block-diagonal matrix of tokens by bytes for each tokenizer, whose products have the links.
+        """
+        (a_ids, b_ids), (a_counts, b_counts), good = self._ids(segments, as_one)
         a_lengths, b_lengths = self._a_lengths[a_ids], self._b_lengths[b_ids]
         i, j, _ = overlaps(a_lengths, b_lengths)
         links = (a_ids[i].astype(np.uint64) << np.uint64(32)) | b_ids[j].astype(np.uint64)
@@ -199,26 +266,18 @@ class Aligner:
         places = np.concatenate([2 * a_of, 2 * b_of + 1])
         order = np.argsort(places, kind="stable")
         places = places[order]
-        last = np.diff(places, append=-1) != 0
-        shown = [*map(self._signs.__getitem__, (2 * np.concatenate([a_ids, b_ids + len(self._a_lengths)])[order] + last).tolist())]
-        # Where every segment ends among the tokens, links and groups.
-        a_ends, b_ends = (np.cumsum([len(x[k]) for k in good], dtype=np.int64) for x in (a, b))
+        signs = 2 * np.concatenate([a_ids, b_ids + len(self._a_lengths)])[order] + (np.diff(places, append=-1) != 0)
+        text = b"".join(map(self._signs.__getitem__, signs.tolist()))
+        # Where every segment ends among the tokens, groups, links and signs.
+        a_ends, b_ends = np.cumsum(a_counts), np.cumsum(b_counts)
+        group_ends = np.concatenate([[0], a_of + 1])[a_ends]
         link_ends = np.searchsorted(i, a_ends)
-        group_ends = a_of[a_ends - 1] + 1 if good else a_ends
-        ends = np.stack([a_ends, b_ends, group_ends, link_ends, shared[group_ends]], 1).reshape(-1, len(_FIELDS))
-        stats = np.zeros((len(segments), len(_FIELDS)), np.int64)
-        stats[good] = np.diff(ends, axis=0, prepend=np.zeros((1, len(_FIELDS)), np.int64))
-        number = len(self._shown)
-        self._stats.append(stats)
-        self._numbers.update(zip(segments, range(number, number + len(segments)), strict=True))
-        self._odd.update(number + k for k in set(range(len(segments))).difference(good))
-        shown_ends, link_bytes, links_at = (a_ends + b_ends).tolist(), links.tobytes(), (8 * link_ends).tolist()
-        some = dict(zip(good, zip([0, *shown_ends], shown_ends, [0, *links_at], links_at), strict=False))
-        for k, segment in enumerate(given):
-            low, high, first, end = some.get(k, (0, 0, 0, 0))
-            self._shown.append(b"".join(shown[low:high])[:-1])
-            self._pairs.append(link_bytes[first:end])
-            self._held += len(self._shown[-1]) + end - first + len(segment)
+        text_ends = np.concatenate([[0], np.cumsum(self._sign_lengths[signs])])[a_ends + b_ends]
+        stats = np.diff(np.stack([a_ends, b_ends, group_ends, link_ends, shared[group_ends]], 1), axis=0, prepend=np.zeros((1, len(_FIELDS)), np.int64))
+        starts = np.concatenate([[0], text_ends[:-1]])
+        shown = [text[low : max(low, high - 1)] for low, high in zip(starts.tolist(), text_ends.tolist(), strict=True)]
+        sizes = text_ends - starts + 8 * stats[:, _N_LINKS] + np.array([len(s) for s in segments], np.int64)
+        return stats, ~good, links, sizes, shown
 
 
 def _joined(entries: list[bytes], ids: list[int]) -> bytes:

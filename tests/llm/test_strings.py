@@ -230,3 +230,17 @@ def test_products(a, b):
     a_of, b_of, _ = alignment.groups(a, b)
     shared = {(int(x), int(y)) for rows_, columns, _ in alignment.shared_groups(a, b) for x, y in zip(rows_, columns, strict=True)}
     assert shared == {(x, y) for x in range(len(a)) for y in range(len(b)) if a_of[x] == b_of[y]}
+
+
+def test_remembered_segments_change_nothing(monkeypatch):
+    """Texts come out the same whole, by segments encoded as one text, and with a memory that forgets nearly all."""
+    monkeypatch.setattr(alignment, "_GROUP_CHARS", 300)
+    texts = [f"The run {i % 7} of word{i} ended.\nNext über naïve x{i % 3}²" for i in range(60)] + ["two  blanks", "tab\tend ", " ", "\n", "ﬁne ① <s> <|endoftext|>", None, "", "a" * 3000, "No such word"] * 2
+    whole, usual, small = alignment.Aligner(BYTES, PIECES), alignment.Aligner(BYTES, PIECES), alignment.Aligner(BYTES, PIECES, limit=6)
+    whole._divides = False
+    for a in (whole, usual, small):  # a piece that does not give its bytes
+        a._b_bytes[a._b.piece_to_id("▁run")] = b" ran"
+    results = [[(stats.tolist(), shown, sorted(links.tolist())) for stats, shown, links in a(texts)] for a in (whole, usual, small)]
+    assert len(results[0]) == len(texts) and results[0] == results[1] == results[2]
+    assert not any(shown for _, shown, _ in results[0][:60]) and results[0][60][1] and results[0][68][1]
+    assert len(small._shown) < len(usual._shown)
