@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from .. import fixtures as X
 from .. import schemas as S
 from ..fixtures import sig, sig_sql, with_sql
 from ..functions import columns as K
+from ..plans import panel as P
 from ..session import shared_folder
 from ..sources import mapping as M
 from ..sources import readers as R
@@ -144,6 +146,24 @@ def macro_file(spark, sf):
     return rounded(R.read_macro(spark, path), ["public_date"], ["SERIES"])
 
 
+def macro_rates(spark, sf):
+    """A file of daily prices and of one reading a quarter as month ends, with the changes over a month and a year."""
+    path = fresh(spark, "macro-rates")
+    text = lambda known, value: F.when(known, value.cast("string")).otherwise(F.lit("."))
+    month, level = F.month("date"), F.col("level")
+    X.benchmark_daily(spark, sf).select(F.col("date").alias("obs_date"), text(month != 4, level).alias("USACPIALLMINMEI"), text(month % 3 == 2, level * 2).alias("GDP")).write.csv(path, header=True)
+    return rounded(P.macro_features(R.read_macro(spark, path)), ["public_date"], ["USACPIALLMINMEI", "GDP", *C.MACRO_CHANGES])
+
+
+MACRO_RATES = {
+    "readings": """SELECT last_day(date) AS public_date, arg_max(level, date) FILTER (month(date) <> 4) AS c, arg_max(level * 2, date) FILTER (month(date) % 3 = 2) AS g FROM benchmark_daily GROUP BY 1""",
+    "calendar": """SELECT last_day(CAST(unnest(generate_series(low, high, INTERVAL 1 MONTH)) AS DATE)) AS public_date FROM
+  (SELECT date_trunc('month', min(date)) AS low, date_trunc('month', max(date)) AS high FROM benchmark_daily)""",
+    "filled": """SELECT k.public_date, year(k.public_date) * 12 + month(k.public_date) AS n, last_value(c IGNORE NULLS) OVER w AS c, last_value(g IGNORE NULLS) OVER w AS g
+  FROM calendar k LEFT JOIN readings r ON k.public_date = r.public_date WINDOW w AS (ORDER BY k.public_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+}
+
+
 def index_file(spark, sf):
     path = fresh(spark, "index")
     X.benchmark_daily(spark, sf).toDF("Date", "Adj Close").write.parquet(path)
@@ -343,6 +363,9 @@ QUERIES = {
     "s8_vendor_b_macro": (b_macro, with_sql(["macro_long"], f"""SELECT date AS public_date, {sig_sql("max(CASE WHEN indicator = 'F' THEN value END)")} AS F,
   {sig_sql("max(CASE WHEN indicator = 'O' THEN value END)")} AS O, {sig_sql("max(CASE WHEN indicator = 'P' THEN value END)")} AS P FROM macro_long GROUP BY 1""")),
     "s10_macro_file": (macro_file, with_sql(["benchmark_daily"], f"SELECT date AS public_date, {sig_sql('CASE WHEN month(date) <> 4 THEN level END')} AS SERIES FROM benchmark_daily")),
+    "s10_w7_macro_rates": (macro_rates, with_sql(["benchmark_daily", "readings", "calendar", "filled"], f"""SELECT f.public_date, {sig_sql('f.c')} AS "USACPIALLMINMEI", {sig_sql('f.g')} AS "GDP",
+  {sig_sql('f.c / m.c - 1')} AS "1mo_inf_rate", {sig_sql('f.c / y.c - 1')} AS "1yr_inf_rate", {sig_sql('f.g / m.g - 1')} AS "1mo_GDP", {sig_sql('f.g / y.g - 1')} AS "1yr_GDP"
+  FROM filled f LEFT JOIN filled m ON m.n = f.n - 1 LEFT JOIN filled y ON y.n = f.n - 12""", MACRO_RATES)),
     "s11_index_file": (index_file, with_sql(["benchmark_daily"], f"SELECT date, {sig_sql('level')} AS level FROM benchmark_daily WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'")),
     "s12_s13_o5_panel_files": (panel_files, sql(CLEAN_NAMES, f"SELECT k AS kind, {rounded_sql(PANEL, PANEL_X)} FROM clean, (VALUES ('parquet'), ('csv')) v(k)")),
     "s14_report_files": (report_files, run_sql(f"SELECT d.public_date, n_stocks AS n_rows, {sig_sql('portfolio_return')} AS portfolio_return FROM done d")),
