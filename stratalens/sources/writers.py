@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .mapping import statement_columns
 
 
@@ -42,7 +43,8 @@ def write_tax_tables(disposals: DataFrame, dividends: DataFrame, folder: str, fo
 
 
 def write_statements(wide: DataFrame, folder: str, mode: str = "overwrite") -> dict[str, str]:
-    """A wide statements table as itself and as three tables by column name."""
+    """A wide statements table as itself and as three tables by column name; it is worked out once and stored first."""
+    wide = materialize(wide)
     root = folder.rstrip("/")
     wide.write.mode(mode).parquet(f"{root}/fundamentals_all.parquet")
     paths = {"fundamentals_all": f"{root}/fundamentals_all.parquet"}

@@ -221,3 +221,17 @@ def test_ledgers_move_ordinary_keys_once(spark, monkeypatch, key_rows):
     if key_rows > 400:
         for d in (L.disposals(t), L.lot_matches(t), L.running_positions(t)):
             assert d._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_split_statements_are_worked_out_once(spark, tmp_path):
+    from stratalens.sources.writers import write_statements
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    wide = spark.range(5).select(F.col("id").cast("string").alias("code"), F.udf(counted, "long")("id").alias("netIncome"), F.lit(1.0).alias("totalAssets"))
+    paths = write_statements(wide, str(tmp_path / "split"))
+    assert sorted(r.netIncome for r in spark.read.parquet(paths["income"]).collect()) == [0, 1, 2, 3, 4] and seen.value == 5
