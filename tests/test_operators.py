@@ -176,6 +176,20 @@ def test_month_rows_agree_with_and_without_ties(spark):
     assert bars[D(2020, 1, 31)]["1mo_return"] is None and bars[D(2020, 3, 31)].Div_ttm == 4.0
 
 
+def test_month_rows_are_moved_before_they_are_sorted(spark):
+    """Ties need a sort; whole input splits are not sorted, only what one exchange has dealt out by ticker and month."""
+    df = spark.range(4000).selectExpr("concat('T', id % 50) ticker", "'1' id", "date_add(date'2020-01-01', cast(id % 90 as int)) date",
+                                      "cast(id as double) adj_close", "1D dividend", "2D shares", "id tie")
+    got = P.last_rows_of_month(df, ["tie"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan.split("Exchange")[-1]
+    want = {}
+    for r in df.collect():
+        key = (r.ticker, r.date.year, r.date.month)
+        want[key] = max(want.get(key, (r.date, -1)), (r.date, r.tie))
+    assert {(r.TICKER, r.public_date.year, r.public_date.month): (r.last_date, int(r.MthPrc)) for r in got.collect()} == want
+
+
 def test_expressions(spark):
     period = X.fiscal_period(F.col("p"))
     assert [one(spark, period, p=p) for p in ("1", "q2 ", "3Q", "fy")] == ["Q1", "Q2", "Q3", "FY"]
