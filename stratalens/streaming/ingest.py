@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,71 +151,100 @@ def maintain_point_in_time(stream: DataFrame, statements: str, bars: DataFrame,
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_POSITION = "account string, symbol string, ts timestamp, trade_id string, shares double, avg_cost double, total_cost double"
-_WAITING = "ts timestamp, trade_id string, side string, quantity double, price double"
+_POSITION = "account string, symbol string, at long, trade_id string, shares double, avg_cost double, total_cost double"
+_TRADE = pa.schema([("account", pa.string()), ("symbol", pa.string()), ("at", pa.int64()), ("trade_id", pa.string()), ("side", pa.string()), ("quantity", pa.float64()), ("price", pa.float64())])
+_HELD = pa.schema([("account", pa.string()), ("symbol", pa.string()), ("shares", pa.float64()), ("cost", pa.float64())])
+_ENTRY_ROWS = 50_000
+_BUCKETS = 1024
 
 
 class _Replay(StatefulProcessor):
-    """Trades of a key wait until the watermark has passed them, then change (shares, total cost) in time order."""
+    """Trades of a bucket of keys wait until the watermark has passed them, then change their key's (shares, total cost) in time order.
+
+    A call into the state costs as much as hundreds of trades, so the keys of a bucket share their calls: the state has
+    one entry with two numbers a key, and an entry for each ``_ENTRY_ROWS`` waiting trades.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._position = handle.getValueState("position", "shares double, cost double")
-        self._waiting = handle.getListState("waiting", _WAITING)
+        self._positions = handle.getValueState("positions", "held binary")
+        self._waiting = handle.getListState("waiting", "trades binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for part in rows:
-            self._waiting.appendList(list(part[["ts", "trade_id", "side", "quantity", "price"]].itertuples(index=False, name=None)))
-            first = part["ts"].min() if first is None else min(first, part["ts"].min())
-        if first is not None:
-            self._handle.registerTimer(_millis(first))
+        trades = pa.concat_tables([pa.Table.from_pandas(part[_TRADE.names], schema=_TRADE, preserve_index=False) for part in rows] or [_TRADE.empty_table()])
+        if trades.num_rows:
+            self._waiting.appendList(_entries(trades))
+            self._handle.registerTimer(_millis(pc.min(trades["at"]).as_py()))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self._waiting.get(), key=lambda r: (r[0], r[1]))
-        due = [r for r in waiting if _millis(r[0]) <= passed]
-        rest = waiting[len(due):]
-        if not due:
+        waiting = pa.concat_tables([_TRADE.empty_table(), *(_table(entry[0]) for entry in self._waiting.get())])
+        passed = pc.less_equal(waiting["at"], timerValues.getCurrentWatermarkInMs() * 1000)
+        due, rest = waiting.filter(passed), waiting.filter(pc.invert(passed))
+        if not due.num_rows:
             return
-        shares, cost = self._position.get() if self._position.exists() else (0.0, 0.0)
-        out = []
-        for ts, trade_id, side, q, price in due:
+        due = due.sort_by([(c, "ascending") for c in ("account", "symbol", "at", "trade_id")])
+        held = _table(self._positions.get()[0]).to_pydict() if self._positions.exists() else {c: [] for c in _HELD.names}
+        positions = {(a, s): (n, c) for a, s, n, c in zip(*(held[c] for c in _HELD.names), strict=True)}
+        # Through numpy, so that a missing number is no number instead of None.
+        numbers = [due[c].to_numpy().tolist() for c in ("quantity", "price")]
+        after = []
+        for account, symbol, side, q, price in zip(*(due[c].to_pylist() for c in ("account", "symbol", "side")), *numbers, strict=True):
+            shares, cost = positions.get((account, symbol), (0.0, 0.0))
             if side == "BUY":
                 shares, cost = shares + q, cost + q * price
             elif q >= shares:
                 shares, cost = 0.0, 0.0
             else:
                 cost, shares = cost * (shares - q) / shares, shares - q
-            out.append((*key, ts, trade_id, shares, cost / shares if shares > 0 else None, cost))
-        self._position.update((shares, cost))
-        if rest:
-            self._waiting.put(rest)
-            self._handle.registerTimer(_millis(rest[0][0]))
+            positions[account, symbol] = shares, cost
+            after.append((shares, cost / shares if shares > 0 else None, cost))
+        self._positions.update((_bytes(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(*k, *v) for k, v in positions.items()]), _HELD, strict=True)], schema=_HELD)),))
+        if rest.num_rows:
+            self._waiting.put(_entries(rest))
+            self._handle.registerTimer(_millis(pc.min(rest["at"]).as_py()))
         else:
             self._waiting.clear()
-        yield pd.DataFrame(out, columns=["account", "symbol", "ts", "trade_id", "shares", "avg_cost", "total_cost"])
+        out = due.select(["account", "symbol", "at", "trade_id"]).to_pandas()
+        yield out.assign(**dict(zip(("shares", "avg_cost", "total_cost"), map(list, zip(*after)), strict=True)))
 
     def close(self) -> None:
         pass
 
 
-def _millis(ts: datetime) -> int:
-    """Milliseconds since 1970, rounded up, so that a time is never taken for passed before it is."""
-    return -int(-pd.Timestamp(ts).timestamp() * 1000 // 1)
+def _millis(micros: int) -> int:
+    """Milliseconds, rounded up, so that a time is never taken for passed before it is."""
+    return -(-micros // 1000)
+
+
+def _entries(trades: pa.Table) -> list[tuple[bytes]]:
+    return [(_bytes(trades.slice(i, _ENTRY_ROWS)),) for i in range(0, trades.num_rows, _ENTRY_ROWS)]
+
+
+def _bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(data)).read_all()
 
 
-def running_positions(trades: DataFrame, delay: str = "7 days") -> DataFrame:
+def running_positions(trades: DataFrame, delay: str = "7 days", buckets: int = _BUCKETS) -> DataFrame:
     """Position after every trade of a stream, in time order within a key, however trades arrive within ``delay``.
 
-    A trade waits in the state of its (account, symbol) until the watermark, ``delay`` behind the latest trade of all
-    keys, has passed its time; then a timer folds the waiting trades in order of (ts, trade_id). So the state holds two
-    numbers a key and the trades of the last ``delay``. A trade that comes later than that would change rows already
-    written; Spark's watermark leaves it out, as it does one without a time. Needs the RocksDB state store, which
-    this sets for the session.
+    A trade waits in the state of its bucket of (account, symbol) until the watermark, ``delay`` behind the latest trade
+    of all keys, has passed its time; then a timer folds the waiting trades of each key in order of (ts, trade_id). So
+    the state holds two numbers a key and the trades of the last ``delay``. A trade that comes later than that would
+    change rows already written; Spark's watermark leaves it out, as it does one without a time. A checkpoint belongs to
+    its number of ``buckets``. Needs the RocksDB state store, which this sets for the session.
     """
     trades.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    narrow = trades.where(F.col("ts").isNotNull()).select("account", "symbol", F.col("ts").cast("timestamp").alias("ts"), F.col("trade_id").cast("string").alias("trade_id"), "side",
+    ts = F.col("ts").cast("timestamp")
+    narrow = trades.where(F.col("ts").isNotNull()).select("account", "symbol", ts.alias("ts"), F.unix_micros(ts).alias("at"), F.col("trade_id").cast("string").alias("trade_id"), "side",
                                                           F.col("quantity").cast("double").alias("quantity"), F.col("price").cast("double").alias("price"))
-    return narrow.withWatermark("ts", delay).groupBy("account", "symbol").transformWithStateInPandas(_Replay(), _POSITION, "append", "EventTime")
+    bucket = F.pmod(F.xxhash64("account", "symbol"), F.lit(buckets)).cast("int")
+    moved = narrow.withWatermark("ts", delay).withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(_Replay(), _POSITION, "append", "EventTime")
+    return moved.select("account", "symbol", F.timestamp_micros("at").alias("ts"), "trade_id", "shares", "avg_cost", "total_cost")

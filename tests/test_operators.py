@@ -325,3 +325,65 @@ def test_stream_positions_in_any_order_of_arrival(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     got = {r.trade_id: (r.shares, round(r.total_cost, 6)) for r in spark.read.parquet(out).collect()}
     assert got == {r.trade_id: (r.shares, round(r.total_cost, 6)) for r in ledger.running_positions(table(rows)).collect()}
+
+
+def test_keys_of_a_bucket_share_their_state_calls():
+    """Hundreds of keys in one bucket, in two arrivals, cost as many calls into the state as one key, and lose no trade."""
+    import random
+    from collections import Counter
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from stratalens.streaming import ingest
+
+    calls, timers = Counter(), []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls[name] += 1
+                if name == "appendList":
+                    self.rows += given[0]
+                elif name in ("put", "update"):
+                    self.rows = given[0] if name == "put" else [given[0]]
+                elif name == "clear":
+                    self.rows = []
+                return bool(self.rows) if name == "exists" else self.rows
+            return call
+
+    class Value(State):
+        def get(self):
+            calls["get"] += 1
+            return self.rows[0]
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getListState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    rng = random.Random(7)
+    trades = [(f"A{rng.randint(0, 4)}", f"S{rng.randint(0, 99)}", rng.randint(0, 10**6), f"{i:05d}", rng.choice(["BUY", "BUY", "SELL"]), float(rng.randint(1, 9)), float(rng.randint(5, 20))) for i in range(4000)]
+    late = [t for t in trades if t[2] > 400_000 and rng.random() < 0.5]
+    frame = lambda rows: pd.DataFrame(rows, columns=["account", "symbol", "at", "trade_id", "side", "quantity", "price"])
+    replay, got = ingest._Replay(), {}
+    replay.init(Handle())
+    for part, passed in (([t for t in trades if t not in set(late)], 400), (late, 2000)):
+        assert list(replay.handleInputRows((1,), iter([frame(part[:500]), frame(part[500:])]), None)) == []
+        for out in replay.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda at=passed: at), None):
+            got |= {r.trade_id: (r.shares, r.total_cost) for r in out.itertuples()}
+    held, want = {}, {}
+    for account, symbol, _, trade, side, q, price in sorted(trades, key=lambda t: (t[2], t[3])):
+        n, cost = held.get((account, symbol), (0.0, 0.0))
+        n, cost = (n + q, cost + q * price) if side == "BUY" else (0.0, 0.0) if q >= n else (n - q, cost * (n - q) / n)
+        held[account, symbol] = want[trade] = n, cost
+    assert got == want
+    assert sum(calls.values()) + len(timers) < 20
