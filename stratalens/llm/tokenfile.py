@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm.encoding import encoder
-from stratalens.session import shared_folder
+from stratalens.session import materialize, shared_folder
 
 # Selector 1 to 14: ids in a word, bits of each. Selector 15 announces a raw 64-bit word for an id that needs over 60 bits.
 PACKS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
 BLOCK_IDS = 65_536
 STRIDE = 128  # words between two offsets
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 SCHEMA = "shard int, block int, first long, n_ids long, doc_ids array<long>, lengths array<int>, raw array<int>, offsets array<int>, words binary"
 # Index of the first width that holds an id, for the ids of common vocabularies.
@@ -119,15 +120,39 @@ def decode_range(words: np.ndarray, raw: np.ndarray, offsets: np.ndarray, n: int
     return got[start - base : end - base]
 
 
-def _layout(df: DataFrame) -> DataFrame:
-    """(doc_id, text) in shards of ascending doc_id; rows of one doc_id are ordered, and divided, by their text."""
-    rows = df.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
-    return rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+def _encoded(df: DataFrame, tokenizer: str, end: bytes) -> DataFrame:
+    """(doc_id, mark, width, n, ids) of (doc_id, text), stored: ``n`` ids of ``width`` bytes, 2 where all are so small, else 4, compressed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for batch in batches:
+            parts = [_packed(ids + end) for ids in encode(x.as_py() for x in batch.column(2))]
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*parts, strict=True)) or [()] * 3, (pa.int32(), pa.int32(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "width", "n", "ids"])
+
+    rows = df.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").selectExpr("doc_id", "xxhash64(text) mark", "text")
+    return materialize(rows.mapInArrow(run, "doc_id long, mark long, width int, n int, ids binary"))
+
+
+def _packed(ids: bytes) -> tuple[int, int, bytes]:
+    whole = np.frombuffer(ids, "<u4")
+    width = 2 if len(whole) and int(whole.max()) < 1 << 16 else 4
+    return width, len(whole), _CODEC.compress(whole.astype(f"<u{width}").tobytes(), asbytes=True) if len(whole) else b""
+
+
+def _unpacked(width: int, n: int, data: bytes) -> bytes:
+    return np.frombuffer(_CODEC.decompress(data, n * width, asbytes=True), f"<u{width}").astype("<u4").tobytes() if n else b""
+
+
+def _layout(encoded: DataFrame) -> DataFrame:
+    """Encoded documents in shards of ascending doc_id; rows of one doc_id are ordered, and divided, by the hash of their text."""
+    return encoded.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "n", "ids").select("doc_id", "width", "n", "ids")
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int | None = None) -> None:
     """Encodes ``df`` (doc_id, text) and writes a token file, a folder of blocks in ascending doc_id order.
 
+    Texts are encoded where they are read; their ids, which are a third as large, are stored and dealt out by doc_id.
+
     A block is a row of its own: the documents in it and their lengths, its ids as 64-bit Simple-8b words, the places of
     raw words, and the ids before every 128th word, so that any range decodes without the words before it. A block
     closes at 65,536 ids and holds whole documents; one longer document makes a larger block. Spark's writer commits
@@ -139,7 +164,6 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int | None =
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
         shard = TaskContext.get().partitionId()
         block, first = 0, 0
         docs: list[int | None] = []
@@ -154,16 +178,16 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int | None =
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(x.as_py() for x in batch.column(1)), strict=True):
+            for doc, *packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 docs.append(doc)
-                parts.append(ids + end)
+                parts.append(_unpacked(*packed))
                 held += len(parts[-1]) // 4
                 if held >= BLOCK_IDS:
                     yield close()
         if docs:
             yield close()
 
-    _layout(df).mapInArrow(run, SCHEMA).write.parquet(path)
+    _layout(_encoded(df, tokenizer, end)).mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -52,6 +52,26 @@ def test_small_ids_take_few_words():
     assert len(tokenfile.encode_words(np.full(600, 30_000, np.uint64))[0]) == 150
 
 
+@given(st.lists(st.one_of(st.integers(0, 60_000), st.integers(0, 2**32 - 1)), max_size=300))
+@settings(deadline=None)
+def test_stored_ids_round_trip(ids):
+    data = struct.pack(f"<{len(ids)}I", *ids)
+    assert tokenfile._unpacked(*tokenfile._packed(data)) == data
+
+
+def test_ids_are_moved_and_not_texts(spark, monkeypatch, tmp_path):
+    """What is dealt out by doc_id are rows of packed ids, a third of the text's size; rows of one doc_id stay together in the order of their text's hash."""
+    text = "the quick brown fox jumps over the lazy dog " * 200
+    df = spark.createDataFrame([(i // 2, f"{text}{i}") for i in range(40)], "doc_id long, text string")
+    moved, layout = [], tokenfile._layout
+    monkeypatch.setattr(tokenfile, "_layout", lambda rows: moved.append(rows) or layout(rows))
+    tokenfile.write_tokens(df, str(tmp_path / "tokens"), BYTES, 0)
+    assert "text" not in moved[0].columns and all(3 * len(r.ids) < len(text) for r in moved[0].collect())
+    got = tokenfile.read_tokens(spark, str(tmp_path / "tokens")).collect()
+    sums = {(r.doc_id, crc(ENCODERS[BYTES][1].encode(r.text, add_special_tokens=False).ids + [0])) for r in df.collect()}
+    assert {(r.doc_id, r.ids_crc32) for r in got} == sums and len(got) == 40
+
+
 def test_token_file(spark, documents):
     tokenizer = ENCODERS[BYTES][1]
     got = sorted(entry.queries()["op1_token_file"](spark, SF).collect())
