@@ -20,7 +20,7 @@ PACKS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (
 ESCAPE = 15
 BLOCK_IDS = 65_536
 STRIDE = 128  # words between two offsets
-_CODEC = pa.Codec("zstd", compression_level=1)
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 SCHEMA = "shard int, block int, first long, n_ids long, doc_ids array<long>, lengths array<int>, raw array<int>, offsets array<int>, words binary"
 # Index of the first width that holds an id, for the ids of common vocabularies.
@@ -187,7 +187,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int | None =
         if docs:
             yield close()
 
-    _layout(_encoded(df, tokenizer, end)).mapInArrow(run, SCHEMA).write.parquet(path)
+    _layout(_encoded(df, tokenizer, end)).mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
