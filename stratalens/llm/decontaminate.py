@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,7 @@ class Windows:
     a sentence, and several in a row are one. Windows with a slot also come as plain words, so that a text with other
     capitals still meets the item. Windows with a capitalised word that begins a sentence come once more with all such
     words as names. Levels: 0 for windows without slots, 1 for those of the template, 2 with names that begin sentences.
+    Words and places are worked out when asked for: most texts have no window in question.
     """
 
     def __init__(self, text: str, size: int, least_literals: int) -> None:
@@ -74,7 +76,7 @@ class Windows:
         opens = np.concatenate([[True], (flags[:-1] & _ENDS) > 0]) if len(pieces) else np.zeros(0, bool)
         at = np.flatnonzero((flags & 7) != _NONE)
         kind, opens, plain = (flags[at] & 7), opens[at], values[at] & np.uint64(2**64 - 16)
-        self.words = [pieces[i] for i in at]
+        self._pieces, self._at = pieces, at
         after = np.concatenate([[_LITERAL], kind[:-1]]) if len(at) else kind
         name = kind == _NAME
         slot = np.where(kind == _NUMBER, _NUMBER, np.where((kind == _UNIT) & (after == _NUMBER), _UNIT, np.where(name & ~opens, _NAME, 0)))
@@ -95,7 +97,14 @@ class Windows:
             more = openers[spans[:, 1]] - openers[spans[:, 0]] > 0
             parts.append((hashes[more], spans[more], np.full(int(more.sum()), 2, np.int8)))
         self.hashes, self.spans, self.levels = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self._places = [np.cumsum(self._kept(x)) for x in self._slots[1:]]
+
+    @cached_property
+    def words(self) -> list[str]:
+        return [self._pieces[i] for i in self._at.tolist()]
+
+    @cached_property
+    def _places(self) -> list[np.ndarray]:
+        return [np.cumsum(self._kept(x)) for x in self._slots[1:]]
 
     def _template(self, slot: np.ndarray, plain: np.ndarray, size: int, least_literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = np.flatnonzero(self._kept(slot))

@@ -344,3 +344,11 @@ def test_quality_scores(spark, odd, empty):
     assert pulearn.score(odd, known).count() == len(ODD)
     assert {r.score for r in pulearn.score(odd, known.limit(0)).collect()} == {0.5}
     assert pulearn.score(empty, known).count() == 0
+
+
+def test_windows_work_out_words_when_asked():
+    """A text none of whose windows is in question pays for hashes only; places and words are the same when asked for."""
+    w = decontaminate.Windows("The train left Paris at 9 and reached Old Rome after 14 hours. Anna took 3 bags, two hats and one map with her.", 8, 5)
+    assert len(w.hashes) and not {"words", "_places"} & set(vars(w))
+    i = int(w.levels.argmax())
+    assert w.places(i) and "words" not in vars(w) and w.values(i) and w.words[:4] == ["The", "train", "left", "Paris"]
