@@ -151,7 +151,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, size: int = 2048) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 7, schema=_ARROW)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(x.as_py() for x in batch.column(1)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 packer.add(doc, ids + end)
                 if len(packer.done) >= 20_000:
                     yield rows()

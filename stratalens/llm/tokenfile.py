@@ -125,7 +125,7 @@ def _encoded(df: DataFrame, tokenizer: str, end: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            parts = [_packed(ids + end) for ids in encode(x.as_py() for x in batch.column(2))]
+            parts = [_packed(ids + end) for ids in encode(batch.column(2))]
             columns = [pa.array(c, t) for c, t in zip(list(zip(*parts, strict=True)) or [()] * 3, (pa.int32(), pa.int32(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "width", "n", "ids"])
 

@@ -37,6 +37,29 @@ def test_odd_texts(path):
     assert [ids_of(x) for x in mine(texts)] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDY])
+def test_new_pieces_are_encoded_together(path, monkeypatch):
+    """Plain new pieces share texts of the library, pieces seen before need none, and the ids are those of the whole texts."""
+    mine, theirs, given = PieceEncoder(path), ENCODERS[path][1], []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return theirs.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(mine, "_tokenizer", Counted())
+    words = [f"{'abcdefghij'[i % 10]}{'lmnop'[i % 5] * (i % 17)}{i}é{'!' * (i % 2)}" for i in range(1500)]
+    texts = [" ".join(words[k::7]) + "<|endoftext|>\n\u3000 x" for k in range(7)] + [f"{'y' * n} {'y' * n}, é{'y' * n}" for n in range(1, 90)]
+    wanted = [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    for again in (False, True):
+        given.clear()
+        assert [ids_of(x) for x in mine(texts)] == wanted
+        assert not given if again else len(given) < 200
+    few = PieceEncoder(path, limit=400)  # forgets pieces between groups
+    assert [[ids_of(x) for x in few(texts[k : k + 3])] for k in range(0, len(texts), 3)] == [wanted[k : k + 3] for k in range(0, len(texts), 3)]
+    assert few._n + len(few._longs) < 1500 <= mine._n + len(mine._longs)
+
+
 @given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 300), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=900))
 @settings(max_examples=200, deadline=None)
 def test_words_round_trip(ids):
