@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,6 +61,15 @@ def test_new_pieces_are_encoded_together(path, monkeypatch):
     assert few._n + len(few._longs) < 1500 <= mine._n + len(mine._longs)
 
 
+def test_columns_are_encoded_as_they_are():
+    """A column of texts needs no Python strings, also one that begins inside another and has nulls."""
+    texts = ["cut off", "the  old mill.", None, "", "é, 中\u00a0 x", "a" * 40, None, "end"]
+    for kind in (pa.string(), pa.large_string()):
+        for column in (pa.array(texts, kind).slice(1), pa.array([None] * 3, kind), pa.array([], kind)):
+            mine, theirs = ENCODERS[BYTES]
+            assert [ids_of(x) for x in mine(column)] == [theirs.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
+
+
 @given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 300), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=900))
 @settings(max_examples=200, deadline=None)
 def test_words_round_trip(ids):
