@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.hashing import rolled
+from stratalens.llm.pieces import Memory, grouped, words
 from stratalens.llm.sift import bitmap, held, probably_in
 from stratalens.session import materialize
 
@@ -25,7 +26,8 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles g kg mg gram gr
 _LITERAL, _NUMBER, _UNIT, _NAME, _NONE, _ENDS = 0, 1, 2, 3, 4, 8
 _SLOTS = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in ("", "number", "unit", "name")], np.uint64)
 _DROP = re.compile(r"[\W_]+")
-_BREAK = "\x00"
+_NEW_LINE = 10
+_NUMBER_WORDS, _UNITS = frozenset(NUMBER_WORDS), frozenset(UNITS)
 LEVELS = (0, 1, 2)  # of windows, from the strictest
 BITS = 24  # of the filter in front of the join: 2 MB whatever the size of the benchmark
 
@@ -33,51 +35,61 @@ SCHEMA = "row long, id long, window long, place int, slots array<string>, level
 _ARROW = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("level", pa.int32()), *((c, pa.int32()) for c in ("token", "token_span", "run", "run_span")), ("inside", pa.bool_())])
 
 
-class _Words(dict):
-    """By piece of text: the hash of its word, its kind, and whether a sentence ends with it."""
+class _Words(Memory):
+    """By word as written: the hash of its letters and digits, its kind, and whether a sentence ends with it."""
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        word = _DROP.sub("", piece)
-        low = word.lower()
-        if not word:
-            kind = _NONE
-        elif word[0].isdigit() or low in NUMBER_WORDS:
-            kind = _NUMBER
-        elif word[0].isupper():
-            kind = _NAME
-        else:
-            kind = _UNIT if low in UNITS else _LITERAL
-        ends = _ENDS if piece == _BREAK or piece.rstrip("\"')]")[-1:] in (".", "!", "?", ":") else 0
-        found = xxhash.xxh64_intdigest(low) & ~15 | kind | ends
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
+    def made(self, pieces: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(_word, pieces), np.uint64, len(pieces))
 
 
-_WORDS = _Words()
+def _word(piece: bytes) -> int:
+    text = piece.decode()
+    word = text if text.isalnum() else _DROP.sub("", text)
+    low = word.lower()
+    if not word:
+        kind = _NONE
+    elif word[0].isdigit() or low in _NUMBER_WORDS:
+        kind = _NUMBER
+    elif word[0].isupper():
+        kind = _NAME
+    else:
+        kind = _UNIT if low in _UNITS else _LITERAL
+    ends = _ENDS if text == "\x00" or text.rstrip("\"')]")[-1:] in (".", "!", "?", ":") else 0
+    return xxhash.xxh64_intdigest(low) & ~15 | kind | ends
+
+
+_WORDS = _Words(1_500_000)
 
 
 class Windows:
-    """Hashes and first words of the windows of a text, its words, and per window the span of template words and its level.
+    """Hashes and first words of the windows of texts, their words, and per window its text, the span of template words and its level.
 
     The template has a number, unit or name in place of each such word; a name is a capitalised word that does not begin
     a sentence, and several in a row are one. Windows with a slot also come as plain words, so that a text with other
     capitals still meets the item. Windows with a capitalised word that begins a sentence come once more with all such
     words as names. Levels: 0 for windows without slots, 1 for those of the template, 2 with names that begin sentences.
-    Words and places are worked out when asked for: most texts have no window in question.
+    The words of several texts stand in a row and no window has words of two. Words and places are worked out when asked
+    for: most texts have no window in question.
     """
 
-    def __init__(self, text: str, size: int, least_literals: int) -> None:
-        pieces = text.replace("\n", f" {_BREAK} ").split()
-        values = np.fromiter(map(_WORDS.__getitem__, pieces), np.uint64, len(pieces))
+    def __init__(self, texts: str | tuple[np.ndarray, np.ndarray], size: int, least_literals: int) -> None:
+        buffer, bounds = texts if isinstance(texts, tuple) else next(grouped(pa.array([texts], pa.large_string())))
+        starts, sizes = words(buffer, bounds)
+        values = _WORDS.of(buffer, starts, sizes)
         flags = (values & np.uint64(15)).astype(np.int8)
-        opens = np.concatenate([[True], (flags[:-1] & _ENDS) > 0]) if len(pieces) else np.zeros(0, bool)
+        opens = np.zeros(len(starts) + 1, bool)
+        opens[1:] = (flags & _ENDS) > 0
+        opens[np.searchsorted(starts, np.flatnonzero(buffer == _NEW_LINE))] = True
+        opens[np.searchsorted(starts, bounds)] = True
         at = np.flatnonzero((flags & 7) != _NONE)
         kind, opens, plain = (flags[at] & 7), opens[at], values[at] & np.uint64(2**64 - 16)
-        self._pieces, self._at = pieces, at
-        after = np.concatenate([[_LITERAL], kind[:-1]]) if len(at) else kind
+        self._buffer, self._starts, self._sizes = buffer, starts[at], sizes[at]
+        self._bounds = np.searchsorted(self._starts, bounds)
+        self._text = np.repeat(np.arange(len(bounds) - 1), np.diff(self._bounds))
+        self._first = np.zeros(len(at) + 1, bool)  # the first word of each text
+        self._first[self._bounds] = True
+        self._first = self._first[:-1]
+        after = np.where(self._first, _LITERAL, np.concatenate([[_LITERAL], kind[:-1]])) if len(at) else kind
         name = kind == _NAME
         slot = np.where(kind == _NUMBER, _NUMBER, np.where((kind == _UNIT) & (after == _NUMBER), _UNIT, np.where(name & ~opens, _NAME, 0)))
         self._slots = [slot, slot, slot]
@@ -87,7 +99,7 @@ class Windows:
         whole = rolled(plain, size)
         m = len(whole)
         any_slot = np.concatenate([[0], np.cumsum(slot > 0)])
-        changed = np.flatnonzero(any_slot[size : size + m] - any_slot[:m] > 0)
+        changed = np.flatnonzero((any_slot[size : size + m] - any_slot[:m] > 0) & (self._text[:m] == self._text[size - 1 : size - 1 + m]))
         parts = [(hashes, spans, levels), (whole[changed], np.stack([changed, changed + size], axis=1), np.zeros(len(changed), np.int8))]
         opening = name & opens
         if opening.any():
@@ -100,12 +112,16 @@ class Windows:
 
     @cached_property
     def words(self) -> list[str]:
-        return [self._pieces[i] for i in self._at.tolist()]
+        return [self._written(i) for i in range(len(self._starts))]
 
     @cached_property
     def _places(self) -> list[np.ndarray]:
         return [np.cumsum(self._kept(x)) for x in self._slots[1:]]
 
+    def _written(self, word: int) -> str:
+        start = self._starts[word]
+        return self._buffer[start : start + self._sizes[word]].tobytes().decode()
+
     def _template(self, slot: np.ndarray, plain: np.ndarray, size: int, least_literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = np.flatnonzero(self._kept(slot))
         kinds = slot[keep]
@@ -113,19 +129,26 @@ class Windows:
         n = len(hashes)
         filled = np.concatenate([[0], np.cumsum(kinds > 0)])
         filled = filled[size : size + n] - filled[:n]
-        good = size - filled >= least_literals
+        good = (size - filled >= least_literals) & (self._text[keep[:n]] == self._text[keep[size - 1 : size - 1 + n]])
         spans = np.stack([keep[:n], keep[size - 1 : size - 1 + n] + 1], axis=1) if n else np.zeros((0, 2), np.int64)
         return hashes[good], spans[good], filled[good]
 
     def _kept(self, slot: np.ndarray) -> np.ndarray:
         """All words but those that go on with a name."""
-        goes_on = (slot[1:] == _NAME) & (slot[:-1] == _NAME) & ~self._opens[1:]
+        goes_on = (slot[1:] == _NAME) & (slot[:-1] == _NAME) & ~self._opens[1:] & ~self._first[1:]
         return np.concatenate([[True], ~goes_on]) if len(slot) else np.zeros(0, bool)
 
+    def place(self, window: int) -> tuple[int, int]:
+        """The text of a window and its first word there."""
+        start = int(self.spans[window, 0])
+        text = int(self._text[start])
+        return text, start - int(self._bounds[text])
+
     def places(self, window: int) -> list[int]:
         """The place of a window in the template and the number of places its words go on, without and with names that begin sentences."""
         start, end = self.spans[window].tolist()
-        return [int(x) for p in self._places for x in (p[start], p[end - 1] - p[start])]
+        first = self._bounds[self._text[start]]
+        return [int(x) for p in self._places for x in (p[start] - p[first] + 1, p[end - 1] - p[start])]
 
     def inside(self, window: int) -> bool:
         """Whether a window of the template starts inside a name whose first word begins a sentence."""
@@ -139,22 +162,23 @@ class Windows:
             return []
         slot, opens = self._slots[level], self._opens
         start, end = self.spans[window].tolist()
-        return [_DROP.sub("", self.words[i]).lower() for i in range(start, end) if slot[i] and not (slot[i] == _NAME and i > start and slot[i - 1] == _NAME and not opens[i])]
+        return [_DROP.sub("", self._written(i)).lower() for i in range(start, end) if slot[i] and not (slot[i] == _NAME and i > start and slot[i - 1] == _NAME and not opens[i])]
 
 
 def _window_rows(df: DataFrame, id_column: str, size: int, least_literals: int, table: bytes | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for row, key, text in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), strict=True):
-                found = Windows(text.as_py() or "", size, least_literals)
-                if table is not None:
-                    chosen = np.flatnonzero(held(table, found.hashes))
-                else:
-                    chosen = np.arange(len(found.hashes))
+            rows, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            before = 0
+            for texts in grouped(batch.column(2)):
+                found = Windows(texts, size, least_literals)
+                chosen = np.arange(len(found.hashes)) if table is None else np.flatnonzero(held(table, found.hashes))
                 signed = found.hashes.view(np.int64)
                 for i in chosen.tolist():
-                    out.append((row, key, int(signed[i]), int(found.spans[i, 0]), found.values(i), int(found.levels[i]), *found.places(i), found.inside(i)))
+                    text, place = found.place(i)
+                    out.append((rows[before + text], keys[before + text], int(signed[i]), place, found.values(i), int(found.levels[i]), *found.places(i), found.inside(i)))
+                before += len(texts[1]) - 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 11, _ARROW, strict=True)], schema=_ARROW)
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))

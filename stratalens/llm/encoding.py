@@ -63,8 +63,8 @@ class PieceEncoder(Memory):
         yield from self(pa.array(group, pa.large_string()))
 
     def _encode(self, buffer: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
-        starts = cut(buffer, bounds, True)
-        values = self.of(buffer, starts, int(bounds[-1]))
+        starts, sizes = cut(buffer, bounds)
+        values = self.of(buffer, starts, sizes)
         counts = (values & np.uint64((1 << 32) - 1)).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(counts)])
         ids = self._ids[np.repeat((values >> _COUNT).astype(np.int64) - ends[:-1], counts) + np.arange(ends[-1])]

@@ -35,16 +35,9 @@ def grouped(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = last
 
 
-def cut(buffer: np.ndarray, bounds: np.ndarray, marks: bool, extra: bytes = b"") -> np.ndarray:
-    """Where pieces begin: at texts, at white space behind anything else and, with ``marks``, at a punctuation mark behind a letter or digit.
-
-    White space is as Unicode defines it, and the bytes in ``extra``.
-    """
-    n = int(bounds[-1])
-    kinds = _CLASS[buffer]
+def _white(buffer: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Which bytes are of white space as Unicode defines it."""
     white = (kinds & _WHITE).view(bool)
-    for byte in extra:
-        white |= buffer == byte
     leads = np.flatnonzero(kinds & _LEAD)
     if len(leads):
         a, b, c = buffer[leads], buffer[leads + 1], buffer[leads + 2]
@@ -54,16 +47,38 @@ def cut(buffer: np.ndarray, bounds: np.ndarray, marks: bool, extra: bytes = b"")
         for width, found in ((2, leads[two]), (3, leads[three])):
             for k in range(width):
                 white[found + k] = True
+    return white
+
+
+def cut(buffer: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces begin and their sizes: a piece begins with a text, at white space behind anything else, and at a punctuation mark behind a letter or digit."""
+    kinds = _CLASS[buffer]
+    white = _white(buffer, kinds)
     begins = white.copy()
     begins[1:] &= ~white[:-1]
-    if marks:
-        at = np.flatnonzero(kinds & _MARK)
-        at = at[at > 1]
-        before = buffer[at - 1]
-        letter = (kinds[at - 1] & _ALNUM > 0) | ((buffer[at - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
-        begins[at[letter]] = True
+    at = np.flatnonzero(kinds & _MARK)
+    at = at[at > 1]
+    before = buffer[at - 1]
+    letter = (kinds[at - 1] & _ALNUM > 0) | ((buffer[at - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
+    begins[at[letter]] = True
     begins[bounds[:-1]] = True
-    return np.flatnonzero(begins[:n])
+    starts = np.flatnonzero(begins[: bounds[-1]])
+    return starts, np.diff(starts, append=bounds[-1])
+
+
+def words(buffer: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words that ``str.split`` gives begin, and their sizes."""
+    inside = ~(_white(buffer, _CLASS[buffer]) | ((buffer >= 0x1C) & (buffer <= 0x1F)))
+    inside[bounds[-1] :] = False
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    borders = bounds[:-1]
+    begins[borders] = inside[borders]
+    borders = borders[borders > 0]
+    ends[borders - 1] = inside[borders - 1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(ends) + 1 - starts
 
 
 class Memory:
@@ -96,14 +111,13 @@ class Memory:
     def full(self) -> bool:
         return self._n + len(self._longs) > self._limit
 
-    def of(self, buffer: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
-        """The values of the pieces from each of ``starts`` to the next; they hold until the next call."""
+    def of(self, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The values of the pieces at ``starts``; they hold until the next call."""
         if self.full():
             self._forget()
-        sizes = np.diff(starts, append=end)
-        words = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
-        low = words[starts] & _KEEP_BITS[np.minimum(sizes, 8)]
-        high = (words[starts + 8] & _KEEP_BITS[np.clip(sizes - 8, 0, 7)]) | (sizes.astype(np.uint64) << np.uint64(56))
+        eights = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+        low = eights[starts] & _KEEP_BITS[np.minimum(sizes, 8)]
+        high = (eights[starts + 8] & _KEEP_BITS[np.clip(sizes - 8, 0, 7)]) | (sizes.astype(np.uint64) << np.uint64(56))
         short = sizes <= _SHORT
         rows = self._found(low, high)
         fresh = np.flatnonzero((rows == 0) & short)

@@ -7,12 +7,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare, duck
 
 import __spark_entry__ as entry
 from samples import ODD, SF, WORDS
 from stratalens.llm import decontaminate, licences, linkgraph, pii, pulearn, quality, sentences
+from stratalens.llm.pieces import grouped
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -352,3 +354,16 @@ def test_windows_work_out_words_when_asked():
     assert len(w.hashes) and not {"words", "_places"} & set(vars(w))
     i = int(w.levels.argmax())
     assert w.places(i) and "words" not in vars(w) and w.values(i) and w.words[:4] == ["The", "train", "left", "Paris"]
+
+
+def test_windows_of_texts_in_a_row():
+    """Many texts at a time have the windows of each alone, with words, places and values, and none across texts."""
+    rng = random.Random(5)
+    pool = ["the", "of", "Old", "Rome", "Anna", "3", "km", "two", "hours", "a.", "Is!", 'end."', "\n", "\x00", "—", "é", "Éa", "x\u00a0y", "\x1c", "\u3000", "A\nB", "it's", "and", "with", "river", "mill", "long", "sings"]
+    texts = [None if k % 20 == 3 else " ".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 7, 8, 9, 30]))) for k in range(300)]
+    ((buffer, bounds),) = grouped(pa.array(texts, pa.string()))
+    facts = lambda w, i: (int(w.hashes[i]), w.place(i)[1], w.values(i), int(w.levels[i]), w.places(i), w.inside(i))
+    alone = [(k, *facts(w, i)) for k, t in enumerate(texts) for w in [decontaminate.Windows(t or "", 8, 5)] for i in range(len(w.hashes))]
+    row = decontaminate.Windows((buffer, bounds), 8, 5)
+    assert len(alone) > 500 and sorted((row.place(i)[0], *facts(row, i)) for i in range(len(row.hashes))) == sorted(alone)
+    assert row.words == [x for t in texts for x in (t or "").split() if re.sub(r"[\W_]", "", x)]
