@@ -279,7 +279,10 @@ def test_forest_tree_against_brute_force(spark, monkeypatch):
     y = np.round(x[:, 1] * 0.3 + (x[:, 3] > 20) * 7 + rng.normal(size=900), 3)
     rows = spark.createDataFrame([(float(b), *map(float, a)) for a, b in zip(x, y)], "y double, a double, b double, c double, d double, e double").repartition(3)
     at = O.cuts(rows, list("abcde"))
-    assert all(len(c) <= O.BINS - 1 and set(c) <= set(range(50)) for c in at)
+    assert all(20 < len(c) <= O.BINS - 1 and set(c) <= set(range(50)) for c in at)
+    assert all(((x[:, j] <= v).mean() - (k + 1) / O.BINS) > -0.01 for j in range(5) for k, v in enumerate(at[j]) if len(at[j]) == O.BINS - 1)
+    few = spark.range(300).select(F.when(F.col("id") < 298, 0.0).otherwise(F.col("id").cast("double")).alias("v"), F.lit(1.0).alias("one"))
+    assert [list(c) for c in O.cuts(few, ["v", "one"])] == [[0.0, 298.0], []]
     data = O.coded(rows, list("abcde"), "y", at)
     grow = O.Growth(features=5, depth=3, tried=5, min_leaf=20, share=0.7, seed=7)
     trees = O.grown(data, grow, 4)
